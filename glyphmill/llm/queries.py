@@ -7,6 +7,8 @@ from importlib import import_module
 #: Query and the module that holds it.
 MODULES = {
     "op2_simhash_near_dedup": "simhash",
+    "op5_language_id": "langid",
+    "op8_toxicity": "toxicity",
     "op9_secret_scan": "secrets",
     "op10_token_records": "records",
 }
