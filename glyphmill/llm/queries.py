@@ -6,10 +6,12 @@ from importlib import import_module
 
 #: Query and the module that holds it.
 MODULES = {
+    "op1_exact_top_k": "topk",
     "op2_simhash_near_dedup": "simhash",
     "op4_source_mix": "mixing",
     "op5_language_id": "langid",
     "op6_quality_rules": "quality",
+    "op7_pii": "pii",
     "op8_toxicity": "toxicity",
     "op9_secret_scan": "secrets",
     "op10_token_records": "records",
