@@ -103,14 +103,15 @@ def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
     return joined.withColumns({"size": F.col("_size"), "taken": F.col("epochs") * F.col("_size") + _more()})
 
 
-def repeated(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The mix: documents as often as they are taken, all columns; the copy at a source's budget ends at the budget."""
+def repeated(docs: DataFrame, seed: int = 1, counted: str | None = None) -> DataFrame:
+    """The mix: documents as often as they are taken, all columns; the copy at a source's budget ends at the budget.  counted: a column for the text's length."""
     rows = mixed(docs, seed).where("taken > 0").withColumn("_copies", F.ceil(F.col("taken") / F.col("_size")).cast("int"))
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     rest = F.col("taken") - (F.col("_copy") - 1) * F.col("_size")
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.when(rest >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), rest.cast("int")), ""))
-    return rows.withColumn("text", text).select(*docs.columns)
+    rows = rows.withColumn("text", text)
+    return (rows.withColumn(counted, F.length("text").cast("long")) if counted else rows).select(*docs.columns)
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_exact_top_k": "topk",
     "op2_simhash_near_dedup": "simhash",
+    "op3_sentencepiece_sampling": "pieces",
     "op4_source_mix": "mixing",
     "op5_language_id": "langid",
     "op6_quality_rules": "quality",

@@ -127,14 +127,14 @@ def spans(text: Column, rule: Rule) -> Column:
     return F.when(F.regexp_like(text, p), F.aggregate(steps, begin, step, lambda acc: acc.out)).otherwise(nothing)
 
 
-def _near_candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of docs whose key may be in found: a semi join through a bitmap of FILTER_BITS bits, 256 rows of 4 KB."""
+def _flagged(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with a column key -> with near: whether the key may be in found, by a bitmap of FILTER_BITS bits (256 rows of 4 KB, at any input)."""
     slot = F.pmod("key", F.lit(FILTER_BITS))
     bits = found.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
-    at = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(div_at + 1 as int), 1)")), 16, 10).cast("int")
-    tested = docs.withColumns({"bucket": F.bitmap_bucket_number(slot), "bit_at": at}).join(F.broadcast(bits), "bucket").withColumn("div_at", F.floor(F.col("bit_at") / 8))
-    return tested.where(F.getbit(byte, (F.col("bit_at") % 8).cast("int")) == 1).select("doc_id", "text", "key")
+    placed = docs.withColumns({"bucket": F.bitmap_bucket_number(slot), "bit_at": F.bitmap_bit_position(slot)}).join(F.broadcast(bits), "bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bit_at div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    near = F.coalesce(F.getbit(byte, (F.col("bit_at") % 8).cast("int")) == 1, F.lit(False))
+    return placed.withColumn("near", near).select(*docs.columns, "near")
 
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -145,7 +145,7 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     keyed = _keyed(docs)
     found = cut(candidates(postings(docs, rules), rules))
 
-    verified = _near_candidates(keyed, found).join(found, "key").dropDuplicates(["key"])
+    verified = _flagged(keyed, found).where("near").drop("near").join(found, "key").dropDuplicates(["key"])
     checked = F.concat(*(F.coalesce(F.when(F.array_contains("kinds", r.kind), spans(F.col("text"), r)), F.array()) for r in asked)) if asked else F.array()
     parts = [verified.select("key", checked.alias("spans"))] if asked else []
     for r in full:
@@ -183,13 +183,19 @@ def masked_text(text: Column, column: Column) -> Column:
     return F.aggregate(column, begin, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All rows and columns of docs; texts with [SECRET] for what a rule found."""
-    hits = find(docs.select("doc_id", "text"), rules)
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    joined = keyed.join(hits.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")), "_key", "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked_text(F.col("text"), F.col("_spans")))
-    return joined.withColumn("text", text).select(*docs.columns)
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, counted: str | None = None) -> DataFrame:
+    """All rows and columns of docs; texts with [SECRET] for what a rule found.  counted: a column for the text's length.
+
+    Rows without a finding pass through unmoved; the bitmap keeps them out of the join.
+    """
+    hits = cut(find(docs.select("doc_id", "text"), rules))
+    flagged = _flagged(docs.withColumn("key", F.xxhash64(F.col("doc_id").cast("long"), "text")), hits)
+    joined = flagged.where("near").join(hits.withColumnRenamed("spans", "_spans"), "key", "left")
+    hit = F.col("_spans").isNotNull()
+    changed = joined.withColumn("text", F.when(hit, masked_text(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    if counted:
+        changed = changed.withColumn(counted, F.when(hit, F.length("text").cast("long")).otherwise(F.col(counted)))
+    return flagged.where("not near").select(*docs.columns).unionByName(changed.select(*docs.columns))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

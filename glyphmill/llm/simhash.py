@@ -304,5 +304,11 @@ def near_duplicates(docs: DataFrame, tau: int = 4) -> DataFrame:
     return fps.join(groups, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, tau: int = 4) -> DataFrame:
+    """The rows of docs, all columns, with the smallest doc_id of each component; one row of repeated ids.  Rows without an id can't be named and stay."""
+    groups = near_duplicates(docs, tau).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
