@@ -16,11 +16,13 @@ that of their texts.  An empty table writes a manifest without rows.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,68 +71,115 @@ def unframe(data: bytes | memoryview, at: int = 0) -> tuple[memoryview, int]:
 UNSAFE = re.compile(r"\s\s(?=\s|$)")
 
 
+class Codes(dict):
+    """Numbers pieces as they are first asked for; `fresh` lists those without ids yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list = []
+
+    def __missing__(self, piece) -> int:
+        self[piece] = code = len(self)
+        self.fresh.append(piece)
+        return code
+
+
 class Encoder:
     """The library's ids of whole texts, with the ids of each blank-separated piece remembered.
 
     The tokenizer cuts at every blank between non-blanks before it merges, so a text's ids are those of its pieces, each
-    with the blank before it.  Texts with longer runs of white space go to the library whole.  At most ``remember``
-    pieces are kept.
+    with the blank before it; a text's first piece, which has none, is a key of its own.  New pieces go to the library
+    joined in long strings, and the bytes of its tokens tell them apart.  Texts with longer runs of white space go to the
+    library whole.  About ``remember`` pieces are kept.
     """
 
-    def __init__(self, path: str, end_id: int, remember: int = 400_000):
+    def __init__(self, path: str, end_id: int, remember: int = 700_000):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary, self.end_id, self.remember = self.tokenizer.get_vocab_size(), end_id, remember
-        self.codes: dict[str, int] = {}
+        self.token_bytes = np.zeros(self.vocabulary, dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.token_bytes[i] = len(token)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes = Codes()
         self.pool = np.zeros(1 << 20, dtype=np.uint32)
-        self.starts: list[int] = [0]
+        self.begins, self.sizes = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)  # of each code in the pool
         self.used = 0
 
-    def _learn(self, pieces: list[str]) -> None:
-        for e, piece in zip(self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), pieces):
-            ids = e.ids
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(ids)), dtype=np.uint32)))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.codes[piece] = len(self.starts) - 1
-            self.starts.append(self.used)
+    def _keep(self, codes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.begins[codes] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[codes] = sizes
+        self.used += len(ids)
+
+    def _learn(self) -> None:
+        """Ids of the fresh pieces.  Pieces that begin and end with a non-blank are joined; the tokenizer cuts between them."""
+        fresh, self.codes.fresh = self.codes.fresh, []
+        first = len(self.codes) - len(fresh)
+        while len(self.codes) > len(self.begins):
+            self.begins, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.begins, self.sizes))
+        plain = [i for i, p in enumerate(fresh) if type(p) is str and p and not p[0].isspace() and not p[-1].isspace()]
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            texts = [" " + fresh[i] for i in part]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            stops = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum([len(t.encode()) for t in texts])) + 1
+            self._keep(first + np.array(part), ids, np.diff(stops, prepend=0))
+        joined = set(plain)
+        rest = [i for i in range(len(fresh)) if i not in joined]
+        if rest:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([" " + p if type(p) is str else p[0] for p in map(fresh.__getitem__, rest)], add_special_tokens=False)]
+            self._keep(first + np.array(rest), np.array([x for ids in found for x in ids], dtype=np.uint32), np.array([len(ids) for ids in found]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.codes) > self.remember:
-            self.codes, self.starts, self.used = {}, [0], 0
-        split = [None if UNSAFE.search(t) else (" " + t.replace(" ", "\0 ")).split("\0") if "\0" not in t else None for t in texts]
-        fresh: set[str] = set()
-        for t, pieces in zip(texts, split):
-            if pieces is not None:
-                pieces[0] = t[: len(pieces[0]) - 1]  # the first has no blank before it
-                fresh.update(pieces)
-        self._learn([p for p in fresh if p not in self.codes and p])
-        self.codes.setdefault("", -1)
-        starts, get = np.array(self.starts, dtype=np.int64), self.codes.__getitem__
-        end = np.array([self.end_id], dtype=np.uint32)
-        out = []
-        for t, pieces in zip(texts, split):
-            if pieces is None:
+            self._forget()
+        get, coded = self.codes.__getitem__, []
+        for t in texts:
+            if UNSAFE.search(t):
+                coded.append(None)
+                continue
+            pieces = t.split(" ")
+            pieces[0] = (pieces[0],)
+            coded.append(np.fromiter(map(get, pieces), dtype=np.int64, count=len(pieces)))
+        self._learn()
+        end, out = np.array([self.end_id], dtype=np.uint32), []
+        for t, codes in zip(texts, coded):
+            if codes is None:
                 ids = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
             else:
-                codes = np.fromiter(map(get, pieces), dtype=np.int64, count=len(pieces))
-                codes = codes[codes >= 0]
-                begin = starts[codes]
-                size = starts[codes + 1] - begin
+                begin, size = self.begins[codes], self.sizes[codes]
                 ends = np.cumsum(size)
-                ids = self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)]
+                ids = self.pool[np.arange(ends[-1]) + np.repeat(begin - ends + size, size)]
             out.append(np.concatenate((ids, end)))
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, end_id: int) -> Encoder:
+    """One for a Python worker, over all of its tasks."""
+    return Encoder(path, end_id)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], enc: Encoder) -> Iterator[tuple[int | None, np.ndarray]]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 250):
+            b = whole.slice(at, 250)
+            yield from zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]))
+
+
 def _writer(folder: str, path: str, end_id: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         task = TaskContext.get()
-        enc = Encoder(path, end_id)
+        enc = encoder(path, end_id)
         kind = "<u2" if enc.vocabulary <= 1 << 16 and end_id < 1 << 16 else "<u4"
         rows: list[dict] = []
         data = index = None
@@ -143,21 +192,20 @@ def _writer(folder: str, path: str, end_id: int, shard_bytes: int):
                 index.close()
                 data, index, size = None, None, 0
 
-        for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()])):
-                if size >= shard_bytes:
-                    close()
-                if data is None:
-                    name = f"{task.partitionId():06d}-{seq:06d}-{uuid.uuid4().hex}"
-                    data, index = store.open_output_stream(f"{root}/{name}.rec"), store.open_output_stream(f"{root}/{name}.idx")
-                    rows.append({"part": task.partitionId(), "seq": seq, "name": name, "width": int(kind[-1]), "n_docs": 0, "n_ids": 0})
-                    seq += 1
-                record = frame(struct.pack("<q", NO_ID if doc_id is None else doc_id) + ids.astype(kind).tobytes())
-                index.write(struct.pack("<QQ", size, len(ids)))
-                data.write(record)
-                size += len(record)
-                rows[-1]["n_docs"] += 1
-                rows[-1]["n_ids"] += len(ids)
+        for doc_id, ids in _encoded(batches, enc):
+            if size >= shard_bytes:
+                close()
+            if data is None:
+                name = f"{task.partitionId():06d}-{seq:06d}-{uuid.uuid4().hex}"
+                data, index = store.open_output_stream(f"{root}/{name}.rec"), store.open_output_stream(f"{root}/{name}.idx")
+                rows.append({"part": task.partitionId(), "seq": seq, "name": name, "width": int(kind[-1]), "n_docs": 0, "n_ids": 0})
+                seq += 1
+            record = frame(struct.pack("<q", NO_ID if doc_id is None else doc_id) + ids.astype(kind).tobytes())
+            index.write(struct.pack("<QQ", size, len(ids)))
+            data.write(record)
+            size += len(record)
+            rows[-1]["n_docs"] += 1
+            rows[-1]["n_ids"] += len(ids)
         close()
         yield pa.RecordBatch.from_pylist(rows, schema=MANIFEST)
 
