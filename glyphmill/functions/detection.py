@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphmill.functions.text import leading, matches, strip
+from glyphmill.functions.text import leading, let, matches, strip
 
 #: Delimiters in order of priority, with kind, display and confidence.
 EXPLICIT = (
@@ -41,20 +41,22 @@ def unescaped_dollars(text: Column) -> Column:
     return _n(text, r"(?<!\\)\$")
 
 
+def _score(t: Column) -> Column:
+    """Score of a text without white space at its ends."""
+    score = _n(t, COMMAND) * F.lit(3.5) + _n(t, SYMBOL) * F.lit(1.2) + F.least(_n(t, DIGIT), F.lit(8)) * F.lit(0.15)
+    score = score - F.greatest(F.lit(0), _n(t, WORD) - 3) * F.lit(0.7)
+    score = score + F.when(_has(t, EQUATION), F.lit(3.0)).otherwise(F.lit(0.0))
+    score = score - F.when(_has(t, PERSIAN) & (F.length(t) > 80), F.lit(3.0)).otherwise(F.lit(0.0))
+    return F.when(t == "", F.lit(0.0)).otherwise(score)
+
+
 def math_score(text: Column) -> Column:
     """How much a text looks like mathematics; blank: 0."""
-    t = strip(text)
-    base = _n(t, COMMAND) * F.lit(3.5) + _n(t, SYMBOL) * F.lit(1.2) + F.least(_n(t, DIGIT), F.lit(8)) * F.lit(0.15)
-    score = base - F.greatest(F.lit(0), _n(t, WORD) - 3) * F.lit(0.7)
-    score = F.when(_has(t, EQUATION), score + F.lit(3.0)).otherwise(score)
-    score = F.when(_has(t, PERSIAN) & (F.length(t) > 80), score - F.lit(3.0)).otherwise(score)
-    return F.when(t == "", F.lit(0.0)).otherwise(score)
+    return let(strip(text), _score)
 
 
-def is_broken(text: Column) -> Column:
-    """A paragraph that is one damaged formula."""
-    t = strip(text)
-    score, displays = math_score(t), _n(t, r"(?<!\\)\$\$")
+def _broken(t: Column, score: Column) -> Column:
+    displays = _n(t, r"(?<!\\)\$\$")
     proper = (displays == 2) & t.startswith("$$") & t.endswith("$$")
     stray = (displays > 0) & ~proper & (score >= 2.0)
     odd = (unescaped_dollars(t) % 2 == 1) & (score >= 4.0) & (_n(t, WORD) <= 3)
@@ -62,6 +64,11 @@ def is_broken(text: Column) -> Column:
     return stray | odd | nameless
 
 
+def is_broken(text: Column) -> Column:
+    """A paragraph that is one damaged formula."""
+    return let(strip(text), lambda t: let(_score(t), lambda score: _broken(t, score)))
+
+
 def overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
@@ -90,21 +97,23 @@ def candidate_spans(text: Column, mode: str = "balanced") -> Column:
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
     text = F.coalesce(text, F.lit(""))
-    t = strip(text)
-    start = leading(text)
-    end = start + F.length(t)
-    found = explicit_spans(text, mode)
-    ordered = F.array_sort(found)
+    nothing = F.array().cast(f"array<{SPAN}>")
     if mode == "safe":
-        return F.when(t == "", F.array().cast(f"array<{SPAN}>")).otherwise(ordered)
-    score, size, long = math_score(t), F.length(t), F.length(t) > 24
-    free = ~F.exists(found, lambda s: (s["start"] < end) & (start < s["end"]))
-    raw = F.when(free & _has(t, COMMAND) & (score >= 4.0), _span(start, end, "latex-raw", long | t.contains("="), F.least(F.lit(0.94), F.lit(0.76) + score / 50)))
-    plain = raw.when(free & _has(t, EQUATION) & (score >= 4.0), _span(start, end, "plain-equation", long, F.least(F.lit(0.91), F.lit(0.72) + score / 45)))
-    if mode == "balanced":
-        whole = plain.when(free & _has(t, SYMBOL) & (score >= 4.5) & (_n(t, WORD) <= 2) & (size <= 160), _span(start, end, "unicode-math", long, F.least(F.lit(0.90), F.lit(0.74) + score / 55)))
-    else:
-        whole = plain.when(free & _has(t, SYMBOL) & (score >= 3.5) & (size <= 240), _span(start, end, "unicode-math", long, F.least(F.lit(0.86), F.lit(0.67) + score / 55)))
-    all_spans = F.array_sort(F.concat(found, F.array_compact(F.array(whole))))
-    broken = F.array(_span(start, end, "latex-broken", True, 0.92))
-    return F.when(t == "", F.array().cast(f"array<{SPAN}>")).when(is_broken(text), broken).otherwise(all_spans)
+        return F.when(strip(text) == "", nothing).otherwise(F.array_sort(explicit_spans(text, mode)))
+
+    def rest(t: Column, score: Column, found: Column, start: Column) -> Column:
+        size = F.length(t)
+        end, long = start + size, size > 24
+        free = ~F.exists(found, lambda s: (s["start"] < end) & (start < s["end"]))
+        raw = F.when(_has(t, COMMAND) & (score >= 4.0), _span(start, end, "latex-raw", long | t.contains("="), F.least(F.lit(0.94), F.lit(0.76) + score / 50)))
+        plain = raw.when(_has(t, EQUATION) & (score >= 4.0), _span(start, end, "plain-equation", long, F.least(F.lit(0.91), F.lit(0.72) + score / 45)))
+        if mode == "balanced":
+            fits, sure = (score >= 4.5) & (_n(t, WORD) <= 2) & (size <= 160), F.least(F.lit(0.90), F.lit(0.74) + score / 55)
+        else:
+            fits, sure = (score >= 3.5) & (size <= 240), F.least(F.lit(0.86), F.lit(0.67) + score / 55)
+        whole = plain.when(_has(t, SYMBOL) & fits, _span(start, end, "unicode-math", long, sure))
+        broken = F.array(_span(start, end, "latex-broken", True, 0.92))
+        return F.when(_broken(t, score), broken).otherwise(F.array_sort(F.concat(found, F.array_compact(F.array(F.when(free, whole))))))
+
+    inner = let(strip(text), lambda t: let(_score(t), lambda score: let(explicit_spans(text, mode), lambda found: let(leading(text), lambda start: rest(t, score, found, start)))))
+    return F.when(strip(text) == "", nothing).otherwise(inner)

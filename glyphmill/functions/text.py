@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 SPACE = r"[\u0009-\u000D\u001C- \u0085   -     　]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once and the expression kept small."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
