@@ -59,7 +59,7 @@ def _tiles(vectors: DataFrame, rows: int, tile: str) -> tuple[DataFrame, int]:
 def search(queries: tuple[np.ndarray, np.ndarray], candidates: tuple[np.ndarray, np.ndarray], k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best candidates of each query of two tiles (ids, columns of shape (dims, rows)): (query ids, candidate ids, scores)."""
     (q_ids, q), (c_ids, c) = queries, candidates
-    dims = max(len(q), len(c))
+    dims = max(len(q), len(c), 1)
     q, c = (np.pad(x, ((0, dims - len(x)), (0, 0))) for x in (q, c))
     big = max(1.0, np.abs(q).max(initial=0).astype(float)) * max(1.0, np.abs(c).max(initial=0).astype(float)) * max(dims, 1)
     exact = np.float64 if big < 2.0**53 else np.int64
