@@ -46,10 +46,12 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(bags: Bags, y: np.ndarray, classes: int, buckets: int, dim: int = 12, epochs: int = 6, rate: float = 0.5, batch: int = 32, seed: int = 7, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The folded table (buckets, classes) and the bias.  Embeddings and softmax learn together; the rate falls to zero."""
+def train(bags: Bags, y: np.ndarray, classes: int, buckets: int, dim: int = 12, epochs: int = 6, rate: float = 0.5, batch: int = 32, seed: int = 7, weight: np.ndarray | None = None, still: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The folded table (buckets, classes) and the bias.  Embeddings and softmax learn together; the rate falls to zero.  still: a bucket that stays at zero."""
     rng = np.random.default_rng(seed)
     emb = ((rng.random((buckets, dim)) - 0.5) * (2 / dim)).astype(np.float32)
+    if still is not None:
+        emb[still] = 0
     out = np.zeros((dim, classes), dtype=np.float32)
     bias = np.zeros(classes, dtype=np.float32)
     target = np.eye(classes, dtype=np.float32)[y]
@@ -72,6 +74,8 @@ def train(bags: Bags, y: np.ndarray, classes: int, buckets: int, dim: int = 12,
             out -= lr / 4 * (mean.T @ wrong)
             bias -= lr / 16 * wrong.mean(axis=0)
             np.subtract.at(emb, ids, back[owner])
+            if still is not None:
+                emb[still] = 0
             done += len(which)
     return (emb @ out).astype(np.float32), bias
 

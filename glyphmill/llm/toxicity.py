@@ -2,8 +2,9 @@
 
 The bag is a run of ``WIDTH`` words, since a few words decide in a long text: a text is as toxic as its worst run.  Labels
 stand on texts, so training begins with all runs of a toxic text as toxic, and then keeps its worst ones (multiple-instance
-learning).  Misspelt words share character grams with those met in training.  The score is a logistic function of the worst
-run's margin, fitted on labelled texts held aside, so it is a calibrated probability.
+learning).  Labels are noisy, so grams get embeddings of their own only if they prefer toxic texts beyond chance; the
+embedding of all others is zero.  Misspelt words share character grams with those met in training.  The score rises with the worst run's
+margin as label 1 does among labelled texts held aside, so it is a calibrated probability.
 
 ``fit`` takes at most ``per_class`` labelled documents of each class, by the hash of their ids (a documented bound), as
 whole texts.  Scores use every word of every text.  Null, empty and wordless texts have the score of no evidence.  Without
@@ -22,16 +23,19 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm import subword
 from glyphmill.llm.common import Grams, held_out, small_batches, table, texts_of
+from glyphmill.llm.simhash import fingerprint
 
-WIDTH = 5
+WIDTH = 2
+#: For an embedding of its own a gram must stand in so many toxic texts, prefer them by so much chi-square, and be so many times as common there.
+SUPPORT, PREFERENCE, TIMES = 6, 25.0, 4.0
 
 
 @dataclass
 class Model:
     grams: Grams
     margin: np.ndarray  # of each bucket: logit of toxic less that of clean
-    slope: float
-    offset: float
+    knots: np.ndarray  # margins, ascending
+    shares: np.ndarray  # calibrated scores at the knots, ascending
     none: float  # margin of a text without words
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
@@ -49,7 +53,11 @@ class Model:
         return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.offset, -30, 30)))
+        """The calibrated share, with a hundredth of a logistic curve, so that larger margins always score higher."""
+        x = self.margins(texts)
+        if len(self.knots) == 1:
+            return np.full(len(x), self.shares[0])
+        return 0.99 * np.interp(x, self.knots, self.shares) + 0.01 / (1 + np.exp(-np.clip(x / 8, -30, 30)))
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list, float]:
@@ -62,64 +70,98 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list, fl
     return rows, counts.get(1, 0) / max(sum(counts.values()), 1)
 
 
-def _runs(grams: Grams, words: list[bytes], at: int) -> np.ndarray:
-    return subword.grams_of(grams, b" ".join(words[at : at + WIDTH]))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic regression of one variable, by Newton steps with a little ridge."""
-    mean, scale = x.mean(), max(x.std(), 1e-6)
-    z = np.stack(((x - mean) / scale, np.ones(len(x))), axis=1)
-    beta = np.zeros(2)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        g = z.T @ (w * (p - y)) + 1e-2 * beta * [1, 0]
-        h = (z * (w * p * (1 - p))[:, None]).T @ z + np.diag([1e-2, 1e-6])
-        beta -= np.linalg.solve(h, g)
-    return float(beta[0] / scale), float(beta[1] - beta[0] * mean / scale)
-
-
-def train(rows: list[tuple[str, int]], share: float, bits: int = 17, clean_runs: int = 24, seed: int = 5) -> Model:
+def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted shares of label 1 that rise with x: neighbours are pooled while they fall."""
+    blocks: list[list[float]] = []  # sum of w y, sum of w, least and most x
+    for i in np.argsort(x, kind="stable"):
+        blocks.append([w[i] * y[i], w[i], x[i], x[i]])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            b = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + b[0], blocks[-1][1] + b[1], blocks[-1][2], b[3]]
+    knots = np.array([v for b in blocks for v in (b[2], b[3])])
+    return knots, np.array([v for b in blocks for v in [b[0] / b[1]] * 2])
+
+
+def _apart(rows: list[tuple[str, int]], tau: int = 6) -> list[tuple[str, int]]:
+    """Rows without near copies of earlier ones: copies share a label, right or wrong, and would make it look supported."""
+    prints = np.array([fingerprint(t.encode()) for t, _ in rows], dtype=np.uint64)
+    kept: list[int] = []
+    seen = np.empty(len(rows), dtype=np.uint64)
+    for i, p in enumerate(prints):
+        if not (np.bitwise_count(seen[: len(kept)] ^ p) <= tau).any():
+            seen[len(kept)] = p
+            kept.append(i)
+    return [rows[i] for i in kept]
+
+
+def _telling(grams: Grams, texts: list[tuple[bytes, int]]) -> np.ndarray:
+    """Which buckets stand in more toxic texts than chance explains."""
+    df, n = np.zeros((2, 1 << grams.bits)), np.zeros(2)
+    for t, y in texts:
+        df[y][np.unique(subword.grams_of(grams, t))] += 1
+        n[y] += 1
+    total = n.sum()
+    a, b = df[1], df[0]
+    chi = total * (a * (n[0] - b) - b * (n[1] - a)) ** 2 / np.maximum((a + b) * (total - a - b) * n[0] * n[1], 1)
+    prefers = (a >= min(SUPPORT, max(2, n[1] // 8))) & (a * n[0] >= TIMES * (b + 1) * n[1])
+    bar = min(PREFERENCE, float(chi[prefers].max()) / 2) if prefers.any() else PREFERENCE  # few labels: the best half
+    return prefers & (chi >= bar)
+
+
+def train(rows: list[tuple[str, int]], share: float, bits: int = 20, clean_runs: int = 30, seed: int = 5) -> Model:
     """A model of rows (text, toxic); share: how common label 1 is, to which scores are calibrated."""
     grams = Grams((3, 4, 5), bits)
-    rows = sorted(rows)
+    rows = _apart(sorted(rows))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
     kinds = {t for _, t in rows}
     if kinds != {0, 1}:
         p = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(grams, np.zeros(1 << bits, np.float32), 0.0, float(np.log(p / (1 - p))), 0.0)
+        return Model(grams, np.zeros(1 << bits, np.float32), np.zeros(1), np.array([p]), 0.0)
     texts = [(rows[i][0].encode().lower(), rows[i][1]) for i in order]
     cut = max(1, len(texts) // 5) if len(texts) >= 50 else 0
     aside, fitting = texts[:cut] or texts, texts[cut:]
-    toxic = [[_runs(grams, w, at) for at in range(0, max(1, len(w) - WIDTH + 1), 2)] for t, y in fitting if y for w in [t.split()] if w]
-    clean = []
+    own = _telling(grams, fitting)
+    shared = 1 << bits  # the bucket of all other grams, whose embedding is zero
+
+    def run(words: list[bytes], at: int, width: int = WIDTH) -> np.ndarray:
+        ids = subword.grams_of(grams, b" ".join(words[at : at + width]))
+        return np.where(own[ids], ids, np.int32(shared))
+
+    toxic, clean = [], []
     for t, y in fitting:
         w = t.split()
-        if not y and w:
-            last = max(1, len(w) - WIDTH + 1)
-            clean += [_runs(grams, w, int(at)) for at in (rng.choice(last, clean_runs, replace=False) if last > clean_runs else range(last))]
+        if y and w:
+            toxic.append([r for r in (run(w, at) for at in range(max(1, len(w) - WIDTH + 1))) if (r != shared).any()])
+        elif w:
+            clean += [run(w, int(at), 1 + int(at) % WIDTH) for at in rng.integers(0, len(w), min(clean_runs, len(w)))]
     margin = None
-    for step in range(4):
-        if margin is None:
-            runs = [r for runs in toxic for r in (runs if len(runs) <= 30 else [runs[i] for i in rng.choice(len(runs), 30, replace=False)])]
-        else:
-            runs = []
-            for own in toxic:
-                bags = subword.Bags.of(own)
-                worst = subword.bag_logits(bags, margin[:, None], np.zeros(1))[:, 0]
-                runs += [own[i] for i in np.argsort(-worst)[: 1 + (worst > 1.0).sum().clip(0, 5)]]
+    for step in range(3):
+        runs: list[np.ndarray] = []
+        for bags in toxic:
+            # at first all runs with a telling gram; then the worst of each text
+            if margin is None:
+                runs += bags[:30]
+            elif bags:
+                worst = subword.bag_logits(subword.Bags.of(bags), margin[:, None], np.zeros(1))[:, 0]
+                runs += [bags[i] for i in np.argsort(-worst, kind="stable")[:4]]
+        if not runs:
+            break
         bags = subword.Bags.of([*runs, *clean])
         y = np.append(np.ones(len(runs), dtype=int), np.zeros(len(clean), dtype=int))
-        weight = np.where(y == 1, len(clean) / max(len(runs), 1), 1.0) ** 0.5
-        weights, bias = subword.train(bags, y, 2, 1 << bits, dim=8, epochs=3, rate=0.4, weight=np.minimum(weight, 8), seed=seed + step)
+        weight = np.where(y == 1, min(8.0, (len(clean) / len(runs)) ** 0.5), 1.0)
+        weights, bias = subword.train(bags, y, 2, shared + 1, dim=8, epochs=3, rate=0.8, weight=weight, seed=seed + step, still=shared)
         margin = weights[:, 1] - weights[:, 0]
-    model = Model(grams, margin, 1.0, 0.0, 0.0)
-    x = model.margins([t for t, _ in aside])
-    y = np.array([t for _, t in aside], dtype=float)
+    if margin is None:
+        margin = np.zeros(shared + 1, dtype=np.float32)
+    model = Model(grams, np.where(own, margin[:-1], margin[-1]).astype(np.float32), np.zeros(1), np.zeros(1), 0.0)
+    # clean texts taught by a few runs each, so their worst runs still say how often clean texts go astray
+    checked = [*aside, *((t, y) for t, y in fitting if not y)] if cut else aside
+    x = model.margins([t for t, _ in checked])
+    y = np.array([t for _, t in checked], dtype=float)
     model.none = float(np.median(x[y == 0])) if (y == 0).any() else 0.0
     w = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    model.slope, model.offset = _logistic(x, y, w)
+    model.knots, model.shares = _isotonic(x, y, w)
     return model
 
 
