@@ -107,37 +107,78 @@ class Grown:
 
     def extend(self, values: np.ndarray) -> None:
         if self.n + len(values) > len(self.data):
-            self.data = np.concatenate((self.data, np.zeros(max(len(self.data), len(values)), dtype=self.data.dtype)))
+            self.data = np.concatenate((self.data, np.zeros(max(len(self.data) // 2, len(values)), dtype=self.data.dtype)))
         self.data[self.n : self.n + len(values)] = values
         self.n += len(values)
 
 
+#: Characters whose lattices are laid out together; a longer unit alone.
+ADD_CHARS = 120_000
+
+
+class Units(dict):
+    """Numbers units as they are first asked for; `fresh` lists those without a lattice yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = code = len(self)
+        self.fresh.append(unit)
+        return code
+
+
+#: The splitmix64 generator.
+GAMMA, MIX_1, MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def scrambled(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * MIX_1
+    z = (z ^ (z >> np.uint64(27))) * MIX_2
+    return z ^ (z >> np.uint64(31))
+
+
+def uniform(z: np.ndarray) -> np.ndarray:
+    """In [0, 1), one for each 64-bit state: noise depends on the row's key and the place alone, not on what shares a batch."""
+    return (scrambled(z) >> np.uint64(11)) * (1.0 / (1 << 53))
+
+
 class Lattices:
-    """The lattices of units met so far, in flat arrays.  Edges of a node lie together, likeliest first; `edge_upto` is the share of the edges up to here."""
+    """The lattices of units met so far, in flat arrays.  Edges of a node lie together, longest first; `edge_upto` is the share of the edges up to here.
+
+    Shares and log-probabilities are kept in single precision; segmentations sum them in double.
+    """
 
-    def __init__(self, model: Model, remember: int = 2_000_000):
+    def __init__(self, model: Model, remember: int = 1_200_000):
         self.model, self.remember = model, remember
         self.clear()
 
     def clear(self) -> None:
-        self.start: dict[str, int] = {}
-        self.edge_upto, self.edge_log = Grown(np.float64), Grown(np.float64)
-        self.edge_from, self.edge_to, self.edge_piece = Grown(np.int32), Grown(np.int32), Grown(np.int32)
-        self.first_edge = Grown(np.int32)  # of each node, and one more
-        self.first_edge.extend(np.zeros(1, dtype=np.int32))
+        self.codes = Units()
+        self.code_start = Grown(np.int64)  # first node of each unit
+        self.edge_upto, self.edge_log, self.edge_log_rest = Grown(np.float32), Grown(np.float32), Grown(np.float32)
+        self.edge_from, self.edge_piece = Grown(np.int32), Grown(np.int16 if len(self.model.bytes_of) < 1 << 15 else np.int32)
+        self.edge_size = Grown(np.int8)  # characters; 0: to the end of the unit
+        self.first_edge, self.n_edges = Grown(np.int64), Grown(np.int16)  # of each node
         self.node_char = Grown(np.int32)
 
     @property
     def nodes(self) -> int:
-        return self.first_edge.n - 1
+        return self.first_edge.n
 
     def add(self, units: list[str]) -> None:
         m, base = self.model, self.nodes
         sizes = np.array([len(u) for u in units], dtype=np.int64)
-        chars = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         ends = np.repeat(np.cumsum(sizes), sizes)
         n = len(chars)
-        src, dst, piece, weight = [], [], [], []
+        left = ends - np.arange(n)
+        # nodes are taken from the units' ends on; ranks are their places in that order
+        order = np.argsort(left.astype(np.int16) if left.max() < 1 << 15 else left, kind="stable")
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.arange(n)
+        src, size, piece, weight = [], [], [], []
         at, state, k, single = np.arange(n), np.zeros(n, dtype=np.int64), 0, np.zeros(n, dtype=bool)
         while len(at):
             state = m.advance(state, chars[at + k])
@@ -145,80 +186,96 @@ class Lattices:
             at, state = at[ok], state[ok]
             k += 1
             hit = m.piece[state] >= 0
-            src.append(at[hit])
-            dst.append(at[hit] + k)
-            piece.append(m.piece[state[hit]])
-            weight.append(m.weight[state[hit]])
+            own, found = at[hit], state[hit]
+            src.append(own)
+            size.append(np.full(len(own), k))
+            piece.append(m.piece[found])
+            weight.append(m.weight[found])
             if k == 1:
-                single[at[hit]] = True
+                single[own] = True
             more = at + k < ends[at]
             at, state = at[more], state[more]
         lone = np.flatnonzero(~single)
         width = 1 + (chars[lone] > 0x7F) + (chars[lone] > 0x7FF) + (chars[lone] > 0xFFFF)
-        src, dst = np.concatenate([*src, lone]), np.concatenate([*dst, lone + 1])
+        src, size = np.concatenate([*src, lone]), np.concatenate([*size, np.ones(len(lone), dtype=np.int64)])
         piece, weight = np.concatenate([*piece, np.full(len(lone), -1)]), np.concatenate([*weight, m.byte_weight * width])
-        # from the units' ends: log-sum over the ways to end
-        left = ends - np.arange(n)
-        order = np.lexsort((dst, src, left[src]))
-        src, dst, piece, weight = src[order], dst[order], piece[order], weight[order]
-        beta = np.zeros(n + 1)
-        done = np.zeros(n, dtype=bool)
-        cuts = np.flatnonzero(np.diff(left[src])) + 1
+        sort = np.argsort(rank[src] * 64 + (63 - np.minimum(size, 63)))
+        src, size, piece, weight = src[sort], size[sort], piece[sort], weight[sort]
+        dst = src + size
         last = dst == ends[src]
-        for a, b in zip(np.append(0, cuts), np.append(cuts, len(src))):
-            total = weight[a:b] + np.where(last[a:b], 0.0, beta[np.minimum(dst[a:b], n - 1)])
-            own = src[a:b]
-            new = np.append(0, np.flatnonzero(np.diff(own)) + 1)
-            top = np.maximum.reduceat(total, new)
-            heads = own[new]
-            beta[heads] = top + np.log(np.add.reduceat(np.exp(total - np.repeat(top, np.diff(np.append(new, len(own))))), new))
-            done[heads] = True
-        log = weight + np.where(last, 0.0, beta[np.minimum(dst, n - 1)]) - beta[src]
-        order = np.lexsort((dst, -log, src))
-        src, dst, piece, log, last = src[order], dst[order], piece[order], log[order], last[order]
-        new = np.append(0, np.flatnonzero(np.diff(src)) + 1)
+        count = np.bincount(rank[src], minlength=n)
+        first = np.cumsum(count) - count  # by rank
+        beta = np.zeros(n + 1)  # log-sum over the ways to the end; at rank n: 0, the end itself
+        to = np.where(last, n, rank[np.minimum(dst, n - 1)])
+        total = np.empty(len(src))
+        stops = np.append(np.flatnonzero(np.diff(left[order])) + 1, n)
+        low = 0
+        for high in stops.tolist():
+            a, b = int(first[low]), int(first[high - 1] + count[high - 1])
+            t = weight[a:b] + beta[to[a:b]]
+            new = first[low:high] - a
+            top = np.maximum.reduceat(t, new)
+            beta[low:high] = top + np.log(np.add.reduceat(np.exp(t - np.repeat(top, count[low:high])), new))
+            total[a:b] = t
+            low = high
+        log = np.minimum(total - np.repeat(beta[:n], count), 0.0)
         share = np.exp(log)
         run = np.cumsum(share)
-        run -= np.repeat(np.append(0.0, run[new[1:] - 1]), np.diff(np.append(new, len(src))))
-        run = np.minimum(run, 1.0)
-        run[np.append(new[1:], len(src)) - 1] = 1.0
+        run -= np.repeat(run[first] - share[first], count)
+        others = np.add.reduceat(share, first)
+        rest = np.repeat(others, count) - share
+        rest = np.where(np.repeat(count, count) == 1, 0.0, np.maximum(np.where(share > 0.5, -np.expm1(log), rest), 1e-300))
+        run[first + count - 1] = np.inf
         edges = self.edge_upto.n
         self.edge_upto.extend(run)
+        self.edge_log.extend(log)
+        with np.errstate(divide="ignore"):
+            self.edge_log_rest.extend(np.log(rest))
         self.edge_from.extend(src + base)
-        self.edge_log.extend(np.minimum(log, 0.0))
-        self.edge_to.extend(np.where(last, -1, dst + base))
+        self.edge_size.extend(np.where(last, 0, size))
         self.edge_piece.extend(piece)
-        self.first_edge.extend(np.append(new[1:], len(src)) + edges)
+        self.first_edge.extend(first[rank] + edges)
+        self.n_edges.extend(count[rank])
         self.node_char.extend(chars)
-        for u, s in zip(units, (np.cumsum(sizes) - sizes + base).tolist()):
-            self.start[u] = s
+        self.code_start.extend(np.cumsum(sizes) - sizes + base)
 
     def starts(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The first node of each unit of each text."""
         if self.nodes > self.remember:
             self.clear()
-        fresh = list(dict.fromkeys(u for t in texts for u in t if u not in self.start))
-        if fresh:
-            self.add(fresh)
-        get = self.start.__getitem__
-        return [np.fromiter(map(get, t), dtype=np.int64, count=len(t)) for t in texts]
-
-    def walk(self, nodes: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """Samples a way to the end of its unit from each node: edges in order, and each edge's place in nodes."""
-        upto, to, first = self.edge_upto.data, self.edge_to.data, self.first_edge.data
+        get = self.codes.__getitem__
+        coded = [np.fromiter(map(get, t), dtype=np.int64, count=len(t)) for t in texts]
+        fresh, self.codes.fresh = self.codes.fresh, []
+        part: list[str] = []
+        size = 0
+        for u in fresh:
+            part.append(u)
+            size += len(u)
+            if size >= ADD_CHARS:
+                self.add(part)
+                part, size = [], 0
+        if part:
+            self.add(part)
+        return [self.code_start.data[c] for c in coded]
+
+    def walk(self, nodes: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Samples a way to the end of its unit from each node: edges in order, and each edge's place in nodes.  noise: a 64-bit state of each."""
+        upto, size, first = self.edge_upto.data, self.edge_size.data, self.first_edge.data
         edges, owner = [], []
         who = np.arange(len(nodes))
         while len(nodes):
-            r, e = rng.random(len(nodes)), first[nodes]
-            on = np.flatnonzero(r >= upto[e])
+            noise = noise + GAMMA
+            r, e = uniform(noise), first[nodes]
+            on = (r >= upto[e]).nonzero()[0]
             while len(on):
-                e[on] += 1
-                on = on[r[on] >= upto[e[on]]]
+                own = e[on] + 1
+                e[on] = own
+                on = on[r[on] >= upto[own]]
             edges.append(e)
             owner.append(who)
-            nodes = to[e]
-            going = nodes >= 0
-            nodes, who = nodes[going], who[going]
+            step = size[e]
+            going = step.nonzero()[0]
+            nodes, who, noise = nodes[going] + step[going], who[going], noise[going]
         if not edges:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         e, o = np.concatenate(edges), np.concatenate(owner)
@@ -227,7 +284,7 @@ class Lattices:
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
         """Token ids of a segmentation; a fallback edge becomes the bytes of its character."""
-        out = self.edge_piece.data[edges]
+        out = self.edge_piece.data[edges].astype(np.int64)
         lone = np.flatnonzero(out < 0)
         if not len(lone):
             return out
@@ -239,67 +296,95 @@ class Lattices:
         return np.concatenate([*parts, out[at:]])
 
 
+class Search:
+    """What is known of one text: its regions (maximum, segmentation whose prefix it keeps, its length, edges left out) and samples."""
+
+    def __init__(self, starts: np.ndarray, seed: int):
+        self.starts, self.seed = starts, seed
+        top = -np.log(-np.log(max(float(uniform(np.array([seed], dtype=np.uint64))[0]), 1e-300)))
+        self.regions: list[tuple] = [(float(top), None, 0, ())]
+        self.out: list[tuple] = []
+
+
 class Sampler:
     def __init__(self, path: str, k: int, seed: int = 0):
         self.model, self.k, self.seed = Model(path), k, seed
         self.lattices = Lattices(self.model)
 
-    def sample(self, starts: np.ndarray, key: bytes) -> list[tuple[np.ndarray, float, float, float]]:
-        """Up to k of (edges, log-probability, perturbed, inclusion score), best first."""
-        lat, k = self.lattices, self.k
-        rng = np.random.Generator(np.random.PCG64(xxhash.xxh64_intdigest(key, self.seed & 0xFFFFFFFF)))
-        top = -np.log(-np.log(1 - rng.random()))
-        if not len(starts):
-            return [(np.empty(0, np.int64), 0.0, float(top), 1.0)]
-        regions: list[tuple] = [(top, None, 0, ())]  # maximum, the segmentation whose prefix it keeps, its length, edges left out
-        out = []
-        while regions and len(out) < k:
-            best = max(range(len(regions)), key=lambda i: regions[i][0])
-            g, parent, t, barred = regions.pop(best)
+    def sample(self, starts: list[np.ndarray], keys: list[bytes]) -> list[list[tuple[np.ndarray, float, float, float]]]:
+        """For each text up to k of (edges, log-probability, perturbed, inclusion score), best first.  Texts advance together, a sample a round."""
+        searches = [Search(s, xxhash.xxh64_intdigest(key, self.seed & 0xFFFFFFFF)) for s, key in zip(starts, keys)]
+        for s in searches:
+            if not len(s.starts):
+                s.out, s.regions = [(np.empty(0, np.int64), 0.0, s.regions[0][0])], []
+        for turn in range(1, self.k + 1):
+            live = [s for s in searches if s.regions and len(s.out) < self.k]
+            if not live:
+                break
+            self._round(live, turn)
+        results = []
+        for s in searches:
+            left = max((r[0] for r in s.regions), default=-np.inf)
+            results.append([(e, lp, g, 1.0 if left == -np.inf else float(-np.expm1(-np.exp(min(lp - left, 50.0))))) for e, lp, g in s.out])
+        return results
+
+    def _round(self, live: list[Search], turn: int) -> None:
+        """Takes each text's best region, samples the segmentation that attains its maximum, and splits the rest of the region."""
+        lat = self.lattices
+        picked, nodes, seeds = [], [], []
+        for s in live:
+            best = max(range(len(s.regions)), key=lambda i: s.regions[i][0])
+            g, parent, t, barred = s.regions.pop(best)
+            seed = np.uint64((s.seed + turn * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)
             if parent is None:
-                edges, unit = lat.walk(starts, rng)
+                head, head_unit, rest, unit = np.empty(0, np.int64), np.empty(0, np.int64), s.starts, 0
             else:
-                edges, unit = self._finish(starts, parent, t, barred, rng)
-            log = lat.edge_log.data[edges]
-            before = np.append(0.0, np.cumsum(log))
-            out.append((edges, float(before[-1]), float(g)))
+                head, head_unit, rest, unit = self._branch(s, parent, t, barred, seed)
+            picked.append((s, g, t, barred, head, head_unit, unit))
+            nodes.append(rest)
+            seeds.append(scrambled(seed + np.arange(1, len(rest) + 1, dtype=np.uint64) * MIX_2))
+        sizes = np.array([len(x) for x in nodes])
+        edges, place = lat.walk(np.concatenate(nodes), np.concatenate(seeds))
+        first = np.cumsum(sizes) - sizes
+        cuts = np.searchsorted(place, first)
+        ends = np.append(cuts[1:], len(edges))
+        for (s, g, t, barred, head, head_unit, unit), a, b, at in zip(picked, cuts.tolist(), ends.tolist(), first.tolist()):
+            own = np.concatenate((head, edges[a:b])) if len(head) else edges[a:b]
+            units = np.concatenate((head_unit, place[a:b] - at + unit)) if len(head) else place[a:b] - at
+            before = np.cumsum(lat.edge_log.data[own], dtype=np.float64)
+            s.out.append((own, float(before[-1]), g))
+            wanted = self.k - len(s.out) + 1
             # what is left: at each place from t on, another edge than this one's
-            rest = -np.expm1(log[t:])
+            rest = lat.edge_log_rest.data[own[t:]].astype(np.float64)
             if barred:
-                rest[0] = 1.0 - np.exp(lat.edge_log.data[[*barred, edges[t]]]).sum()
-            rest = np.where(self._choices(edges[t:]) > (np.arange(len(rest)) == 0) * len(barred) + 1, np.maximum(rest, 1e-300), 0.0)
-            open_ = np.flatnonzero(rest > 0)
-            if len(open_):
-                phi = before[t : len(edges)][open_] + np.log(rest[open_])
-                noise = -np.log(1 - rng.random(len(open_)))
-                maxima = -np.logaddexp(-g, np.log(noise) - phi)
-                wanted = min(len(open_), k - len(out) + 1)
-                for i in np.argpartition(-maxima, wanted - 1)[:wanted]:
-                    at = int(open_[i])
-                    bars = (*barred, int(edges[t])) if at == 0 else (int(edges[t + at]),)
-                    regions.append((float(maxima[i]), (edges, unit), t + at, bars))
-        left = max((r[0] for r in regions), default=-np.inf)
-        return [(e, lp, g, 1.0 if left == -np.inf else float(-np.expm1(-np.exp(min(lp - left, 50.0))))) for e, lp, g in out]
-
-    def _choices(self, edges: np.ndarray) -> np.ndarray:
-        """How many edges leave the node of each edge."""
-        first, node = self.lattices.first_edge.data, self.lattices.edge_from.data[edges]
-        return first[node + 1] - first[node]
-
-    def _finish(self, starts: np.ndarray, parent: tuple, t: int, barred: tuple, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """A segmentation with the parent's first t edges, then none of the barred ones, then anything."""
+                gone = [*barred, int(own[t])]
+                share = 1.0 - np.exp(lat.edge_log.data[gone].astype(np.float64)).sum()
+                rest[0] = np.log(max(share, 1e-300)) if lat.n_edges.data[lat.edge_from.data[gone[0]]] > len(gone) else -np.inf
+            noise = np.uint64((s.seed ^ 0xA0761D6478BD642F) + turn & 0xFFFFFFFFFFFFFFFF) + np.arange(1, len(rest) + 1, dtype=np.uint64) * GAMMA
+            phi = rest - np.log(-np.log1p(-uniform(noise)))
+            phi[1:] += before[t:-1]
+            if t:
+                phi[0] += before[t - 1]
+            wanted = min(len(phi), wanted)
+            for i in np.argpartition(-phi, wanted - 1)[:wanted].tolist():
+                if phi[i] > -np.inf:
+                    bars = (*barred, int(own[t])) if i == 0 else (int(own[t + i]),)
+                    s.regions.append((float(-np.logaddexp(-g, -phi[i])), (own, units), t + i, bars))
+
+    def _branch(self, s: Search, parent: tuple, t: int, barred: tuple, seed: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """The parent's first t edges and one that is not barred; their units; the nodes that go on freely; the first one's unit."""
         lat = self.lattices
         edges, unit = parent
-        first = lat.first_edge.data
         node = int(lat.edge_from.data[barred[0]])
-        free = np.array([e for e in range(first[node], first[node + 1]) if e not in barred], dtype=np.int64)
-        p = np.exp(lat.edge_log.data[free])
+        first = int(lat.first_edge.data[node])
+        free = np.array([e for e in range(first, first + int(lat.n_edges.data[node])) if e not in barred], dtype=np.int64)
+        p = np.exp(lat.edge_log.data[free].astype(np.float64))
         p = p / p.sum() if p.sum() > 0 else np.full(len(free), 1 / len(free))
-        e = int(free[min(np.searchsorted(np.cumsum(p), rng.random(), side="right"), len(free) - 1)])
-        u, to = int(unit[t]), int(lat.edge_to.data[e])
-        rest = starts[u + 1 :] if to < 0 else np.append(to, starts[u + 1 :])
-        more, who = lat.walk(rest, rng)
-        return np.concatenate((edges[:t], [e], more)), np.concatenate((unit[:t], [u], who + u + (to < 0)))
+        r = uniform(np.array([seed], dtype=np.uint64))[0]
+        e = int(free[min(np.searchsorted(np.cumsum(p), r, side="right"), len(free) - 1)])
+        u, step = int(unit[t]), int(lat.edge_size.data[e])
+        rest = np.append(node + step, s.starts[u + 1 :]) if step else s.starts[u + 1 :]
+        return np.append(edges[:t], e), np.append(unit[:t], u), rest, u + (step == 0)
 
 
 @lru_cache(maxsize=2)
@@ -319,14 +404,15 @@ OUT_DDL = "doc_id long, sample int, n_tokens long, log_prob double, perturbed do
 def _sampler(path: str, k: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sampler(path, k, seed)
-        for b in batches:
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for at in range(0, len(ids), 256):
-                part = texts[at : at + 256]
+            first = s.lattices.starts([units_of(t) for t in texts])
+            for at in range(0, len(ids), 200):
                 cols: list[list] = [[] for _ in range(7)]
                 tokens, sizes = [], []
-                for doc_id, text, starts in zip(ids[at : at + 256], part, s.lattices.starts([units_of(t) for t in part])):
-                    for rank, (edges, lp, g, inc) in enumerate(s.sample(starts, _key(doc_id)), 1):
+                part = ids[at : at + 200]
+                for doc_id, text, found in zip(part, texts[at : at + 200], s.sample(first[at : at + 200], [_key(i) for i in part])):
+                    for rank, (edges, lp, g, inc) in enumerate(found, 1):
                         own = s.lattices.ids(edges)
                         ok = s.model.decode(own.tolist()) == text.replace(SPACE, " ")
                         for c, v in zip(cols, (doc_id, rank, len(own), lp, g, inc, ok)):
