@@ -90,6 +90,15 @@ def wf1(spark, d):
     return cand.detected(paragraphs(spark, d).where("paragraph_index % 13 = 0")).select("candidate_id", "source")
 
 
+#: WF1_ordinals holds the inline kind only; here each kind does.  A candidate's place follows from where its source stands.
+PLACED = KINDS + r""", placed as (select e.para, e.kind, e.source, strpos(p.text, e.source) - 1 as start, row_number() over (partition by e.para order by strpos(p.text, e.source)) - 1 as i from everything e join paragraphs p on p.para = e.para where e.kind is not null)"""
+
+
+@query("WF1_ordinals_all_kinds", PLACED + r""" select concat('word/document.xml:', cast(para as string), ':', case when kind = 'latex-broken' then concat(cast(start as string), ':', cast(start + len(source) as string)) else cast(i as string) end) as candidate_id, source from placed""")
+def wf1_all(spark, d):
+    return cand.detected(paragraphs(spark, d)).select("candidate_id", "source")
+
+
 @query("SO1_sorted_candidates", KINDS + " select para, count(*) as n, min(kind) as least from everything where kind is not null group by para")
 def so1(spark, d):
     return cand.detected(paragraphs(spark, d)).groupBy(F.col("paragraph_index").alias("para")).agg(F.count("*").alias("n"), F.min("kind").alias("least"))

@@ -107,3 +107,14 @@ def test_native_plan_has_no_python(spark):
     rows = spark.range(1).selectExpr("'d' as doc", "'p' as part", "0 as paragraph_index", "'x = 1' as text")
     plan = candidates.detected(rows)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_ids_of_every_kind(spark):
+    from glyphmill.plans import registry
+
+    registry.load()
+    data = "/root/testdata/sf0.001"
+    rows = registry.QUERIES["WF1_ordinals_all_kinds"](spark, data).collect()
+    kinds = {int(r.candidate_id.split(":")[1]) % 13 for r in rows}
+    assert kinds == {0, 1, 2, 4, 5, 7, 8, 9, 10, 12} and any(r.candidate_id.count(":") == 3 for r in rows)
+    assert len(rows) == registry.QUERIES["SF1_detected_formulas"](spark, data).count()
