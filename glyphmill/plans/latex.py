@@ -186,6 +186,13 @@ def so2(spark, d):
     return u.select("file", F.reverse(latex.splice(F.col("text"), breaks)).alias("flipped"))
 
 
+@query("SO2_splice_order_all_units", duck("units") + " select file, reverse(replace(text, chr(10), ' ')) as flipped from units")
+def so2_all(spark, d):
+    u = view(spark, d, "units")
+    breaks = F.transform(latex.matches(F.col("text"), "\n", 0), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(" ").alias("after")))
+    return u.select("file", F.reverse(latex.splice(F.col("text"), breaks)).alias("flipped"))
+
+
 GRAPH = duck("edges") + ", nodes as (select 'd0' as project, doc_id as node from documents)"
 
 

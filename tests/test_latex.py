@@ -93,3 +93,12 @@ def test_reports(tmp_path):
     assert "&lt;a&gt;" in page and "rtl" in page and "m&amp;" in page
     reports.write_json(str(tmp_path / "x" / "r.json"), {"ü": 1})
     assert "ü" in (tmp_path / "x" / "r.json").read_text()
+
+
+def test_splice_order_of_every_unit(spark):
+    from glyphmill.plans import registry
+
+    registry.load()
+    data = "/root/testdata/sf0.001"
+    got = {r.file for r in registry.QUERIES["SO2_splice_order_all_units"](spark, data).select("file").collect()}
+    assert got == {f"u{r.doc_id}.tex" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id").collect()}
