@@ -80,7 +80,7 @@ def search(queries: tuple[np.ndarray, np.ndarray], candidates: tuple[np.ndarray,
         scores = q[at[0] : at[1], rows].T @ c[at[0] : at[1]]
         for i in range(scores.shape[0]):
             j = first + i
-            s, alive, own_c = scores[i], None, c_rest
+            s, alive, own_c, own = scores[i], None, c_rest, c_ids == q_ids[j]
             for b in range(len(at) - 1):
                 if b:
                     part = c[at[b] : at[b + 1]] if alive is None else c[at[b] : at[b + 1], alive]
@@ -89,8 +89,8 @@ def search(queries: tuple[np.ndarray, np.ndarray], candidates: tuple[np.ndarray,
                     continue
                 reach = q_rest[b][j] * (own_c[b] if alive is None else own_c[b][alive])
                 slack = 1e-6 * (1 + np.abs(s).max())
-                low = s - reach
-                floor = np.partition(low, len(low) - k - 1)[len(low) - k - 1] - slack  # one more than k: a query may meet itself
+                low = np.where(own if alive is None else own[alive], -np.inf, s - reach)  # rows of the query's own id are no neighbours
+                floor = np.partition(low, len(low) - k)[len(low) - k] - slack
                 keep = np.flatnonzero(s + reach >= floor)
                 if len(keep) < 0.7 * len(s):
                     alive = keep if alive is None else alive[keep]

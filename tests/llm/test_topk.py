@@ -46,3 +46,17 @@ def test_blocks_and_wide_values():
     exact = [[int(x) for x in row] for row in (q.astype(object).T @ c.astype(object))]
     want = [(1000 + i, j, row[j]) for i, row in enumerate(exact) for j in sorted(range(500), key=lambda j: (-row[j], j))[:10]]
     assert list(zip(a.tolist(), b.tolist(), s.tolist())) == want
+
+
+@pytest.mark.parametrize("own", [1, 2, 30])
+def test_repeated_query_rows(own):
+    """Rows of the query's own id outbid all others after the first block."""
+    rng = np.random.default_rng(own)
+    c = np.zeros((40, 400), dtype=np.int64)
+    c[:16] = rng.integers(-100, 100, (16, 400))
+    c[:, :own] = np.r_[np.full(16, 1000), np.zeros(24, dtype=np.int64)][:, None]
+    ids = np.r_[np.full(own, 20), np.arange(100, 500 - own)]
+    a, b, s = topk.search((np.array([20]), c[:, :1]), (ids, c), 20)
+    scores = c[:, 0] @ c
+    want = sorted((-int(x), int(i)) for x, i in zip(scores, ids) if i != 20)[:20]
+    assert list(zip(a.tolist(), b.tolist(), s.tolist())) == [(20, i, -x) for x, i in want]
