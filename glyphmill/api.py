@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.operators import candidates as cand
-from glyphmill.operators import latex, package
+from glyphmill.operators import graph, latex, logs, package, plugins
 from glyphmill.sources import files
 
 API_VERSION = "2.0"
@@ -36,14 +36,30 @@ def repair_words(spark: SparkSession, folder: str, compiler: Callable[[str], byt
     return package.patched(package.read_packages(spark, folder), items, compiler, best_effort)
 
 
-def scan_project(spark: SparkSession, root: str, main: str = "main.tex") -> tuple[DataFrame, DataFrame]:
-    """(changes, findings) of the units that a project's main file reaches."""
+def scan_project(spark: SparkSession, root: str, main: str = "main.tex", profile: str = "generic", registry: plugins.Registry | None = None, adapter: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(changes, findings) of the units that a project's main file reaches; findings in order.  A project beyond the guards has one finding that says so."""
+    if profile not in plugins.PROFILES:
+        raise ValueError(f"unknown profile: {profile}")
     units, includes = files.workspace(files.read_tex(spark, root, main=main))
-    bibs = spark.read.format("binaryFile").option("pathGlobFilter", "*.bib").option("recursiveFileLookup", "true").load(root)
-    keys = latex.bib_keys(bibs.select(F.lit("p").alias("project"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")))
-    found = latex.all_findings(units, keys).select("code", "message", "file", "line")
-    edges = includes.select("code", F.concat(F.lit("Include of "), "raw").alias("message"), F.col("src").alias("file"), "line")
-    return latex.changes(units), found.unionByName(edges)
+    guard = graph.size_guard(units)
+    units, includes = (x.join(guard, "project", "left_anti") for x in (units, includes))
+    places = units.select("project", F.col("file").alias("src"), "seq")
+    edges = includes.join(places, ["project", "src"]).select("project", "seq", F.col("line").alias("pos"), "code", F.concat(F.lit("Include of "), "raw").alias("message"), F.col("src").alias("file"), "line")
+    own = units.select("project").distinct()
+    beside = main.rpartition("/")[0]
+    there = files.listed(spark, root).withColumn("project", F.lit("p"))
+    styles = there.where(F.regexp_extract("file", r"(?s)^(?:(.*)/)?[^/]*$", 1) == beside)
+    needed = there.where(F.col("file").isin(*(adapter or {}).get("required_files", []))).join(own, "project").select("project", "file", F.lit(None).cast("string").alias("text"))
+    found = latex.all_findings(
+        units, latex.bib_keys(files.bibliographies(spark, root, units)),
+        latex.template_missing(own.withColumn("profile", F.lit(profile)), styles), edges,
+        logs.findings(files.read_log(spark, root, main).join(guard, "project", "left_anti"), main.rpartition("/")[2]),
+        registry.findings(units, {"thesis_profile": profile}) if registry else None,
+        plugins.adapter_findings(units.select("project", "file", "text").unionByName(needed), adapter) if adapter else None,
+    )
+    rows = found.orderBy("stage", "step", "seq", "pos").select("code", "message", "file", "line")
+    large = guard.select(F.lit("PROJECT_TOO_LARGE").alias("code"), F.col("error").alias("message"), F.lit("").alias("file"), F.lit(None).cast("int").alias("line"))
+    return latex.changes(units), rows.unionByName(large)
 
 
 def repair_project(spark: SparkSession, root: str, target: str, main: str = "main.tex", decisions: DataFrame | None = None) -> int:

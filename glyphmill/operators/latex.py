@@ -122,11 +122,38 @@ def workspace_findings(units: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
-def all_findings(units: DataFrame, keys: DataFrame) -> DataFrame:
-    """One schema for every rule, with (stage, step, seq, pos) as its order."""
-    own = unit_findings(units).select("project", F.lit(1).alias("stage"), F.lit(0).alias("step"), "seq", "pos", "code", "message", "suggestion", "severity", "file", F.lit(None).cast("int").alias("line"))
-    cross = workspace_findings(units, keys).select("project", F.lit(2).alias("stage"), "step", "seq", "pos", "code", "message", "suggestion", "severity", "file", "line")
-    return own.unionByName(cross)
+def _staged(rows: DataFrame, stage: int | Column, step: int | Column, **columns: Column) -> DataFrame:
+    """A relation in the schema of all findings; what it lacks has the default."""
+    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+    default = {"seq": F.lit(0).cast("long"), "pos": F.lit(0), "suggestion": F.lit(""), "severity": F.lit("warning"), "file": F.lit(""), "line": F.lit(None).cast("int"), "plugin": F.lit("")}
+    pick = lambda c: columns.get(c, F.col(c) if c in rows.columns else default.get(c))
+    return rows.select("project", lit(stage).alias("stage"), lit(step).alias("step"), *(pick(c).alias(c) for c in ("seq", "pos", "code", "message", "suggestion", "severity", "file", "line", "plugin")))
+
+
+def all_findings(units: DataFrame, keys: DataFrame, templates: DataFrame | None = None, includes: DataFrame | None = None, log: DataFrame | None = None, plugins: DataFrame | None = None, adapters: DataFrame | None = None) -> DataFrame:
+    """One schema for every rule, with (stage, step, seq, pos) as its order: template, units, workspace, log, plugins, load errors.
+
+    templates: of template_missing; includes: (project, seq, pos, code, message, file, line); log: of logs.findings; plugins:
+    of Registry.findings; adapters: of adapter_findings.  A stage without a relation has no rows.
+    """
+    found = [_staged(unit_findings(units), 1, 0), _staged(workspace_findings(units, keys), 2, F.col("step") + 1)]
+    if templates is not None:
+        message = "A university compatibility profile was selected, but no local .cls or .sty template was found."
+        suggestion = "Place the licensed or university-provided template beside the TEX project."
+        found.append(_staged(templates, 0, 0, code=F.lit("THESIS_TEMPLATE_MISSING"), message=F.lit(message), suggestion=F.lit(suggestion)))
+    if includes is not None:
+        found.append(_staged(includes, 2, 0, severity=F.lit("error")))
+    if log is not None:
+        found.append(_staged(log, 3, F.col("rank"), suggestion=F.coalesce("suggestion", F.lit(""))))
+    if plugins is not None:
+        late = (F.col("code") == "PLUGIN_LOAD_ERROR") & (F.col("plugin") == "")
+        found.append(_staged(plugins, F.when(late, 5).otherwise(4), 0))
+    if adapters is not None:
+        found.append(_staged(adapters, 4, 1))
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    return rows
 
 
 def template_missing(projects: DataFrame, files: DataFrame) -> DataFrame:

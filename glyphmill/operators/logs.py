@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,16 +43,39 @@ def active_files(logs: DataFrame) -> DataFrame:
     return folded.select("project", F.explode(F.aggregate("rows", begin, step, lambda acc: acc["out"])).alias("r")).select("project", "r.seq", "r.file")
 
 
+def entries(text: str | None) -> list[str]:
+    """A log's entries in order: errors and font warnings whole (together where they overlap), other lines one by one."""
+    out, at = [], 0
+    text = (text or "").replace("\r\n", "\n")
+    merged: list[list[int]] = []
+    for m in sorted(m.span() for p in (BLOCK, FONT.replace(r"\z", r"\Z")) for m in re.finditer(p, text)):
+        if merged and m[0] < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], m[1])
+        else:
+            merged.append(list(m))
+    for start, end in merged:
+        out += [*text[at:start].split("\n"), text[start:end]]
+        at = end
+    return [e for e in [*out, *text[at:].split("\n")] if e]
+
+
 def findings(logs: DataFrame, main_file: str = "main.tex") -> DataFrame:
     """Errors (by file and line first, each once), undefined references, font warnings."""
-    g = lambda p, i: F.regexp_extract("text", p, i)
-    at = active_files(logs.where("true"))
-    direct = logs.where(F.regexp_like("text", F.lit(FILE_LINE))).select("project", "seq", F.lit(0).alias("rank"), F.lit("LATEX_COMPILE_ERROR").alias("code"), F.trim(g(FILE_LINE, 3)).alias("message"), g(FILE_LINE, 1).alias("file"), g(FILE_LINE, 2).cast("int").alias("line"), F.lit("error").alias("severity"))
-    blocks = logs.where(F.regexp_like("text", F.lit(BLOCK))).join(at, ["project", "seq"]).select("project", "seq", F.lit(1).alias("rank"), F.lit("LATEX_COMPILE_ERROR").alias("code"), F.trim(g(BLOCK, 1)).alias("message"), "file", g(BLOCK, 2).cast("int").alias("line"), F.lit("error").alias("severity"))
-    first = F.row_number().over(Window.partitionBy("project", "code", "file", "line", "message").orderBy("rank", "seq"))
+    def every(pattern: str, groups: int) -> DataFrame:
+        """(project, seq, pos, g1, ...): all matches of each entry."""
+        of = [F.regexp_extract_all("text", F.lit(pattern), F.lit(i)).alias(f"g{i}") for i in range(1, groups + 1)]
+        return logs.where(F.regexp_like("text", F.lit(pattern))).select("project", "seq", F.posexplode(F.arrays_zip(*of)).alias("pos", "m")).select("project", "seq", "pos", "m.*")
+
+    def found(rows: DataFrame, rank: int, code: str, message: Column, file: Column, line: Column, severity: str) -> DataFrame:
+        return rows.select("project", "seq", "pos", F.lit(rank).alias("rank"), F.lit(code).alias("code"), message.alias("message"), file.cast("string").alias("file"), line.cast("int").alias("line"), F.lit(severity).alias("severity"))
+
+    g1, g2, g3, none = F.col("g1"), F.col("g2"), F.col("g3"), F.lit(None)
+    direct = found(every(FILE_LINE, 3), 0, "LATEX_COMPILE_ERROR", F.trim(g3), g1, g2, "error")
+    blocks = found(every(BLOCK, 2).join(active_files(logs), ["project", "seq"]), 1, "LATEX_COMPILE_ERROR", F.trim(g1), F.col("file"), g2, "error")
+    first = F.row_number().over(Window.partitionBy("project", "code", "file", "line", "message").orderBy("rank", "seq", "pos"))
     errors = direct.unionByName(blocks).withColumn("n", first).where("n = 1").drop("n")
-    undefined = logs.where(F.regexp_like("text", F.lit(UNDEFINED))).select("project", "seq", F.lit(2).alias("rank"), F.lit("UNDEFINED_REFERENCE").alias("code"), F.concat(F.lit("Reference '"), g(UNDEFINED, 1), F.lit("' is undefined.")).alias("message"), F.lit(None).cast("string").alias("file"), g(UNDEFINED, 2).cast("int").alias("line"), F.lit("warning").alias("severity"))
-    fonts = logs.where(F.regexp_like("text", F.lit(FONT))).select("project", "seq", F.lit(3).alias("rank"), F.lit("FONT_WARNING").alias("code"), F.trim(F.regexp_replace(g(FONT, 1), r"\s+", " ")).alias("message"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), F.lit("warning").alias("severity"))
+    undefined = found(every(UNDEFINED, 2), 2, "UNDEFINED_REFERENCE", F.concat(F.lit("Reference '"), g1, F.lit("' is undefined.")), none, g2, "warning")
+    fonts = found(every(FONT, 1), 3, "FONT_WARNING", F.trim(F.regexp_replace(g1, r"\s+", " ")), none, none, "warning")
     rows = errors.unionByName(undefined).unionByName(fonts)
     help_ = F.when(F.col("message").contains("Undefined control sequence"), SPELLING).otherwise(HELP)
     return rows.withColumns({"file": F.coalesce("file", F.lit(main_file)), "suggestion": F.when(F.col("code") == "LATEX_COMPILE_ERROR", help_)})

@@ -53,9 +53,10 @@ class Registry:
             out = pd.DataFrame(rows, columns=["code", "message", "suggestion", "severity", "file", "line", "plugin"])
             out.insert(0, "project", pdf["project"].iloc[0])
             out["line"] = out["line"].astype("Int32")
+            out["pos"] = range(len(out))
             return out
 
-        return units.select("project", "file", "text").groupBy("project").applyInPandas(run, f"project string, {FINDING}")
+        return units.select("project", "file", "text").groupBy("project").applyInPandas(run, f"project string, {FINDING}, pos int")
 
 
 def parse_adapter(raw: str) -> dict:
@@ -85,12 +86,14 @@ def adapter_findings(units: DataFrame, adapter: dict) -> DataFrame:
     needs = [("file", f, F.max((F.col("file") == f) | F.col("file").endswith(f"/{f}"))) for f in adapter["required_files"]]
     needs += [("command", c, F.max(F.col("text").contains(c))) for c in adapter["required_commands"]]
     if not needs:
-        return units.select("project", F.lit("").alias("kind"), F.lit("").alias("item")).limit(0)
+        return units.select("project", F.lit(0).alias("pos"), *(F.lit("").alias(c) for c in ("kind", "item", "code", "message", "suggestion", "severity", "plugin"))).limit(0)
     seen = units.groupBy("project").agg(*(has.alias(f"n{i}") for i, (_, _, has) in enumerate(needs)))
     lacking = F.array_compact(F.array(*(F.when(~F.col(f"n{i}"), F.struct(F.lit(kind).alias("kind"), F.lit(item).alias("item"))) for i, (kind, item, _) in enumerate(needs))))
-    rows = seen.select("project", F.explode(lacking).alias("x")).select("project", "x.kind", "x.item")
+    rows = seen.select("project", F.posexplode(lacking).alias("pos", "x")).select("project", "pos", "x.kind", "x.item")
     code = F.when(F.col("kind") == "file", "TEMPLATE_FILE_MISSING").otherwise("TEMPLATE_COMMAND_MISSING")
-    return rows.withColumns({"code": code, "plugin": F.lit(adapter.get("name", ""))})
+    message = F.when(F.col("kind") == "file", F.concat(F.lit("Template adapter requires '"), "item", F.lit("', but it was not found."))).otherwise(F.concat(F.lit("Template command '"), "item", F.lit("' was not found in the project.")))
+    suggestion = F.when(F.col("kind") == "file", "Place the licensed or university-provided template file in the project.").otherwise("Follow the template documentation and add the required declaration.")
+    return rows.withColumns({"code": code, "message": message, "suggestion": suggestion, "severity": F.when(F.col("kind") == "file", "error").otherwise("warning"), "plugin": F.lit(adapter.get("name", ""))})
 
 
 def filled_plugin(plugin: Column, name: Column) -> Column:

@@ -65,3 +65,26 @@ def test_stream(spark, tmp_path):
     assert [r.source for r in spark.table("found").collect()] == [r.source for r in candidates(rows).collect()] == ["$x$"]
     with pytest.raises(ValueError):
         candidate_stream(rows)
+
+
+def test_scan_of_every_stage(spark, project):
+    from glyphmill.operators import plugins
+
+    (project / "main.log").write_text("(./main.tex\n! Undefined control sequence.\nl.7 \\foo\nLaTeX Warning: Reference `a' on page 1 undefined on input line 3.\nLaTeX Font Warning: Size\n not there\n\n)")
+    (project / "other.bib").write_text("@book{missing-key, title={x}}")
+    registry = plugins.Registry()
+    registry.add("bad", lambda sources, meta: 1 / 0)
+    registry.add("old", lambda sources, meta: [], "1.0")
+    _, findings = api.scan_project(spark, str(project), profile="tehran", registry=registry, adapter={"name": "U", "required_files": ["u.cls", "x.aux"], "required_commands": ["\\ref"]})
+    got = [r.code for r in findings.collect()]
+    assert got[0] == "THESIS_TEMPLATE_MISSING"
+    assert got[-6:] == ["LATEX_COMPILE_ERROR", "UNDEFINED_REFERENCE", "FONT_WARNING", "PLUGIN_FAILURE", "TEMPLATE_FILE_MISSING", "PLUGIN_LOAD_ERROR"]
+    assert "MISSING_CITATION" in got  # its key stands in a .bib that no unit declares
+
+
+def test_project_beyond_the_guard(spark, tmp_path):
+    (tmp_path / "main.tex").write_text("".join(f"\\input{{u{i}}}\n" for i in range(256)) + "\\ref{x}")
+    for i in range(256):
+        (tmp_path / f"u{i}.tex").write_text("\\frac12")
+    changes, findings = api.scan_project(spark, str(tmp_path))
+    assert [r.code for r in findings.collect()] == ["PROJECT_TOO_LARGE"] and changes.count() == 0
