@@ -90,15 +90,18 @@ class Encoder:
     The tokenizer cuts at every blank between non-blanks before it merges, so a text's ids are those of its pieces, each
     with the blank before it; a text's first piece, which has none, is a key of its own.  New pieces go to the library
     joined in long strings, and the bytes of its tokens tell them apart.  Texts with longer runs of white space go to the
-    library whole.  About ``remember`` pieces are kept.
+    library whole, and so do those that hold an added token, which the library looks for first; with ``split_special`` it
+    cuts special tokens like other text.  About ``remember`` pieces are kept.
     """
 
-    def __init__(self, path: str, end_id: int, remember: int = 700_000):
+    def __init__(self, path: str, end_id: int, remember: int = 700_000, split_special: bool = True):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = split_special
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if not (split_special and t.special)]
+        self.whole = re.compile("|".join([UNSAFE.pattern, *added]))
         self.vocabulary, self.end_id, self.remember = self.tokenizer.get_vocab_size(), end_id, remember
         self.token_bytes = np.zeros(self.vocabulary, dtype=np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -143,7 +146,7 @@ class Encoder:
             self._forget()
         get, coded = self.codes.__getitem__, []
         for t in texts:
-            if UNSAFE.search(t):
+            if self.whole.search(t):
                 coded.append(None)
                 continue
             pieces = t.split(" ")
@@ -165,7 +168,7 @@ class Encoder:
 @lru_cache(maxsize=2)
 def encoder(path: str, end_id: int) -> Encoder:
     """One for a Python worker, over all of its tasks."""
-    return Encoder(path, end_id)
+    return Encoder(path, end_id, split_special=False)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], enc: Encoder) -> Iterator[tuple[int | None, np.ndarray]]:

@@ -166,6 +166,17 @@ def test_encoder_is_the_library():
             assert ids[:-1].tolist() == t.encode(s, add_special_tokens=False).ids and ids[-1] == 2
 
 
+def test_special_tokens_as_the_library_takes_them():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, rng = Tokenizer.from_file(path), random.Random(2)
+    parts = [" ", "  ", "\n", "a", "bc", "!", "<|endoftext|>", "é"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    for s, ids in zip(texts, records.encoder(path, 2).encode(texts)):
+        assert ids[:-1].tolist() == t.encode(s, add_special_tokens=False).ids and ids[-1] == 2
+
+
 def test_round_trip(spark, tmp_path):
     path, folder = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/r"
     texts = [*ODD, "same", "same"]
