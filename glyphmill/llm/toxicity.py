@@ -141,7 +141,7 @@ def train(rows: list[tuple[str, int]], share: float, bits: int = 20, clean_runs:
         for bags in toxic:
             # at first all runs with a telling gram; then the worst of each text
             if margin is None:
-                runs += bags[:30]
+                runs += bags
             elif bags:
                 worst = subword.bag_logits(subword.Bags.of(bags), margin[:, None], np.zeros(1))[:, 0]
                 runs += [bags[i] for i in np.argsort(-worst, kind="stable")[:4]]

@@ -75,3 +75,12 @@ def test_quality_keeps_good_documents(spark):
     q = quality.op6_quality_rules(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality"), "doc_id").toPandas()
     fair = q[~q.base_failed]
     assert fair[fair.quality == 1].kept.mean() > 0.97 and fair[fair.quality == 0].kept.mean() < 0.3
+
+
+def test_toxicity_learns_from_all_runs_of_a_text(monkeypatch):
+    seen, own = [], toxicity.subword.train
+    monkeypatch.setattr(toxicity.subword, "train", lambda bags, y, *a, **b: seen.append(int(y.sum())) or own(bags, y, *a, **b))
+    rows = [(f"{'idiot moron ' * 40}{'abcdefgh'[i]}{i}", 1) for i in range(8)] + [(f"gentle words number {i} {'xyz'[i % 3] * 5} {i * 7919}", 0) for i in range(30)]
+    kept = sum(y for _, y in toxicity._apart(sorted(rows)))
+    toxicity.train(rows, 0.25, bits=15)
+    assert seen[0] > 30 * kept
