@@ -210,8 +210,7 @@ def all_paths(lat, node):
     first = int(lat.first_edge.data[node])
     out = []
     for e in range(first, first + int(lat.n_edges.data[node])):
-        step = int(lat.edge_size.data[e])
-        out += [((e, *p), q + float(lat.edge_log.data[e])) for p, q in all_paths(lat, node + step if step else -1)]
+        out += [((e, *p), q + float(lat.edge_log.data[e])) for p, q in all_paths(lat, int(lat.edge_to.data[e]))]
     return out
 
 
