@@ -90,12 +90,86 @@ def test_base_spans():
     assert pii.base_spans("a" * 200_000 + "@" + "1" * 200_000) == []
 
 
-def test_contexts_find_unseen_identifiers(spark):
-    texts = [f"see account number 4111111111111111 and account number {i}-77{i} end" for i in range(12)] + ["no account number X9-1 here", None, ""]
+def card(i):
+    """A number of 16 digits that passes Luhn."""
+    head = f"4{i:014d}"
+    return next(head + str(d) for d in range(10) if pii.luhn(head + str(d)))
+
+
+def planted():
+    """Seeds certify "account number _"; the codes found there certify "billed to _", where seeds never stand; 777-0001 stands there alone."""
+    texts = [f"see account number {card(i)} end" for i in range(40)]
+    texts += [f"my account number 55-{100 + i}, please" for i in range(6)]
+    texts += [f"account number {card(50 + i)} and billed to {card(70 + i)} now" for i in range(9)]
+    texts += [f"order {i}: billed to 55-{100 + i} yes" for i in range(6)] + ["order 9: billed to 777-0001 yes"] * 2
+    texts += [f"page {1000 + i} of the book" for i in range(20)] + ["clash 999-111 here", None, "", "x" * 60_000 + " 123456 " + "y" * 60_000]
+    return texts
+
+
+def test_patterns_find_what_seeds_never_met(spark):
+    texts = planted()
     rows = {r.doc_id: r for r in pii.extract(docs(spark, texts).select("doc_id", "text")).collect()}
-    assert len(rows) == len(texts) and [tuple(s) for s in rows[12].found] == [(18, 22)] and rows[13].found == [] and rows[14].base == []
-    plain = spark.createDataFrame([(1, "number 12-34"), (1, "number 12-34")], "doc_id long, text string")
-    assert [r.found for r in pii.extract(plain).collect()] == [[], []] and pii.extract(plain.where("false")).count() == 0
+    found = {i: [texts[i][s.start : s.end] for s in r.found] for i, r in rows.items() if r.found}
+    assert len(rows) == len(texts)
+    assert all(found[i] == [f"55-{60 + i}"] for i in range(40, 46)), "known by a pattern that seeds certify"
+    assert all(found[i] == [f"55-{45 + i}"] for i in range(55, 61)), "their other places"
+    assert found[61] == found[62] == ["777-0001"], "known by a pattern that found values certify"
+    assert set(found) == {*range(40, 46), *range(55, 63)}
+    one = pii.extract(docs(spark, texts).select("doc_id", "text"), rounds=1).collect()
+    assert not any(r.found for r in one if r.doc_id in (61, 62)), "one round does not reach the second generation"
+
+
+def slow_bootstrap(texts, rounds, confidence, support):
+    """Patterns, and known values beside seeds, by plain loops."""
+    of, where, seeds = {}, {}, set()
+    for t in texts:
+        for x in pii._tokens(t or "", pii.base_spans(t or "")):
+            seeds |= {x["value"]} if x["seed"] else set()
+            for p in x["patterns"]:
+                of.setdefault(p, set()).add(x["value"])
+                where.setdefault((p, x["value"]), set()).add(t)
+    known = set(seeds)
+    for _ in range(rounds):
+        good = {}
+        for p, values in of.items():
+            hit = values & known
+            texts_of = {min(pii.xxhash.xxh64_intdigest(t.encode()) for t in where[p, v]) for v in hit}
+            if len(hit) >= support and len(texts_of) > 1 and pii.plain_lower_bound(len(hit), len(values)) >= confidence:
+                good[p] = pii.plain_lower_bound(len(hit), len(values))
+        miss = {}
+        for p, s in good.items():
+            for v in of[p]:
+                miss[v] = miss.get(v, 1.0) * (1 - s)
+        then = seeds | {v for v, m in miss.items() if 1 - m >= confidence}
+        if len(then) == len(known):
+            known = then
+            break
+        known = then
+    return good, known - seeds
+
+
+def test_scores_against_plain_loops(spark):
+    rng = random.Random(9)
+    words, codes = ["card", "no", "of", "the", "ref"], [f"{rng.randrange(10**5):05d}-{i}" for i in range(25)]
+    texts = [" ".join(rng.choice([*words, *words, card(rng.randrange(30)), rng.choice(codes), "\n"]) for _ in range(rng.randint(2, 25))) for _ in range(120)]
+    texts += ["card " + card(i) for i in range(30)] + ["no " + card(i) + " of" for i in range(30)] + [texts[0], *ODD]
+    confidence, support = 0.5, 3
+    patterns, found = pii.bootstrap(pii.scan(docs(spark, texts).select("doc_id", "text")), 4, confidence, support)
+    good, values = slow_bootstrap([t for t in texts if t], 4, confidence, support)
+    got = {r.pattern: r.score for r in patterns.collect()}
+    assert got.keys() == good.keys() and all(abs(got[p] - good[p]) < 1e-9 for p in good) and good
+    assert {r.value for r in found.collect()} == values
+
+
+def test_words_with_many_spans_are_read_once():
+    t = "x1.2.3.4" * 60_000
+    assert len(pii._tokens(t, pii.base_spans(t))) == len(pii.base_spans(t)) > 1
+
+
+def test_pii_of_odd_tables(spark):
+    plain = spark.createDataFrame([(1, "number 12-34"), (1, "number 12-34"), (None, "at 1.2.3.4")], "doc_id long, text string")
+    rows = pii.extract(plain).collect()
+    assert [r.found for r in rows] == [[], [], []] and sorted(len(r.base) for r in rows) == [0, 0, 1] and pii.extract(plain.where("false")).count() == 0
 
 
 # --- quality
