@@ -137,14 +137,14 @@ def word_sums(grams: Grams, data: np.ndarray, table: np.ndarray) -> tuple[np.nda
     """For each blank of the laid-out bytes: sum and number of the grams that begin there or within the word after it."""
     blanks = np.flatnonzero(data == 32)
     sums, n = np.zeros(len(blanks)), np.zeros(len(blanks))
+    if not len(blanks):
+        return sums, n
     padded = np.append(table, np.float32(0))
     for _, h, ok in grams.hashed(data):
-        rows = np.where(ok, h, len(table))
-        starts = np.minimum(blanks, len(rows) - 1)
-        inside = blanks < len(rows)
-        s, k = np.add.reduceat(padded[rows], starts), np.add.reduceat(ok, starts, dtype=np.int64)
-        sums[inside] += s[inside]
-        n[inside] += k[inside]
+        rows = np.full(len(data), len(table))  # no gram begins at the last bytes
+        rows[: len(h)] = np.where(ok, h, len(table))
+        sums += np.add.reduceat(padded[rows], blanks)
+        n += np.add.reduceat(np.append(ok, np.zeros(len(data) - len(ok), dtype=bool)), blanks, dtype=np.int64)
     return sums, n
 
 
