@@ -1,22 +1,24 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax, calibrated rejection.
 
-``fit`` learns from at most ``per_language`` labelled documents of each language (a documented bound; taken by the hash of
-their ids), as whole texts and as random runs of their words, so that short texts are met in training.  A tenth of them is
-held aside: it sets the temperature of the softmax and the score below which a prediction is rejected, so that about
-``alpha`` of right predictions would be.
-
-Null texts and texts without a letter are ``und`` with score 0 and are rejected.  Without a labelled document all are.
-Repeated rows are predicted alike.  lang, source and doc_id are no inputs of a prediction.
+``fit`` learns from about ``per_language`` labelled documents of each of the ``most_languages`` commonest languages (documented
+bounds; taken by the hash of their ids), as whole texts and as random runs of their words, so that short texts are met in
+training.  Other documents, ``aside_per_language`` of each, set the temperature of the softmax and the score below which a
+prediction is rejected: that below which a share ``alpha`` of the right predictions among them lies, one half at most.
+
+Null texts and texts without a letter (Unicode category L) are ``und`` with score 0 and are rejected.  Without a labelled
+document all are.  Repeated rows are predicted alike, and an empty table gives no rows.  lang, source and doc_id are no inputs
+of a prediction.  ``keep_known`` keeps all columns, whatever their names; ``predict`` adds lang_pred, score and rejected, and
+refuses a table that has them already.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ from glyphmill.llm import subword
 from glyphmill.llm.common import Grams, held_out, small_batches, table
 
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Characters of Unicode category L, which \p{L} is.
+LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -38,8 +41,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is rejected, for each text."""
-        pattern = re.compile(r"[^\W\d_]")
-        letters = np.array([t is not None and pattern.search(t) is not None for t in texts], dtype=bool)
+        letters = np.array([t is not None and LETTER.search(t) is not None for t in texts], dtype=bool)
         if not self.languages:
             letters[:] = False
         names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
@@ -53,34 +55,34 @@ class Model:
         return names, scores, ~letters | (scores < self.least)
 
 
-def sample(docs: DataFrame, per_language: int) -> list:
-    """About per_language rows (text, lang) of each language, never more than twice that in all."""
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def sample(docs: DataFrame, per_language: int, aside_per_language: int, most_languages: int) -> tuple[list, list]:
+    """About per_language rows (text, lang) of each language and about aside_per_language others, never more than twice as many in all."""
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not counts:
-        return []
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(share)
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < share * (1 << 20))
-    return picked.select("text", "lang").limit(2 * per_language * len(counts)).collect()
+        return [], []
+    both = per_language + aside_per_language
+    shares = docs.sparkSession.createDataFrame([(r.lang, per_language / r.n, both / r.n) for r in counts], "lang string, learnt double, seen double")
+    place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
+    rows = known.join(F.broadcast(shares), "lang").where(place < F.col("seen")).select("text", "lang", (place < F.col("learnt")).alias("learnt")).limit(2 * both * len(counts)).collect()
+    return [(r.text, r.lang) for r in rows if r.learnt], [(r.text, r.lang) for r in rows if not r.learnt]
 
 
-def train(rows: list[tuple[str, str]], alpha: float = 0.001, bits: int = 16, seed: int = 11) -> Model:
-    """A model of rows (text, lang)."""
+def train(rows: list[tuple[str, str]], alpha: float = 0.001, bits: int = 16, seed: int = 11, aside: list[tuple[str, str]] | None = None) -> Model:
+    """A model of rows (text, lang), calibrated on aside; without it on a tenth of 50 rows or more."""
     grams = Grams((2, 3, 4), bits)
     rows = sorted(rows)
-    languages = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(seed)
-    parts, y, aside, aside_y = [], [], [], []
     order = rng.permutation(len(rows))
-    for k, i in enumerate(order):
+    if aside is None:
+        few = order[::10] if len(rows) >= 50 else []
+        aside, order = [rows[i] for i in few], order if not len(few) else [i for k, i in enumerate(order) if k % 10]
+    languages = sorted({rows[i][1] for i in order})
+    checked = [(subword.grams_of(grams, text.encode().lower()), languages.index(lang)) for text, lang in aside if lang in languages]
+    parts, y = [], []
+    for i in order:
         text, lang = rows[i]
         data, label = text.encode().lower(), languages.index(lang)
-        if k % 10 == 0 and len(rows) >= 50:
-            aside.append(subword.grams_of(grams, data))
-            aside_y.append(label)
-            continue
         words = data.split()
         parts.append(subword.grams_of(grams, data))
         y.append(label)
@@ -92,10 +94,10 @@ def train(rows: list[tuple[str, str]], alpha: float = 0.001, bits: int = 16, see
     if not rows:
         return Model([], grams, np.zeros((1 << bits, 1), np.float32), np.zeros(1, np.float32), 1.0, 1.0)
     weights, bias = subword.train(subword.Bags.of(parts), np.array(y), len(languages), 1 << bits, epochs=5, seed=seed)
-    if not aside:
+    if not checked:
         return Model(languages, grams, weights, bias, 1.0, 0.0)
-    logits = subword.bag_logits(subword.Bags.of(aside), weights, bias)
-    truth = np.array(aside_y)
+    logits = subword.bag_logits(subword.Bags.of([g for g, _ in checked]), weights, bias)
+    truth = np.array([label for _, label in checked])
     factor = subword.temperature(logits, truth)
     p = subword.softmax(factor * logits)
     right = p.argmax(axis=1) == truth
@@ -103,8 +105,9 @@ def train(rows: list[tuple[str, str]], alpha: float = 0.001, bits: int = 16, see
     return Model(languages, grams, weights, bias, factor, min(least, 0.5))
 
 
-def fit(docs: DataFrame, per_language: int = 250, alpha: float = 0.001) -> Model:
-    return train([(r.text, r.lang) for r in sample(docs, per_language)], alpha)
+def fit(docs: DataFrame, per_language: int = 250, alpha: float = 0.001, aside_per_language: int = 400, most_languages: int = 200) -> Model:
+    rows, aside = sample(docs, per_language, aside_per_language, most_languages)
+    return train(rows, alpha, aside=aside if rows else None)
 
 
 def _predictor(model: Model):
@@ -116,16 +119,22 @@ def _predictor(model: Model):
     return run
 
 
+ADDED = ("lang_pred", "score", "rejected")
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs, with a column text -> the same rows and columns, lang_pred string, score double, rejected boolean."""
+    if clash := sorted({c.lower() for c in docs.columns} & set(ADDED)):
+        raise ValueError(f"columns there already: {', '.join(clash)}")
     small_batches(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(_predictor(model), f"{fields}, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, per_language: int = 250) -> DataFrame:
-    """The rows of docs whose language is not rejected."""
-    return predict(docs, fit(docs, per_language)).where("not rejected").select(*docs.columns)
+    """The rows of docs whose language is not rejected, with all columns, whatever their names."""
+    own = docs.select(F.col("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return predict(own, fit(docs, per_language)).where("not rejected").select("row.*")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,80 @@ def test_keep_known(spark):
     assert kept.columns == docs.columns and kept.where("doc_id >= 10000000").count() == 0 and kept.count() > 0.99 * docs.count()
 
 
+def test_only_letters_count(model):
+    assert model.predict(["²", "½ ①", "Ⅷ", "_ 5", "ª", "漢"])[0][:4] == ["und"] * 4
+    assert "und" not in model.predict(["ª", "漢"])[0]
+
+
+def slow_logits(grams, text, table, bias):
+    """Every gram of a text, one by one."""
+    data = b" " + b" ".join(text.lower().split()) + b" "
+    total, n = np.zeros(table.shape[1]), 0
+    for size in grams.sizes:
+        for at in range(len(data) - size + 1):
+            g = data[at : at + size]
+            if b" " in g[1:-1] or g == b"  ":
+                continue
+            h = 0
+            for c in g:
+                h = (h * 0x01000193 + c + 1) & 0xFFFFFFFF
+            h = ((h ^ (h >> 15)) * 0x9E3779B1 + size & 0xFFFFFFFF) >> (32 - grams.bits)
+            total, n = total + table[h], n + 1
+    return total / max(n, 1) + bias
+
+
+def test_scores_of_texts_against_plain_loops(model):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aeé ñt\n") for _ in range(rng.randint(1, 40))).encode() for _ in range(60)] + [b"a", b"x y", b"   "]
+    got = langid.subword.text_logits(model.grams, texts, model.table, model.bias)
+    assert np.allclose(got, [slow_logits(model.grams, t, model.table, model.bias) for t in texts], atol=1e-4)
+
+
+def test_worst_runs_against_plain_loops():
+    rng = random.Random(6)
+    rows = [(" ".join(rng.choice(["idiot", "clown", "of", "the", "sun", "moon"][2 * (i % 2 == 0) :]) for _ in range(9)), i % 2) for i in range(60)]
+    m = toxicity.train(rows, 0.5, bits=12)
+    texts = ["".join(rng.choice(["idiot", "the", "sun", " ", " ", "clow", "n"]) for _ in range(rng.randint(1, 20))) for _ in range(40)]
+    table = m.margin[:, None]
+
+    def grams_from(data, blank, stop):
+        """Sum and number of the grams that begin at a blank or in the word after it."""
+        total, n = 0.0, 0
+        for size in m.grams.sizes:
+            for at in range(blank, stop):
+                g = data[at : at + size]
+                if len(g) == size and b" " not in g[1:-1]:
+                    total, n = total + slow_gram(m.grams, g, table), n + 1
+        return total, n
+
+    def slow_gram(grams, g, table):
+        h = 0
+        for c in g:
+            h = (h * 0x01000193 + c + 1) & 0xFFFFFFFF
+        return float(table[((h ^ (h >> 15)) * 0x9E3779B1 + len(g) & 0xFFFFFFFF) >> (32 - grams.bits), 0])
+
+    for t in texts:
+        words = t.encode().split()
+        data = b" " + b" ".join(words) + b" "
+        blanks = [i for i, c in enumerate(data) if c == 32]
+        sums = [grams_from(data, a, b) for a, b in zip(blanks, blanks[1:])] if words else []
+        width = min(toxicity.WIDTH, len(sums))
+        runs = [sum(s for s, _ in sums[i : i + width]) / max(sum(n for _, n in sums[i : i + width]), 1) for i in range(len(sums) - width + 1)] if words else []
+        assert np.allclose(m.margins([t.encode()])[0], max(runs) if runs else m.none, atol=1e-4), t
+
+
+def test_languages_of_odd_tables(spark):
+    rows = [(i, "the and thing" if i % 2 else "der und ung", "en" if i % 2 else "de", 1.0, True, "x") for i in range(80)]
+    rows += [rows[3], (7, None, "en", 1.0, True, "x"), (None, "the and", None, None, None, None), (8, "", "de", 1.0, True, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, rejected boolean, lang_pred string")
+    kept = langid.keep_known(df)
+    assert kept.columns == df.columns and kept.where("text is null or text = ''").count() == 0
+    assert sorted(map(str, kept.where("doc_id = 3").collect())) == sorted(map(str, df.where("doc_id = 3").collect())) and kept.where("doc_id is null").count() == 1
+    assert langid.keep_known(df.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        langid.predict(df, langid.train([]))
+
+
 def test_toxicity_of_misspellings():
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abdeghilmnorstu") for _ in range(rng.randint(2, 9)))
