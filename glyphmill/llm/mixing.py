@@ -2,15 +2,16 @@
 
 ``targets``: sources by code point, null last, weigh 5, 2, 1, repeating; they share all words by weight, none above 3 times
 its own; what exceeds that is shared again.  Complete epochs come first: every document floor(target / source size) times.
-The rest of a target is filled in the order of exponential keys -ln(u) / quality weight; u is a hash of the document and the
-seed, so reruns agree.  The document at the budget is taken up to the budget.
+The rest of a target is filled in the order of exponential keys -ln(u) / quality weight; u comes from the md5 of seed,
+id and text, so reruns agree.  The document at the budget is taken up to the budget.
 
 No source is sorted as a whole: keys are counted in ``BINS`` ranges, which show the range in which a source's budget ends;
 that range is counted again in as many until its rows are at most ``most_rows``, and only those are sorted.  The result is a
 threshold for each source, so texts are neither sorted nor joined with documents.
 
 Null texts have size 0 and are taken 0 times.  Repeated rows are one group; where the budget ends in such a group its rows
-share what is left equally, rounded down.  An empty table gives no rows.
+share what is left equally, rounded down.  An empty table gives no rows.  Rows may have any other columns: ``repeated`` keeps
+all of them as they are, under whatever names; ``mixed`` reads doc_id, text and source alone.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ SMALL = 200_000
 
 
 def measured(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """docs with size, key and pos: where the key stands in [0, 1)."""
+    """docs with _size, _digest, _key and _pos: where the key stands in [0, 1)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     symbols = F.coalesce(F.regexp_count("text", F.lit(r"[#*$%&|<>!]")), F.lit(0))
     weight = F.greatest(F.lit(0.05), 1 - 2 * symbols / F.greatest(F.length("text"), F.lit(1)))
-    digest = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text")
-    u = (F.shiftrightunsigned(digest, 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit("")))
+    digest = F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")  # 60 bits
+    u = (digest + F.lit(0.5)) / F.lit(float(1 << 60))
     out = docs.withColumn("_size", size).withColumn("_digest", digest)
     out = out.withColumn("_key", -F.log(u) / F.coalesce(weight, F.lit(1.0)))
     return out.withColumn("_pos", F.col("_key") / (1 + F.col("_key")))
@@ -95,25 +97,59 @@ def _more() -> Column:
     return F.when(F.col("end_key").isNull(), F.lit(0)).when(key < end, F.col("_size")).when(key == end, F.col("part")).otherwise(F.lit(0)).cast("long")
 
 
-def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """docs (doc_id, text, source, ...) -> docs with size, source_size, target, taken; a row for each row."""
+def _taken(docs: DataFrame, seed: int) -> DataFrame:
+    """docs (doc_id, text, source, perhaps row) with _size, source_size, target, epochs, _taken."""
     sized = measured(docs, seed)
     ends = thresholds(sized.select("source", "_digest", "_key", "_pos", "_size"))
-    joined = _by_source(sized, ends, ends.count() <= SMALL)
-    return joined.withColumns({"size": F.col("_size"), "taken": F.col("epochs") * F.col("_size") + _more()})
+    return _by_source(sized, ends, ends.count() <= SMALL).withColumn("_taken", F.col("epochs") * F.col("_size") + _more())
+
+
+def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """docs (doc_id, text, source) -> (doc_id, text, source, size, source_size, target, epochs, taken); a row for each row."""
+    out = _taken(docs.select("doc_id", "text", "source"), seed)
+    return out.select("doc_id", "text", "source", F.col("_size").alias("size"), "source_size", "target", "epochs", F.col("_taken").alias("taken"))
 
 
 def repeated(docs: DataFrame, seed: int = 1, counted: str | None = None) -> DataFrame:
     """The mix: documents as often as they are taken, all columns; the copy at a source's budget ends at the budget.  counted: a column for the text's length."""
-    rows = mixed(docs, seed).where("taken > 0").withColumn("_copies", F.ceil(F.col("taken") / F.col("_size")).cast("int"))
+    own = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = _taken(own, seed).where("_taken > 0").withColumn("_copies", F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    rest = F.col("taken") - (F.col("_copy") - 1) * F.col("_size")
+    rest = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.when(rest >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), rest.cast("int")), ""))
     rows = rows.withColumn("text", text)
-    return (rows.withColumn(counted, F.length("text").cast("long")) if counted else rows).select(*docs.columns)
+    new = {"text": F.col("text")} | ({counted: F.length("text").cast("long")} if counted else {})
+    return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixed(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", "taken", "epochs")
+
+
+ORACLE_SQL = {
+    "op4_source_mix": r"""
+with d as (select cast(doc_id as bigint) as doc_id, source, coalesce(text, '') as t from documents),
+k as (select *, cast(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as bigint) as size,
+             cast('0x' || substr(md5(concat('1:', coalesce(cast(doc_id as varchar), 'null'), ':', t)), 1, 15) as bigint) as digest,
+             greatest(0.05, 1 - 2 * len(regexp_extract_all(t, '[#*$%&|<>!]')) / greatest(len(t), 1)) as worth from d),
+keyed as (select *, -ln((digest + 0.5) / 1152921504606846976.0) / worth as key from k),
+sizes as (select source, cast(sum(size) as bigint) as source_size from keyed group by source),
+ranked as (select *, row_number() over (order by source nulls last) as place from sizes),
+capped as (select *, [5.0, 2.0, 1.0][((place - 1) % 3) + 1]::double as w, cast(3 * source_size as double) as cap from ranked),
+filled as (select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / w, place rows between unbounded preceding and 1 preceding), 0))
+                     / (sum(w) over () - coalesce(sum(w) over (order by cap / w, place rows between unbounded preceding and 1 preceding), 0)) as level from capped),
+water as (select arg_min(level, (cap / w, place)) as level from filled where level <= cap / w),
+goals as (select source, source_size, case when water.level is null then cap else least(w * water.level, cap) end as target from filled, water),
+parts as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as epochs from goals),
+budgets as (select *, cast(floor(target - epochs * source_size) as bigint) as budget from parts),
+groups as (select source, key, digest, size, count(*) as m from keyed group by source, key, digest, size),
+run as (select g.*, b.budget, sum(g.size * g.m) over (partition by g.source order by g.key, g.digest) as upto
+        from groups g join budgets b on g.source is not distinct from b.source where b.budget > 0),
+ends as (select source, arg_min((key, digest, cast(floor((budget - (upto - size * m)) / m) as bigint)), (key, digest)) as e from run where upto >= budget group by source)
+select r.doc_id, r.size, b.source_size, b.target, b.epochs,
+       cast(b.epochs * r.size + case when e.e is null then 0 when (r.key, r.digest) < (e.e[1], e.e[2]) then r.size when (r.key, r.digest) = (e.e[1], e.e[2]) then e.e[3] else 0 end as bigint) as taken
+from keyed r join budgets b on r.source is not distinct from b.source left join ends e on r.source is not distinct from e.source
+"""
+}
