@@ -3,7 +3,7 @@
 ``fingerprints`` makes 64-bit majority fingerprints of 4-word shingles.  ``near_components`` links all fingerprints
 that differ in at most ``tau`` bits and returns connected components:
 
-1. Equal fingerprints become one node (its smallest doc_id), so copies cost nothing further.
+1. Equal fingerprints become one node, so copies cost nothing further.
 2. ``plan`` groups correlated bits into m partitions and allots each a threshold, together tau - m + 1, by dynamic
    programming on the estimated number of signatures and candidates, for every m; two fingerprints within tau bits agree
    within the threshold in one partition at least.  The estimates come from bit counts over all fingerprints.
@@ -13,8 +13,9 @@ that differ in at most ``tau`` bits and returns connected components:
    fingerprints in numpy, and only links that join components leave the task.  A bucket above ``block`` rows is dealt
    out as pairs of blocks; a pair whose rows are all of one component is left out.
 
-Null or wordless texts have fingerprint zero, linked like any other.  Repeated rows are rows of one fingerprint.  An empty
-table gives no rows.  Rows whose doc_id is null are kept; they have the component of their fingerprint.
+Null or wordless texts have fingerprint zero, linked like any other.  Repeated rows are rows of one fingerprint; rows of one
+doc_id and different texts are linked by their fingerprints alone.  An empty table gives no rows.  Rows whose doc_id is null
+link like others; the component_id of a component of such rows alone is null.
 """
 
 from __future__ import annotations
@@ -57,13 +58,14 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.fromiter(map(fingerprint, texts_of(b.column(1))), dtype=np.uint64, count=b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=[b.schema.names[0], "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, fp long)."""
+def fingerprints(docs: DataFrame, of: str = "doc_id") -> DataFrame:
+    """docs (of, text) -> (of, fp long); the column `of` comes back as it is."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    rows = docs.select(F.col(of).cast("long").alias(of) if of == "doc_id" else F.col(of), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(_fingerprint_batches, f"{of} {rows.schema[of].dataType.simpleString()}, fp long")
 
 
 # --- the plan
@@ -250,23 +252,24 @@ def _spanning(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pivot_links(nodes: DataFrame, parts: list[tuple[list[int], int]], tau: int) -> DataFrame:
     """Links of every member of a bucket with its pivots: the fingerprint of most documents, and the least by two orders."""
-    own = nodes.select("fp", "node", "n").mapInArrow(_signatures(parts, False), "part int, key long, fp long, node long, n long, own boolean")
+    own = nodes.select("fp", "n").mapInArrow(_signatures(parts, False), "part int, key long, fp long, n long, own boolean")
     pivots = own.groupBy("part", "key").agg(
         F.count("*").alias("size"),
-        F.max(F.struct("n", "node", "fp")).alias("p0"), F.min(F.struct(F.xxhash64("fp").alias("h"), "node", "fp")).alias("p1"), F.min(F.struct("fp", "node")).alias("p2"),
+        F.max(F.struct("n", "fp")).alias("p0"), F.min(F.struct(F.xxhash64("fp").alias("h"), "fp")).alias("p1"), F.min(F.struct("fp")).alias("p2"),
     ).where("size > 1")
-    near = [F.when(F.bit_count(F.col("fp").bitwiseXOR(F.col(f"{p}.fp"))) <= tau, F.col(f"{p}.node")) for p in ("p0", "p1", "p2")]
-    return own.join(pivots, ["part", "key"]).select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array(*near))).alias("b")).where("a <> b").distinct()
+    near = [F.when(F.bit_count(F.col("fp").bitwiseXOR(F.col(f"{p}.fp"))) <= tau, F.col(f"{p}.fp")) for p in ("p0", "p1", "p2")]
+    return own.join(pivots, ["part", "key"]).select(F.col("fp").alias("a"), F.explode(F.array_distinct(F.array(*near))).alias("b")).where("a <> b").distinct()
 
 
 def near_components(fps: DataFrame, tau: int = 4, block: int = 1024) -> DataFrame:
-    """fps (doc_id, fp) -> (fp, component_id) of each distinct fingerprint."""
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("node is not null"))
+    """fps (doc_id, fp) -> (fp, component, component_id) of each distinct fingerprint; component: the least fingerprint reachable."""
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     both, n = bit_statistics(nodes)
     parts = plan(both, n, tau)
-    first = components(_pivot_links(nodes, parts, tau))
-    held = cut(nodes.join(first, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("comp")))
+    first = components(_pivot_links(nodes, parts, tau)).withColumnRenamed("node", "fp")
+    held = cut(nodes.join(first, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("comp")))
 
+    # the buckets that still hold two components; their signatures are made again rather than kept for all buckets
     signs = held.select("fp", "comp").mapInArrow(_signatures(parts, True), "part int, key long, fp long, comp long, own boolean")
     sizes = signs.groupBy("part", "key").agg(F.count("*").alias("size"), F.max("own").alias("any_own"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("any_own and c0 < c1")
     signs = cut(signs.join(sizes.select("part", "key", "size"), ["part", "key"]))
@@ -275,7 +278,8 @@ def near_components(fps: DataFrame, tau: int = 4, block: int = 1024) -> DataFram
     hot = _cells(signs.where(F.col("size") > 2 * block), block).select(columns)
     found = calm.unionByName(hot).repartition("part", "key", "cell").sortWithinPartitions("part", "key", "cell").mapInArrow(_verify(tau), "a long, b long")
     second = components(found)
-    return held.join(second.withColumnRenamed("node", "comp"), "comp", "left").select("fp", F.coalesce("component", "comp").alias("component_id"))
+    settled = cut(held.join(second.withColumnRenamed("node", "comp"), "comp", "left").select("fp", "least", F.coalesce("component", "comp").alias("component")))
+    return settled.join(settled.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component", "component_id")
 
 
 def _cells(rows: DataFrame, block: int) -> DataFrame:
@@ -305,9 +309,15 @@ def near_duplicates(docs: DataFrame, tau: int = 4) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, tau: int = 4) -> DataFrame:
-    """The rows of docs, all columns, with the smallest doc_id of each component; one row of repeated ids.  Rows without an id can't be named and stay."""
-    groups = near_duplicates(docs, tau).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One row of each component, with all columns, whatever their names: the row of the smallest doc_id (null last), then of the smallest
+    hash of its text, then of the smallest hash of all columns.  Equal rows count once.  No column may be a map."""
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), F.col("text")).alias("b"), row.alias("row"))
+    fps = cut(fingerprints(docs.select(key.alias("key"), "text"), "key").select("key", F.col("key.id").alias("doc_id"), "fp"))
+    groups = fps.groupBy("fp").agg(F.min("key").alias("key")).join(near_components(fps, tau).select("fp", "component"), "fp")
+    kept = groups.groupBy("component").agg(F.min("key").alias("_key")).select("_key")
+    own = docs.select(key.alias("_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    return own.dropDuplicates(["_key"]).join(kept, "_key", "left_semi").select("_row.*")  # both by key: rows are shuffled once, equal ones combined before
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
