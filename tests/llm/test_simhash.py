@@ -82,8 +82,20 @@ def test_plan_covers_every_pair():
 
 
 def test_one_of_each(spark):
-    rows = spark.createDataFrame([(2, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (9, "q r s t u v"), (None, "zz")], "doc_id long, text string")
-    assert sorted((r.doc_id or -1) for r in simhash.one_of_each(rows).collect()) == [-1, 1, 9]
+    a, b, c = "a b c d e", "q r s t u v", "one other text of words"
+    rows = [(2, a, 1, "k"), (1, a, 1, "k"), (1, a, 1, "k"), (1, b, 1, "k"), (5, a, 2, "k"), (5, c, 2, "k"), (9, b, 3, None), (None, a, 4, "k"), (None, "zz", 4, "k"), (None, "zz", 5, "k"), (None, "zz", 5, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp int, component string")
+    kept = simhash.one_of_each(df)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == df.columns and sorted(got, key=str) == sorted([(1, a), (1, b), (5, c), (None, "zz")], key=str)
+    assert simhash.one_of_each(df.where("false")).count() == 0
+
+
+def test_links_through_rows_without_an_id(spark):
+    """Fingerprints 0, 15 and 255: the middle one has no id and links the others; 1 << 40 with others of its kind alone is far from all."""
+    rows = spark.createDataFrame([(4, 0), (None, 15), (7, 255), (None, (1 << 40) * 1023), (4, 0)], "doc_id long, fp long")
+    got = {r.fp: r.component_id for r in simhash.near_components(rows, 4).collect()}
+    assert got == {0: 4, 15: 4, 255: 4, (1 << 40) * 1023: None}
 
 
 def test_empty(spark):

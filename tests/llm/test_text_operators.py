@@ -43,12 +43,21 @@ def test_secrets(spark):
 
 
 def test_secret_repeats_and_redaction(spark):
-    df = spark.createDataFrame([(1, "x token=abcdef y", "k"), (1, "x token=abcdef y", "k"), (2, None, "k"), (3, "fine", "k")], "doc_id long, text string, key_ string")
-    rows = secrets.redact(df).collect()
-    assert sorted((r.doc_id, r.text or "") for r in rows) == [(1, "x [SECRET] y"), (1, "x [SECRET] y"), (2, ""), (3, "fine")]
+    same = "x token=abcdef y"
+    rows = [(1, same, 7, 3, "s", None), (1, same, 7, 3, "s", None), (1, "token=ghijkl", 8, 3, "s", None), (2, None, 7, 3, "s", None), (3, "fine", 9, 3, "s", None), (None, same, 1, 3, "s", None), (None, "hex " + "0a" * 12, 1, 3, "s", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int, bucket int, spans string, near boolean")
+    out = secrets.redact(df, counted="bucket")
+    assert out.columns == df.columns
+    want = [(1, "x [SECRET] y", 7, 12, "s", None)] * 2 + [(1, "[SECRET]", 8, 8, "s", None), (2, None, 7, 3, "s", None), (3, "fine", 9, 3, "s", None), (None, "x [SECRET] y", 1, 12, "s", None), (None, "hex [SECRET]", 1, 12, "s", None)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
     assert secrets.scan(df.where("false").select("doc_id", "text")).count() == 0
 
 
+def test_texts_of_one_id_keep_their_own_spans(spark):
+    df = spark.createDataFrame([(i % 2 or None, f"token=abcdef{'x' * i}") for i in range(12)], "doc_id long, text string")
+    assert sorted(r.spans[0].end for r in secrets.scan(df).collect()) == [12 + i for i in range(12)]
+
+
 def test_scan_is_native(spark):
     plan = secrets.scan(docs(spark, ["token=abcdef"]).select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -341,7 +350,7 @@ def test_mix(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(["w"] * rng.randint(0, 40)) if i % 9 else None, rng.choice(["a", "b", "c", "d", "é", None, ""])) for i in range(400)]
     rows += [(1000, "one two", "tiny"), (1000, "one two", "tiny"), (1001, None, "none")]
-    df = spark.createDataFrame([(*r, 3, "z") for r in rows], "doc_id long, text string, source string, taken int, low string")
+    df = spark.createDataFrame([(*r, 3, "z", -1, -2.0, "k") for r in rows], "doc_id long, text string, source string, taken int, low string, size long, target double, _key string")
     out = mixing.mixed(df.select("doc_id", "text", "source")).collect()
     sizes = {}
     for _, t, s in rows:
@@ -354,10 +363,38 @@ def test_mix(spark):
     again = mixing.mixed(df.select("doc_id", "text", "source").repartition(3)).collect()
     assert sorted((r.doc_id, r.taken) for r in out) == sorted((r.doc_id, r.taken) for r in again)
     copies = mixing.repeated(df)
+    assert [tuple(r) for r in copies.select("taken", "low", "size", "target", "_key").distinct().collect()] == [(3, "z", -1, -2.0, "k")]
     assert copies.columns == df.columns and copies.select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0] == sum(got.values())
     assert mixing.mixed(df.where("false").select("doc_id", "text", "source")).count() == 0
 
 
+def test_mix_order_against_plain_loops(spark):
+    """Keys, their order and prefix sums, one by one."""
+    rng = random.Random(8)
+    rows = [(i if i % 11 else None, " ".join(rng.choice(["w", "x#", "!"]) for _ in range(rng.randint(0, 30))), "abc"[i % 3]) for i in range(200)]
+    rows += [rows[4]] * 3
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    goals, want = slow_targets(sizes), {}
+
+    def key(i, t):
+        h = int(hashlib.md5(f"1:{'null' if i is None else i}:{t}".encode()).hexdigest()[:15], 16)
+        worth = max(0.05, 1 - 2 * len(re.findall("[#*$%&|<>!]", t)) / max(len(t), 1))
+        return -np.log((h + 0.5) / 2.0**60) / worth, h
+
+    for s in "abc":
+        epochs, budget, groups = int(goals[s] // sizes[s]), int(goals[s] - goals[s] // sizes[s] * sizes[s]), {}
+        for i, t, x in rows:
+            if x == s:
+                groups.setdefault((key(i, t), i, t), []).append(1)
+        for (_, i, t), m in sorted(groups.items(), key=lambda g: g[0][0]):
+            n = len(t.split())
+            part = min(n, max(0, budget) // len(m))
+            want[i, t, s] = epochs * n + part
+            budget -= n * len(m)
+    assert all(r.taken == want[r.doc_id, r.text, r.source] for r in got) and len(got) == len(rows)
+
+
 def test_small_ranges_are_refined(spark):
     df = spark.createDataFrame([(i, "a b c", "s" if i % 3 else "t", 0) for i in range(300)], "doc_id long, text string, source string, x int").drop("x")
     sized = mixing.measured(df)

@@ -60,3 +60,34 @@ def test_repeated_query_rows(own):
     scores = c[:, 0] @ c
     want = sorted((-int(x), int(i)) for x, i in zip(scores, ids) if i != 20)[:20]
     assert list(zip(a.tolist(), b.tolist(), s.tolist())) == [(20, i, -x) for x, i in want]
+
+
+def test_large_products_are_exact_or_refused():
+    big = np.array([[64 * 10**10, 64 * 10**10 - 1]], dtype=np.int64)
+    a, b, s = topk.search((np.array([20]), big[:, :1] // 2**20), (np.array([20, 21]), big), 5)
+    assert s.tolist() == [int(big[0, 0] // 2**20) * int(big[0, 1])]
+    with pytest.raises(OverflowError):
+        topk.search((np.array([20]), big[:, :1]), (np.array([20, 21]), big), 5)
+
+
+def test_tiles_out_of_reach_are_never_paired(spark, monkeypatch):
+    """Norms fall off, so the k-th score of the first tile rules most tiles out."""
+    monkeypatch.setattr(topk, "CANDIDATE_TILE", 50)
+    monkeypatch.setattr(topk, "QUERY_TILE", 16)
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(1000):
+        v = rng.normal(0, 1, 8)
+        rows.append((i, [float(np.float32(x)) for x in v / np.linalg.norm(v) * (40 if i % 10 == 1 else 0.5)], "x"))
+    pairs, own = [], topk.tile_pairs
+    monkeypatch.setattr(topk, "tile_pairs", lambda *a: pairs.append(own(*a)) or pairs[-1])
+    got = run(spark, rows, 5)
+    assert got == brute([r[:2] for r in rows], 5)
+    q, c = 1000 // 20 // 16, 1000 // 50
+    assert pairs[0].count() <= q * c / 2
+
+
+def test_no_rows(spark):
+    assert run(spark, [], 5) == []
+    df = topk.quantised(spark.createDataFrame([(1, [1.0], 1, "x"), (20, [1.0], 2, "y")], "vec_id long, embedding array<float>, part int, norm string").select("vec_id", "embedding"))
+    assert [tuple(r) for r in topk.top_k(df.where("vec_id = 20"), df, 3).collect()] == [(20, 1, 1, 64 * 64)]
