@@ -5,7 +5,7 @@ Words are ``[^\\x20\\x09-\\x0D]+`` everywhere, which is what ``bytes.split()`` y
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
 import uuid
 import zlib
@@ -26,17 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir.  Only where it is unset and all runs on one machine is one of our own set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Lowers the session's bounds of an Arrow batch, which plans read when they run; bounds that are lower already stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,12 +54,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """As cut(), but columnar and compressed: for wide rows."""
+    """As cut(), but columnar and compressed: for wide rows.  The folder goes when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(removed, df.sparkSession, path)
     return df.sparkSession.read.parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder, while the session lives."""
+    if spark.sparkContext._jsc is not None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the id as text is divisible by 5; null ids are not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))

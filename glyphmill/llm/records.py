@@ -11,11 +11,13 @@ files that nothing reads.
 
 The ids are two bytes each where the vocabulary fits.  A shard is closed at ``shard_bytes``, so a reader holds one record
 and a writer one batch.  Null and empty texts have the end id only.  Repeated rows are records of their own; their order is
-that of their texts.  An empty table writes a manifest without rows.
+that of their texts; rows without an id come first.  An empty table writes a manifest without rows.  Only doc_id and text are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import struct
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import shared_dir, small_batches, table
+from glyphmill.llm.common import removed, shared_dir, small_batches, table
 
 #: How TFRecord-like files mask a checksum, so that checksums of data that hold checksums stay sound.
 MASK_DELTA = 0xA282EAD8
@@ -218,6 +220,17 @@ def _writer(folder: str, path: str, end_id: int, shard_bytes: int):
 MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
 
+#: Bytes of input that one task sorts and encodes.
+PART_BYTES = 256 << 20
+
+
+def parts_for(docs: DataFrame) -> int:
+    """Parts of about PART_BYTES of the input, as its files' sizes say, but not fewer than the session's shuffle partitions."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # plans without statistics say 8 EB
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // PART_BYTES))
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, shard_bytes: int = 64 << 20) -> DataFrame:
     """docs (doc_id, text) -> the manifest, read from the folder.
 
@@ -228,7 +241,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, shard_b
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = parts_for(docs)
     dealt = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(_writer(folder, tokenizer, end_id, shard_bytes), "part int, seq int, name string, width int, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
@@ -276,6 +289,14 @@ def read_digests(folder: str, manifest: DataFrame) -> DataFrame:
     return rows.mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _record_at(f, at: int, width: int) -> tuple[int | None, np.ndarray]:
+    f.seek(at)
+    head = f.read(HEAD_SIZE)
+    payload, _ = unframe(head + f.read(struct.unpack(HEAD, head)[0] + 4))
+    doc_id = struct.unpack_from("<q", payload)[0]
+    return None if doc_id == NO_ID else doc_id, np.frombuffer(payload, dtype=f"<u{width}", offset=8).astype(np.uint32)
+
+
 def read_record(folder: str, name: str, width: int, k: int) -> tuple[int | None, np.ndarray]:
     """Record k of a shard through its offset index: (doc_id, ids), without reading those before it."""
     store, root = fs.FileSystem.from_uri(folder)
@@ -283,27 +304,34 @@ def read_record(folder: str, name: str, width: int, k: int) -> tuple[int | None,
         f.seek(16 * k)
         at = struct.unpack("<QQ", f.read(16))[0]
     with store.open_input_file(f"{root}/{name}.rec") as f:
-        f.seek(at)
-        head = f.read(HEAD_SIZE)
-        payload, _ = unframe(head + f.read(struct.unpack(HEAD, head)[0] + 4))
-    doc_id = struct.unpack_from("<q", payload)[0]
-    return None if doc_id == NO_ID else doc_id, np.frombuffer(payload, dtype=f"<u{width}", offset=8).astype(np.uint32)
+        return _record_at(f, at, width)
+
 
+def shuffled(folder: str, shards: list[tuple[str, int]], seed: int, at_once: int = 8) -> Iterator[tuple[int | None, np.ndarray]]:
+    """All records of some shards (name, width) in an order set by the seed, through their indexes.
 
-def shuffled(folder: str, shards: list[tuple[str, int]], seed: int) -> Iterator[tuple[int | None, np.ndarray]]:
-    """All records of some shards (name, width) in an order set by the seed, through their indexes; holds one offset array a shard."""
+    Shards come in random order, `at_once` of them at a time, whose records are read in random order; so many offset arrays and
+    open files are held.
+    """
     store, root = fs.FileSystem.from_uri(folder)
     rng = np.random.default_rng(seed)
-    sizes = [store.get_file_info(f"{root}/{name}.idx").size // 16 for name, _ in shards]
-    which = np.repeat(np.arange(len(shards)), sizes)
-    within = np.concatenate([np.arange(s) for s in sizes]) if shards else np.empty(0, dtype=np.int64)
-    for i in rng.permutation(len(which)):
-        yield read_record(folder, *shards[which[i]], int(within[i]))
+    order = rng.permutation(len(shards))
+    for first in range(0, len(order), at_once):
+        group = [shards[i] for i in order[first : first + at_once]]
+        offsets = [np.frombuffer(store.open_input_stream(f"{root}/{name}.idx").read(), dtype="<u8").reshape(-1, 2)[:, 0] for name, _ in group]
+        files = [store.open_input_file(f"{root}/{name}.rec") for name, _ in group]
+        which = np.repeat(np.arange(len(group)), [len(o) for o in offsets])
+        within = np.concatenate([np.arange(len(o)) for o in offsets])
+        for i in rng.permutation(len(which)):
+            yield _record_at(files[which[i]], int(offsets[which[i]][within[i]]), group[which[i]][1])
+        for f in files:
+            f.close()
 
 
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    atexit.register(removed, spark, folder)
     manifest = write(table(spark, sf_dir, "documents", "doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"))
     return read_digests(folder, manifest)

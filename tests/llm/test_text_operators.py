@@ -263,17 +263,20 @@ def test_special_tokens_as_the_library_takes_them():
 def test_round_trip(spark, tmp_path):
     path, folder = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/r"
     texts = [*ODD, "same", "same"]
-    df = docs(spark, texts, 5).unionByName(docs(spark, ["same"], 12)).select("doc_id", "text")
+    unnamed = spark.createDataFrame([(None, "no id"), (None, None)], "doc_id long, text string")
+    df = docs(spark, texts, 5).unionByName(docs(spark, ["same"], 12)).select("doc_id", "text").unionByName(unnamed)
     manifest = records.write(df, folder, path, shard_bytes=2000)
     rows = sorted(records.read_digests(folder, manifest).collect(), key=lambda r: r.start)
     e, start = records.Encoder(path, 2), 0
-    want = sorted([(5 + i, t or "") for i, t in enumerate(texts)] + [(12, "same")])
+    want = [(None, ""), (None, "no id"), *sorted([(5 + i, t or "") for i, t in enumerate(texts)] + [(12, "same")])]
     for r, (i, t) in zip(rows, want, strict=True):
         ids = e.encode([t])[0]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
         start += len(ids)
     shards = [(m.name, m.width) for m in manifest.collect()]
-    assert len(shards) > 1 and sorted(i for i, _ in records.shuffled(folder, shards, 3)) == [i for i, _ in want]
+    read = list(records.shuffled(folder, shards, 3, at_once=2))
+    assert len(shards) > 2 and sorted((i or -1) for i, _ in read) == sorted((i or -1) for i, _ in want)
+    assert [i for i, _ in read] != [i for i, _ in want] and sum(len(x) for _, x in read) == start
     assert struct.calcsize("<QQ") == 16
     empty = records.write(df.where("false"), f"file://{tmp_path}/e", path)
     assert records.read_digests(f"file://{tmp_path}/e", empty).count() == 0
