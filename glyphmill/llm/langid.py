@@ -78,7 +78,7 @@ def train(rows: list[tuple[str, str]], alpha: float = 0.001, bits: int = 16, see
         few = order[::10] if len(rows) >= 50 else []
         aside, order = [rows[i] for i in few], order if not len(few) else [i for k, i in enumerate(order) if k % 10]
     languages = sorted({rows[i][1] for i in order})
-    checked = [(subword.grams_of(grams, text.encode().lower()), languages.index(lang)) for text, lang in aside if lang in languages]
+    checked = [(text, languages.index(lang)) for text, lang in aside if lang in languages]
     parts, y = [], []
     for i in order:
         text, lang = rows[i]
@@ -96,7 +96,7 @@ def train(rows: list[tuple[str, str]], alpha: float = 0.001, bits: int = 16, see
     weights, bias = subword.train(subword.Bags.of(parts), np.array(y), len(languages), 1 << bits, epochs=5, seed=seed)
     if not checked:
         return Model(languages, grams, weights, bias, 1.0, 0.0)
-    logits = subword.bag_logits(subword.Bags.of([g for g, _ in checked]), weights, bias)
+    logits = subword.text_logits(grams, [text.encode() for text, _ in checked], weights, bias)
     truth = np.array([label for _, label in checked])
     factor = subword.temperature(logits, truth)
     p = subword.softmax(factor * logits)
@@ -105,7 +105,7 @@ def train(rows: list[tuple[str, str]], alpha: float = 0.001, bits: int = 16, see
     return Model(languages, grams, weights, bias, factor, min(least, 0.5))
 
 
-def fit(docs: DataFrame, per_language: int = 250, alpha: float = 0.001, aside_per_language: int = 400, most_languages: int = 200) -> Model:
+def fit(docs: DataFrame, per_language: int = 250, alpha: float = 0.001, aside_per_language: int = 300, most_languages: int = 200) -> Model:
     rows, aside = sample(docs, per_language, aside_per_language, most_languages)
     return train(rows, alpha, aside=aside if rows else None)
 

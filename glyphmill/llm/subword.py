@@ -95,7 +95,7 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 #: Bytes of text that are hashed at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def chunks(texts: list[bytes]):
