@@ -68,13 +68,13 @@ def key_of(doc_id: Column, text: Column) -> Column:
 
 
 def first_pass(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs (doc_id, text) -> (key, trigrams, spans) of documents with a trigram that some rule asks for, or a span of a rule without a query."""
+    """docs (doc_id, text) -> (key, trigrams, spans), a row for each row: the trigrams that some rule asks for, and the spans of rules without a
+    query.  No filter stands here: the optimiser would move it, and all that it looks at, to the scan and evaluate that twice."""
     words, full = _vocabulary(rules), [r for r in rules if trigrams.query(r.pattern) is None]
     found = F.filter(F.array(*(F.when(F.contains(F.col("low"), F.lit(w)), F.lit(w)) for w in words)).cast("array<string>"), lambda x: x.isNotNull())
     scanned = F.concat(*(F.coalesce(spans(F.col("text"), r), F.array().cast(SPANS)) for r in full)) if full else F.array().cast(SPANS)
-    low = docs.select("doc_id", "text", F.lower("text").alias("low")).where(F.length("text") > 2)
-    both = low.select(key_of(F.col("doc_id"), F.col("text")).alias("key"), found.alias("trigrams"), scanned.alias("spans"))
-    return both.where("size(trigrams) > 0 or size(spans) > 0")
+    low = docs.select("doc_id", "text", F.lower("text").alias("low"))
+    return low.select(key_of(F.col("doc_id"), F.col("text")).alias("key"), found.alias("trigrams"), scanned.alias("spans"))
 
 
 def postings(pass_one: DataFrame) -> DataFrame:
