@@ -312,12 +312,13 @@ def one_of_each(docs: DataFrame, tau: int = 4) -> DataFrame:
     """One row of each component, with all columns, whatever their names: the row of the smallest doc_id (null last), then of the smallest
     hash of its text, then of the smallest hash of all columns.  Equal rows count once.  No column may be a map."""
     row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), F.col("text")).alias("b"), row.alias("row"))
-    fps = cut(fingerprints(docs.select(key.alias("key"), "text"), "key").select("key", F.col("key.id").alias("doc_id"), "fp"))
+    parts = {"_unnamed": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_a": F.xxhash64("text"), "_b": F.xxhash64(F.lit(1), F.col("text")), "_all": row}
+    key = F.struct(*(c.alias(name) for name, c in parts.items()))
+    fps = cut(fingerprints(docs.select(key.alias("key"), "text"), "key").select("key", F.when(~F.col("key._unnamed"), F.col("key._id")).alias("doc_id"), "fp"))
     groups = fps.groupBy("fp").agg(F.min("key").alias("key")).join(near_components(fps, tau).select("fp", "component"), "fp")
-    kept = groups.groupBy("component").agg(F.min("key").alias("_key")).select("_key")
-    own = docs.select(key.alias("_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    return own.dropDuplicates(["_key"]).join(kept, "_key", "left_semi").select("_row.*")  # both by key: rows are shuffled once, equal ones combined before
+    kept = groups.groupBy("component").agg(F.min("key").alias("key")).select("key.*")
+    own = docs.select(*(c.alias(name) for name, c in parts.items()), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    return own.dropDuplicates(list(parts)).join(kept, list(parts), "left_semi").select("_row.*")  # both by key: rows are shuffled once, equal ones combined before
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
