@@ -230,8 +230,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     lead = c.select("part", "seq", "norm").orderBy(F.desc("norm"), "part", "seq").first()
     if lead is None:
         return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    own = q.select(F.col("part").alias("q_part"), F.col("seq").alias("q_seq"), F.col("ids").alias("q_ids"), F.col("cols").alias("q_cols"), F.col("width").alias("q_width"), F.lit(lead.part).alias("part"), F.lit(lead.seq).alias("seq"))
-    begun = own.join(c, ["part", "seq"]).repartition(F.xxhash64("q_part", "q_seq")).mapInArrow(_first_search(k), "part int, seq int, floors binary, need double, query_id array<long>, vec_id array<long>, score array<long>")
+    own = q.select(F.col("part").alias("q_part"), F.col("seq").alias("q_seq"), F.col("ids").alias("q_ids"), F.col("cols").alias("q_cols"), F.col("width").alias("q_width"), (F.col("part") * 0).alias("lead"))
+    leader = c.where((F.col("part") == lead.part) & (F.col("seq") == lead.seq)).select((F.col("part") * 0).alias("lead"), "ids", "cols", "width")
+    begun = own.join(F.broadcast(leader), "lead").repartition(F.xxhash64("q_part", "q_seq")).mapInArrow(_first_search(k), "part int, seq int, floors binary, need double, query_id array<long>, vec_id array<long>, score array<long>")
     begun = cut(begun)
     others = c.where((F.col("part") != lead.part) | (F.col("seq") != lead.seq))
     chunk = F.floor(F.col("part") / CHUNK).cast("int").alias("chunk")
