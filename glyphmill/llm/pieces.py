@@ -189,7 +189,7 @@ def runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 #: Characters whose lattices are laid out together; a longer unit alone.
-ADD_CHARS = 60_000
+ADD_CHARS = 40_000
 
 
 class Units(dict):
@@ -213,7 +213,7 @@ class Lattices:
     the edges up to here.  Shares and log-probabilities are kept in single precision; segmentations sum them in double.
     """
 
-    def __init__(self, model: Model, remember: int = 600_000):
+    def __init__(self, model: Model, remember: int = 450_000):
         self.model, self.remember = model, remember
         self.clear()
 
@@ -513,7 +513,7 @@ OUT_DDL = "doc_id long, sample int, n_tokens long, log_prob double, perturbed do
 
 
 #: Texts and characters that are sampled together; a longer text alone.
-TOGETHER, TOGETHER_CHARS = 120, 1 << 19
+TOGETHER, TOGETHER_CHARS = 60, 1 << 19
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
