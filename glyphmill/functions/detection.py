@@ -16,7 +16,10 @@ EXPLICIT = (
 )
 ENVIRONMENT = (r"(?s)\\begin\{(?<name>[A-Za-z*]+)\}.*?\\end\{\k<name>\}", "latex-environment", True, 0.96)
 #: Commands that count, symbols, words, right-to-left script, plain equations.
-COMMANDS = "frac dfrac tfrac sqrt sum prod int lim begin matrix vec hat widehat bar overline underline alpha beta gamma delta theta lambda mu rho sigma phi chi omega text mathrm mathbf mathbb left right".split()
+COMMANDS = (
+    "frac", "dfrac", "tfrac", "sqrt", "sum", "prod", "int", "lim", "begin", "matrix", "vec", "hat", "widehat", "bar", "overline", "underline",
+    "alpha", "beta", "gamma", "delta", "theta", "lambda", "mu", "rho", "sigma", "phi", "chi", "omega", "text", "mathrm", "mathbf", "mathbb", "left", "right",
+)
 COMMAND = r"(?U)\\(?:" + "|".join(COMMANDS) + r")\b"
 SYMBOL = "[=<>≤≥≠≈±×÷∑∏∫√∞→←↔∂∇^_⁰¹²³⁴-⁹₀-₉α-ωΑ-Ω]"
 DIGIT = r"(?U)\d"

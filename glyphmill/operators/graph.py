@@ -38,7 +38,7 @@ def closure(roots: DataFrame, edges: DataFrame, nodes: DataFrame, most_rounds: i
     """(project, node, depth): nodes reached from roots (project, node), with the least number of includes.
 
     One round for each depth, over all projects at once: the frontier joins the edges, and nodes seen before are taken out,
-    so cycles end.  A round's result is checkpointed where a folder is set, so plans stay short.
+    so cycles end.  A round's result is checkpointed, so plans stay short.
     """
     spark = edges.sparkSession
     valid = edges.join(nodes.select("project", F.col("node").alias("dst")).distinct(), ["project", "dst"]).select("project", "src", "dst").distinct()
@@ -59,6 +59,9 @@ def _short(spark, df: DataFrame) -> DataFrame:
     if folder is None:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+
         folder = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

@@ -18,8 +18,8 @@ BIB_RESOURCE = r"(?U)\\addbibresource(?:\[[^]]*\])?\s*\{([^}]+)\}"
 #: Fractions without braces or without a backslash, with the reason of the change.
 ATOM = r"(\\[A-Za-z]+|[A-Za-z0-9])"
 FRACTIONS = (
-    (r"\\frac\s*(?!\{)" + ATOM + r"\s*(?!\{)" + ATOM, "Missing braces around fraction arguments"),
-    (r"(?<![\\A-Za-z])frac\s*([A-Za-z0-9])\s*([A-Za-z0-9])", "Missing backslash and braces in fraction command"),
+    (r"\\frac\s*" + ATOM + r"\s*" + ATOM, "Missing braces around fraction arguments"),
+    (r"(?<![\\A-Za-z])frac\s*" + ATOM + r"\s*" + ATOM, "Missing backslash and braces in fraction command"),
 )
 #: What asks for a package, the package, the command.
 HINTS = (
@@ -183,11 +183,15 @@ def reviewed(rows: DataFrame, decisions: DataFrame, key: str = "change_id") -> D
 
 
 def applied(units: DataFrame, rows: DataFrame) -> DataFrame:
-    """units with `output` and `n_applied`: enabled changes spliced left to right; overlapping or stale changes raise, as do blank or oversized ones."""
+    """units with `output`, `n_applied` and `error`: enabled changes spliced left to right.  A unit with a change that overlaps, is stale, blank or
+    oversized stays as it is and says so; other units are not concerned."""
     edits = rows.where("enabled").groupBy("project", "file").agg(F.array_sort(F.collect_list(F.struct("start", "end", "before", "after"))).alias("edits"))
     both = units.join(edits, ["project", "file"], "left")
     pairs = F.expr("slice(transform(edits, (e, i) -> struct(e as e, if(i = 0, 0, edits[i - 1].end) as floor)), 1, size(edits))")
     bad = F.exists(pairs, lambda p: (p["e"]["start"] < p["floor"]) | (F.trim(p["e"]["after"]) == "") | (F.length(p["e"]["after"]) > 100_000))
     stale = F.exists("edits", lambda e: F.substring(F.col("text"), e["start"] + 1, e["end"] - e["start"]) != e["before"])
-    output = F.when(F.col("edits").isNull(), F.col("text")).when(bad | stale, F.raise_error(F.concat(F.lit("changes do not fit "), "file"))).otherwise(splice(F.col("text"), F.col("edits")))
-    return both.withColumns({"output": output, "n_applied": F.coalesce(F.size("edits"), F.lit(0))}).drop("edits")
+    error = F.when(F.col("edits").isNull(), F.lit(None)).when(bad, F.lit("changes overlap, are blank or too long")).when(stale, F.lit("the text has changed since it was scanned"))
+    both = both.withColumn("error", error.cast("string"))
+    fits = F.col("edits").isNotNull() & F.col("error").isNull()
+    output = F.when(fits, splice(F.col("text"), F.col("edits"))).otherwise(F.col("text"))
+    return both.withColumns({"output": output, "n_applied": F.when(fits, F.size("edits")).otherwise(F.lit(0))}).drop("edits")

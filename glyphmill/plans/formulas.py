@@ -84,18 +84,12 @@ def j12(spark, d):
     return p.where(F.size(det.explicit_spans(F.col("text"), "balanced")) == 0).select("para")
 
 
-@query("WF1_ordinals", P + r""" , hits as (select doc, para, unnest(regexp_extract_all(text, '\$[^$]+\$')) as source, unnest(range(0, len(regexp_extract_all(text, '\$[^$]+\$')))) as i from paragraphs where para % 13 = 0)
- select concat('word/document.xml:', cast(para as string), ':', cast(i as string)) as candidate_id, source from hits""")
-def wf1(spark, d):
-    return cand.detected(paragraphs(spark, d).where("paragraph_index % 13 = 0")).select("candidate_id", "source")
-
-
-#: WF1_ordinals holds the inline kind only; here each kind does.  A candidate's place follows from where its source stands.
+#: Ids of every kind of paragraph.  A candidate's place follows from where its source stands.
 PLACED = KINDS + r""", placed as (select e.para, e.kind, e.source, strpos(p.text, e.source) - 1 as start, row_number() over (partition by e.para order by strpos(p.text, e.source)) - 1 as i from everything e join paragraphs p on p.para = e.para where e.kind is not null)"""
 
 
-@query("WF1_ordinals_all_kinds", PLACED + r""" select concat('word/document.xml:', cast(para as string), ':', case when kind = 'latex-broken' then concat(cast(start as string), ':', cast(start + len(source) as string)) else cast(i as string) end) as candidate_id, source from placed""")
-def wf1_all(spark, d):
+@query("WF1_ordinals", PLACED + r""" select concat('word/document.xml:', cast(para as string), ':', case when kind = 'latex-broken' then concat(cast(start as string), ':', cast(start + len(source) as string)) else cast(i as string) end) as candidate_id, source from placed""")
+def wf1(spark, d):
     return cand.detected(paragraphs(spark, d)).select("candidate_id", "source")
 
 
@@ -177,7 +171,7 @@ def sf5_7(spark, d):
 
 @query("SF5_8_brackets")
 def sf5_8(spark, d):
-    return formulas(spark, d).select("id", rep.brackets("source").alias("b")).select("id", F.col("b.text").alias("out"), F.array_join("b.repairs", "; ").alias("notes"))
+    return formulas(spark, d).select("id", rep.balance_brackets(F.col("source")).alias("b")).select("id", F.col("b.text").alias("out"), F.array_join("b.repairs", "; ").alias("notes"))
 
 
 #: The fixture has no escaped brace, so characters are steps and the least running depth says what closes nothing.

@@ -136,7 +136,7 @@ def se1_counts(spark, d):
     return se1(spark, d).groupBy("project", "code").agg(F.count("*").alias("n"))
 
 
-FRAC_SQL = r"""regexp_replace(regexp_replace(text, '\\frac(\\[A-Za-z]+|[A-Za-z0-9])(\\[A-Za-z]+|[A-Za-z0-9])', '\\frac{\1}{\2}', 'g'), '([$ ])(?:frac) ?([A-Za-z0-9])([A-Za-z0-9])', '\1\\frac{\2}{\3}', 'g')"""
+FRAC_SQL = r"""regexp_replace(regexp_replace(text, '\\frac(\\[A-Za-z]+|[A-Za-z0-9])(\\[A-Za-z]+|[A-Za-z0-9])', '\\frac{\1}{\2}', 'g'), '([$ ])(?:frac) ?(\\[A-Za-z]+|[A-Za-z0-9])(\\[A-Za-z]+|[A-Za-z0-9])', '\1\\frac{\2}{\3}', 'g')"""
 
 
 @query("SF12_applied_changes", duck("units") + f" select project, file, {FRAC_SQL} as output from units")
@@ -151,13 +151,13 @@ def sf6(spark, d):
     return latex.changes(view(spark, d, "units")).where("pattern = 0").select("project", "file", "before")
 
 
-@query("SF7_missing_slash", duck("units") + r" select project, file, trim(unnest(regexp_extract_all(text, '[$ ]frac ?[A-Za-z0-9][A-Za-z0-9]')), '$ ') as before from units")
+@query("SF7_missing_slash", duck("units") + r" select project, file, trim(unnest(regexp_extract_all(text, '[$ ]frac ?(\\[A-Za-z]+|[A-Za-z0-9])(\\[A-Za-z]+|[A-Za-z0-9])')), '$ ') as before from units")
 def sf7(spark, d):
     return latex.changes(view(spark, d, "units")).where("pattern = 1").select("project", "file", "before")
 
 
 WF2_SQL = duck("units") + LINES + r""", hits as (select project, seq, file, line, 0 as pattern, unnest(regexp_extract_all(t, '\\frac(\\[A-Za-z]+|[A-Za-z0-9])(\\[A-Za-z]+|[A-Za-z0-9])')) as before from lines
-union all select project, seq, file, line, 1, unnest(regexp_extract_all(t, '[$ ]frac ?[A-Za-z0-9][A-Za-z0-9]')) from lines),
+union all select project, seq, file, line, 1, unnest(regexp_extract_all(t, '[$ ]frac ?(\\[A-Za-z]+|[A-Za-z0-9])(\\[A-Za-z]+|[A-Za-z0-9])')) from lines),
 placed as (select *, row_number() over (partition by project order by seq, pattern, line) - 1 as place from hits)"""
 
 
@@ -179,15 +179,8 @@ def pf4(spark, d):
     return latex.reviewed(rows, decisions, "seq").select("project", "file", "line", "after", "enabled")
 
 
-@query("SO2_splice_order", duck("units") + " select file, reverse(replace(text, chr(10), ' ')) as flipped from units where seq % 3 = 0")
+@query("SO2_splice_order", duck("units") + " select file, reverse(replace(text, chr(10), ' ')) as flipped from units")
 def so2(spark, d):
-    u = view(spark, d, "units").where("seq % 3 = 0")
-    breaks = F.transform(latex.matches(F.col("text"), "\n", 0), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(" ").alias("after")))
-    return u.select("file", F.reverse(latex.splice(F.col("text"), breaks)).alias("flipped"))
-
-
-@query("SO2_splice_order_all_units", duck("units") + " select file, reverse(replace(text, chr(10), ' ')) as flipped from units")
-def so2_all(spark, d):
     u = view(spark, d, "units")
     breaks = F.transform(latex.matches(F.col("text"), "\n", 0), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(" ").alias("after")))
     return u.select("file", F.reverse(latex.splice(F.col("text"), breaks)).alias("flipped"))
@@ -223,9 +216,10 @@ def gr2(spark, d):
     return spark.sql(PATHS.replace("from documents", "from gm_documents")).select("doc_id", graph.resolved("reference", "parent").alias("path"))
 
 
-@query("SC7_size_guard", duck("units") + " select project, 'too many source files' as error from units group by project having count(*) > 256")
+@query("SC7_size_guard", "with f as (select concat(o_orderstatus, cast(o_orderkey % 10 as string)) as project from orders) select project, 'too many source files' as error from f group by project having count(*) > 256")
 def sc7(spark, d):
-    return graph.size_guard(view(spark, d, "units"))
+    project = F.concat("o_orderstatus", (F.col("o_orderkey") % 10).cast("string"))
+    return graph.size_guard(spark.read.parquet(f"{d}/orders.parquet").select(project.alias("project"), F.col("o_orderkey").cast("string").alias("text")))
 
 
 ADAPTER = "(values ('university.cls', 'file'), ('u1.tex', 'file'), (concat(chr(92), 'universitytitle'), 'command'), (concat(chr(92), 'label'), 'command')) r(item, kind)"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from glyphmill.operators import package, raster
@@ -55,9 +59,46 @@ def se4(spark, d):
     return view(spark, d, "entries").groupBy("doc", "side").agg((F.size(F.array_except(F.array(F.lit("word/1")), firsts)) == 0).alias("has_first"))
 
 
-@query("AG2_structure_sums", E + " select doc, side, sum(size) as bytes, count(*) as members, sum(flags) as flagged from entries group by doc, side")
+W_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
+FORMULA = "<m:oMath><m:r><m:t>x</m:t></m:r></m:oMath>"
+
+
+def _built(tables: int, formulas: int, loose: int = 0, media: str | None = "png", rels: str = "<r/>") -> bytes:
+    """A small package: tables, formulas in a paragraph each, formulas outside of paragraphs, a picture, relations."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        z.writestr("word/document.xml", f"<w:document {W_NS}><w:body>{'<w:tbl/>' * tables}{f'<w:p>{FORMULA}</w:p>' * formulas}{FORMULA * loose}</w:body></w:document>")
+        z.writestr("word/_rels/document.xml.rels", rels)
+        if media:
+            z.writestr("word/media/image1.png", media)
+    return out.getvalue()
+
+
+def built_pairs(spark, d):
+    """(path, before, after, expected) of packages made from the table of parts, altered in one way of seven each."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k, size in zip(pdf["p_partkey"], pdf["p_size"]):
+                t, how = int(size) % 3, int(k) % 7
+                after = _built(t + (how == 3), 1 + (how in (4, 6)), int(how == 5), None if how == 1 else "png", "<r2/>" if how == 2 else "<r/>")
+                rows.append((str(k), _built(t, 1), after, int(how == 6)))
+            yield pd.DataFrame(rows, columns=["path", "before", "after", "expected"])
+
+    parts = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size")
+    return parts.mapInPandas(run, "path string, before binary, after binary, expected int")
+
+
+@query("AG2_structure", "select cast(p_partkey as string) as path, cast(p_size % 3 + case when p_partkey % 7 = 3 then 1 else 0 end as bigint) as tables, cast(1 + case when p_partkey % 7 in (4, 5, 6) then 1 else 0 end as bigint) as math, cast(case when p_partkey % 7 = 5 then 1 else 0 end as bigint) as misplaced from part")
 def ag2(spark, d):
-    return view(spark, d, "entries").groupBy("doc", "side").agg(F.sum("size").alias("bytes"), F.count("*").alias("members"), F.sum("flags").alias("flagged"))
+    return package.structure(built_pairs(spark, d).select("path", F.col("after").alias("content"))).select("path", "tables", "math", "misplaced")
+
+
+@query("AG3_output_verdict", "select cast(p_partkey as string) as path, p_partkey % 7 <> 1 as entries_equal, p_partkey % 7 not in (1, 2) as unmodified_equal, true as content_types_equal, p_partkey % 7 <> 2 as relations_equal, p_partkey % 7 <> 3 as structure_equal, true as readable, p_partkey % 7 not in (4, 5) as math_valid, p_partkey % 7 <> 5 as placement_valid, p_partkey % 7 in (0, 6) as valid from part")
+def ag3_output(spark, d):
+    return package.verdicts(built_pairs(spark, d)).drop("error")
 
 
 @query("AG4_math_delta", E + " select doc, cast(sum(case when side = 'after' then flags else -flags end) as bigint) as delta, sum(case when side = 'after' then flags else -flags end) = 0 as valid from entries group by doc")

@@ -61,10 +61,10 @@ def pf9(spark, d):
     return read(spark, d, "part").select(F.col("p_partkey").alias("id"), rep.file_kind(path).alias("kind")).where("kind is not null")
 
 
-@query("PF10_endpoints", "select p_partkey as id, p_partkey % 6 in (0, 1, 5) as allowed from part")
+@query("PF10_endpoints", "select p_partkey as id, p_partkey % 10 in (0, 1, 5, 8, 9) as allowed from part")
 def pf10(spark, d):
-    urls = ("https://example.com/v1", "http://127.0.0.1:11434/api", "http://example.com", "https://u:p@example.com", "ftp://10.0.0.1", "http://192.168.1.4/x")
-    url = F.element_at(F.array(*map(F.lit, urls)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    urls = ("https://example.com/v1", "http://127.0.0.1:11434/api", "http://example.com", "https://u:p@example.com", "ftp://10.0.0.1", "http://192.168.1.4/x", "http://10.example.com/v1", "http://127.evil.org", "http://[::1]:8080/v1", "http://169.254.1.2/")
+    url = F.element_at(F.array(*map(F.lit, urls)), (F.col("p_partkey") % 10 + 1).cast("int"))
     return read(spark, d, "part").select(F.col("p_partkey").alias("id"), rep.endpoint_allowed(url).alias("allowed"))
 
 
@@ -105,7 +105,7 @@ def sk11(spark, d):
     dirs = read(spark, d, "part").select((F.col("p_size") % 5).alias("k")).distinct()
     taken = dirs.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("k") + 1))).select(F.concat(F.lit("d"), "k").alias("dir"), F.concat(F.lit("a"), F.when(F.col("n") == 1, "").otherwise(F.concat(F.lit("_"), "n")), F.lit(".docx")).alias("name"))
     wanted = dirs.select(F.concat(F.lit("d"), "k").alias("dir"), F.lit("a").alias("stem"), F.lit(".docx").alias("suffix"))
-    return rep.free_names(wanted, taken, 50).select("dir", "name")
+    return rep.free_names(wanted, taken).select("dir", "name")
 
 
 @query("SO3_sorted_names", "select c_nationkey as k, string_agg(distinct c_mktsegment, ',' order by c_mktsegment) as names from customer group by 1")

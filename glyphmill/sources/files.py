@@ -110,7 +110,12 @@ def write_units(units: DataFrame, root: str) -> int:
 
 
 def publish_project(source: str, target: str, units: DataFrame) -> int:
-    """A project's copy with repaired units: staged beside the target, then swapped in; the old target comes back if that fails."""
+    """A project's copy with repaired units: staged beside the target, then swapped in; the old target comes back if that fails.
+
+    A project with a unit whose changes do not fit (`error`) is not published.
+    """
+    if "error" in units.columns and (misfit := units.where("error is not null").select("file", "error").orderBy("file").first()):
+        raise ValueError(f"{misfit.file}: {misfit.error}")
     stage, old = f"{target}.{uuid.uuid4().hex}.new", f"{target}.{uuid.uuid4().hex}.old"
     shutil.copytree(source, stage, ignore=IGNORED)
     try:

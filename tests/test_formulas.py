@@ -114,7 +114,54 @@ def test_ids_of_every_kind(spark):
 
     registry.load()
     data = "/root/testdata/sf0.001"
-    rows = registry.QUERIES["WF1_ordinals_all_kinds"](spark, data).collect()
+    rows = registry.QUERIES["WF1_ordinals"](spark, data).collect()
     kinds = {int(r.candidate_id.split(":")[1]) % 13 for r in rows}
     assert kinds == {0, 1, 2, 4, 5, 7, 8, 9, 10, 12} and any(r.candidate_id.count(":") == 3 for r in rows)
     assert len(rows) == registry.QUERIES["SF1_detected_formulas"](spark, data).count()
+
+
+#: What bracket repair must make of a text, and what it says.
+BRACKETS = [
+    ("[0, 1)", "[0, 1)", []), (" (a,b] ", " (a,b] ", []), ("(a", "(a)", ["closed unmatched bracket"]), ("a)", "a", ["removed unmatched closing bracket"]),
+    ("([)", "([])", ["removed unmatched closing bracket", "closed unmatched bracket"]), ("x 0.5\\%, 75\\%]", "x [0.5\\%, 75\\%]", ["restored a missing opening bracket"]),
+    ("(x 12]", "(x [12]", ["restored a missing opening bracket"]), ("x 12] 3]", "x 12 3", ["removed unmatched closing bracket"]), ("\\(", "\\(", []), ("\\text{a) b} )", "\\text{a) b} ", ["removed unmatched closing bracket"]),
+    ("y\\text{a)}", "y\\text{a}", ["removed unmatched closing bracket"]), ("a\\", "a\\", []), ("", "", []), ("\\text{(", "\\text{(", []), ("1" + "2" * 60 + "]", "1" + "2" * 20 + "[" + "2" * 40 + "]", ["restored a missing opening bracket"]),
+]
+
+
+def test_brackets(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(BRACKETS)] + [(99, None)], "i int, t string")
+    got = {r.i: (r.b.text, r.b.repairs) for r in rows.select("i", repairing.balance_brackets(F.col("t")).alias("b")).collect()}
+    assert got.pop(99) == (None, [])
+    for i, (t, text_, notes) in enumerate(BRACKETS):
+        assert got[i] == (text_, notes), t
+
+
+@given(st.lists(st.text(alphabet="()[]a1 \\{},", max_size=14), min_size=40, max_size=40))
+@settings(max_examples=5, deadline=None)
+def test_brackets_are_balanced(spark, texts):
+    """What comes out is left alone the second time, unless a number got its opener, or a lone backslash at the end met a closer."""
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("b", repairing.balance_brackets(F.col("t")))
+    rows = rows.select("t", "b", repairing.balance_brackets(F.col("b.text")).alias("again"))
+    for r in rows.collect():
+        if not r.t.endswith("\\") and "restored a missing opening bracket" not in r.b.repairs and "restored a missing opening bracket" not in r.again.repairs:
+            assert r.again.text == r.b.text and r.again.repairs == [], r.t
+
+
+def test_free_names(spark):
+    from glyphmill.operators import reports
+
+    taken = [("d", n) for n in ("a.docx", "a_2.docx", "a_4.docx", "b.pdf", "c_2.docx", "e_2.docx", "e_2_2.docx", "x.tar.gz", "a_02.docx")] + [("long", "z.docx")] + [("long", f"z_{i}.docx") for i in range(2, 2500)]
+    wanted = [("d", "a", ".docx"), ("d", "b", ".docx"), ("d", "c", ".docx"), ("d", "e_2", ".docx"), ("d", "x", ".tar.gz"), ("long", "z", ".docx"), ("none", "a", ".docx"), ("d", "a", "")]
+    w, t = spark.createDataFrame(wanted, "dir string, stem string, suffix string"), spark.createDataFrame(taken, "dir string, name string")
+    free = lambda *c: {(r.dir, r.stem, r.suffix): r.name for r in reports.free_names(w, t, *c).collect()}
+    got = free()
+    assert [got[x] for x in wanted] == ["a_3.docx", "b.docx", "c.docx", "e_2_3.docx", "x_2.tar.gz", "z_2500.docx", "a.docx", "a"]
+    assert free((".pdf",))["d", "b", ".docx"] == "b_2.docx"
+
+
+@pytest.mark.parametrize(("url", "allowed"), [("http://10.example.com/v1", False), ("http://127.evil.org", False), ("http://[::1]:1/x", True), ("http://169.254.0.1", True), ("http://172.32.0.1", False), ("http://172.31.0.1/a", True), ("http://10.0.0.256", False), ("http://[2001:db9::1]", False), ("http://[fd00::2]/", True), ("https://10.example.com", True), (None, False)])
+def test_endpoints(spark, url, allowed):
+    from glyphmill.operators import reports
+
+    assert spark.createDataFrame([(url,)], "u string").select(reports.endpoint_allowed(F.col("u")).alias("x")).first().x is allowed
