@@ -23,24 +23,21 @@ def events(logs: DataFrame) -> DataFrame:
 
 
 def active_files(logs: DataFrame) -> DataFrame:
-    """(project, seq, file): the file open before each entry, by one fold over a project's events.
+    """(project, seq, file): the file open before each entry.
 
-    Only events travel (a file name or null each); a project's log is one compile, so its events are one array.
+    Depths are running sums of openings and closings that never fall below zero (a closing with nothing open counts for nothing).
+    The open file is that of the latest opening that led to the depth at hand: had the log been above and below it since, the
+    way back up would be a later one.  All of it is running windows over rows of a file name each; no log is held as a whole.
     """
-    stack = F.array().cast("array<string>")
-    rows = logs.select("project", "seq", F.transform(F.regexp_extract_all("text", F.lit(OPEN_OR_CLOSE), F.lit(0)), lambda e: F.when(e != ")", F.substring(e, F.lit(2), F.length(e)))).alias("ev"))
-    kind = "struct<stack:array<string>,out:array<struct<seq:bigint,file:string>>>"
-
-    def push(acc: Column, e: Column) -> Column:
-        return F.when(e.isNotNull(), F.concat(acc, F.array(e))).otherwise(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-
-    def step(acc: Column, row: Column) -> Column:
-        top = F.when(F.size(acc["stack"]) > 0, F.element_at(acc["stack"], -1))
-        return F.struct(F.aggregate(row["ev"], acc["stack"], push).alias("stack"), F.concat(acc["out"], F.array(F.struct(row["seq"].alias("seq"), top.alias("file")))).alias("out")).cast(kind)
-
-    begin = F.struct(stack.alias("stack"), F.array().cast("array<struct<seq:bigint,file:string>>").alias("out"))
-    folded = rows.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("seq", "ev"))).alias("rows"))
-    return folded.select("project", F.explode(F.aggregate("rows", begin, step, lambda acc: acc["out"])).alias("r")).select("project", "r.seq", "r.file")
+    order = Window.partitionBy("project").orderBy("seq", "pos")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    moves = events(logs).withColumn("sum", F.sum(F.when(F.col("file").isNotNull(), 1).otherwise(-1)).over(so_far))
+    moves = moves.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(so_far)))
+    same = Window.partitionBy("project", "depth").orderBy("seq", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    moves = moves.withColumn("top", F.when(F.col("depth") > 0, F.last("file", ignorenulls=True).over(same)))
+    states = moves.select("project", "seq", "pos", F.struct("top").alias("state"))
+    rows = states.unionByName(logs.select("project", "seq", F.lit(-1).alias("pos"), F.lit(None).cast("struct<top:string>").alias("state")))
+    return rows.withColumn("now", F.last("state", ignorenulls=True).over(so_far)).where("pos = -1").select("project", "seq", F.col("now.top").alias("file"))
 
 
 def entries(text: str | None) -> list[str]:
