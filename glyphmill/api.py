@@ -18,22 +18,39 @@ class NotAvailable(RuntimeError):
     """A boundary that needs an external program or service, of which none is configured."""
 
 
+def _admitted(packages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Packages that are admitted, and (path, error) of the others."""
+    refused = package.admission(package.members(packages)).where("error is not null")
+    return packages.join(refused, "path", "left_anti"), refused
+
+
 def scan_words(spark: SparkSession, folder: str, mode: str = "balanced") -> DataFrame:
     """Candidates of every package of a folder that is admitted."""
-    packages = package.read_packages(spark, folder)
-    admitted = package.admission(package.members(packages)).where("error is null").select("path")
-    paragraphs = package.paragraphs(packages.join(admitted, "path", "left_semi"))
-    return cand.candidates(paragraphs.withColumnRenamed("path", "doc"), mode)
+    packages, _ = _admitted(package.read_packages(spark, folder))
+    return cand.candidates(package.paragraphs(packages).withColumnRenamed("path", "doc"), mode)
+
+
+def word_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, part, code, message): packages that are refused, and parts of others that can't be read."""
+    packages, refused = _admitted(package.read_packages(spark, folder))
+    parts = package.structure(packages).where("error is not null")
+    code, message = F.split("error", ": ", 2)[0], F.split("error", ": ", 2)[1]
+    return refused.select("path", F.lit("").alias("part"), F.lit("PACKAGE_REFUSED").alias("code"), F.col("error").alias("message")).unionByName(parts.select("path", "part", code.alias("code"), message.alias("message")))
 
 
 def repair_words(spark: SparkSession, folder: str, compiler: Callable[[str], bytes] | None = None, decisions: DataFrame | None = None, best_effort: bool = False) -> DataFrame:
-    """(path, content, converted, warnings, error) of a folder's packages; compiler: TeX to Office Math markup."""
+    """(path, content, converted, warnings, error) of a folder's packages; compiler: TeX to Office Math markup.
+
+    Packages that are refused are never unpacked; their reason is the error.
+    """
     if compiler is None:
         raise NotAvailable("repair of packages needs a compiler from TeX to Office Math")
     rows = scan_words(spark, folder)
     rows = cand.reviewed(rows, decisions) if decisions is not None else rows
     items = rows.where("enabled").withColumnRenamed("doc", "path")
-    return package.patched(package.read_packages(spark, folder), items, compiler, best_effort)
+    packages, refused = _admitted(package.read_packages(spark, folder))
+    done = package.patched(packages, items, compiler, best_effort)
+    return done.unionByName(refused.select("path", F.lit(None).cast("binary").alias("content"), F.lit(0).alias("converted"), F.array().cast("array<string>").alias("warnings"), "error"))
 
 
 def scan_project(spark: SparkSession, root: str, main: str = "main.tex", profile: str = "generic", registry: plugins.Registry | None = None, adapter: dict | None = None) -> tuple[DataFrame, DataFrame]:

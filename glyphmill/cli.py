@@ -7,6 +7,12 @@ import json
 import sys
 
 
+def lines(rows) -> None:
+    """Every row as a line of JSON; the driver holds a partition at a time."""
+    for r in rows.selectExpr("to_json(struct(*)) as line").toLocalIterator():
+        print(r.line)
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="glyphmill")
     sub = p.add_subparsers(dest="command", required=True)
@@ -26,11 +32,12 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "doctor":
         print(json.dumps(api.doctor(spark), indent=2))
     elif a.command == "scan":
-        api.scan_words(spark, a.path, a.mode).selectExpr("doc", "candidate_id", "kind", "substring(source, 1, 90) as source", "normalized").show(1000, False)
+        lines(api.scan_words(spark, a.path, a.mode).selectExpr("doc", "candidate_id", "kind", "substring(source, 1, 90) as source", "normalized"))
+        lines(api.word_findings(spark, a.path))
     elif a.command == "project":
         changes, findings = api.scan_project(spark, a.path, a.main)
-        changes.select("change_id", "before", "after").show(1000, False)
-        findings.show(1000, False)
+        lines(changes.select("change_id", "before", "after"))
+        lines(findings)
     else:
         if not a.output:
             p.error("repair needs --output")

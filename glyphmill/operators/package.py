@@ -1,7 +1,7 @@
 """Word packages as relations: members, paragraphs, counters; admission and verdicts over them; edits of paragraphs.
 
 A package is one binary row, read by one task; its members and paragraphs are rows.  Markup with a document type is refused
-before it is parsed, so no entity is ever expanded.
+by the parser itself, in any encoding, so no entity is ever expanded.  A package that can't be read is a row that says so.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
+from xml.parsers import expat
+from xml.sax.saxutils import quoteattr
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,15 +42,53 @@ def read_packages(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "content").dropDuplicates(["path"])
 
 
-def parse(data: bytes) -> ET.Element:
-    if b"<!DOCTYPE" in data[:65536] or re.search(rb"<!(DOCTYPE|ENTITY)", data):
+#: What a package that is no sound archive raises.
+BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, OSError, NotImplementedError, RuntimeError, ValueError)
+
+
+def declared(data: bytes) -> list[tuple[str, str]]:
+    """Namespace declarations (prefix, uri) of a part's root, in order; Unsafe if it declares a document type or an entity."""
+    names: list[list[tuple[str, str]]] = []
+
+    def refuse(*_) -> None:
         raise Unsafe("markup declares a document type")
-    for _, (prefix, uri) in ET.iterparse(io.BytesIO(data), events=["start-ns"]):
-        if not re.fullmatch(r"ns\d+", prefix):
-            ET.register_namespace(prefix, uri)
+
+    def start(_, attributes: list[str]) -> None:
+        if not names:
+            names.append([(k.partition(":")[2], v) for k, v in zip(attributes[::2], attributes[1::2]) if k == "xmlns" or k.startswith("xmlns:")])
+
+    reader = expat.ParserCreate()
+    reader.ordered_attributes = True
+    reader.StartDoctypeDeclHandler = reader.EntityDeclHandler = reader.ExternalEntityRefHandler = refuse
+    reader.StartElementHandler = start
+    try:
+        reader.Parse(data, True)
+    except expat.ExpatError as e:
+        raise Unsafe(f"markup is not well formed: {e}") from None
+    return names[0]
+
+
+def parse(data: bytes) -> ET.Element:
+    declared(data)
     return ET.fromstring(data)
 
 
+def serialised(root: ET.Element, data: bytes) -> bytes:
+    """Markup of an edited part that was read from data, with all prefixes that its root declared, used or not: attributes name them (mc:Ignorable)."""
+    names = declared(data)
+    for prefix, uri in names:
+        if re.fullmatch(r"ns\d+", prefix):
+            raise Unsafe(f"prefix {prefix} can't be kept")
+        if prefix:
+            ET.register_namespace(prefix, uri)
+    out = ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+    there = {prefix for prefix, _ in declared(out)}
+    more = "".join(f" xmlns:{prefix}={quoteattr(uri)}" for prefix, uri in names if prefix and prefix not in there)
+    at = out.index(b"<", out.index(b"?>"))
+    end = re.compile(rb"[\s/>]").search(out, at).start()
+    return out[:end] + more.encode() + out[end:]
+
+
 def _tag(e: ET.Element) -> str:
     return e.tag.removeprefix(W)
 
@@ -70,12 +110,16 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for path, content in zip(pdf["path"], pdf["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                rows += [(path, i.filename, i.file_size, i.compress_size, i.flag_bits, i.CRC) for i in z.infolist()]
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    rows += [(path, i.filename, i.file_size, i.compress_size, i.flag_bits, i.CRC) for i in z.infolist()]
+            except BROKEN:
+                rows.append((path, None, 0, 0, 0, 0))
         yield pd.DataFrame(rows, columns=["path", "name", "size", "csize", "flags", "crc"])
 
 
 def members(packages: DataFrame) -> DataFrame:
+    """A row for each member; one without a name for a package that can't be read."""
     return packages.mapInPandas(_members, MEMBER)
 
 
@@ -84,11 +128,11 @@ def admission(rows: DataFrame) -> DataFrame:
     g = rows.groupBy("path").agg(
         F.count("*").alias("n"), F.count_distinct("name").alias("names"), F.max("size").alias("largest"), F.sum("size").alias("total"),
         F.max(F.col("size") / F.greatest(F.col("csize"), F.lit(1))).alias("ratio"), F.max(F.col("flags").bitwiseAND(1)).alias("locked"), F.sum("csize").alias("packed"),
-        *(F.max((F.col("name") == r).cast("int")).alias(f"has{i}") for i, r in enumerate(REQUIRED)),
+        *(F.max(F.coalesce(F.col("name") == r, F.lit(False)).cast("int")).alias(f"has{i}") for i, r in enumerate(REQUIRED)), F.bool_or(F.col("name").isNull()).alias("unread"),
     )
     required = F.col("has0") + F.col("has1")
     error = (
-        F.when(F.col("packed") > MOST_BYTES, "package is too large").when(F.col("n") > MOST_MEMBERS, "too many members").when(F.col("n") != F.col("names"), "duplicate member")
+        F.when(F.col("unread"), "package can't be read").when(F.col("packed") > MOST_BYTES, "package is too large").when(F.col("n") > MOST_MEMBERS, "too many members").when(F.col("n") != F.col("names"), "duplicate member")
         .when(required < len(REQUIRED), "required part is missing").when(F.col("locked") > 0, "encrypted member").when(F.col("largest") > MOST_MEMBER, "member is too large")
         .when(F.col("total") > MOST_TOTAL, "expanded package is too large").when(F.col("ratio") > MOST_RATIO, "suspicious compression ratio")
     )
@@ -105,46 +149,53 @@ def _stories(content: bytes) -> Iterator[tuple[str, bytes]]:
             yield name, z.read(name)
 
 
+def _roots(content: bytes) -> Iterator[tuple[str, ET.Element | None, str | None]]:
+    """(part, root, error) of each story part; a package that can't be read is one part without a name."""
+    try:
+        for name, data in _stories(content):
+            try:
+                yield name, parse(data), None
+            except (Unsafe, ET.ParseError) as e:
+                yield name, None, f"STORY_XML_INVALID: {e}"
+    except BROKEN as e:
+        yield "", None, f"PACKAGE_UNREADABLE: {e}"
+
+
 def _paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
-            rows = []
-            for name, data in _stories(content):
-                try:
-                    root = parse(data)
-                except (Unsafe, ET.ParseError):
-                    continue
-                rows += [(path, name, i, "".join(t for _, t in pieces(p))) for i, p in enumerate(root.iter(f"{W}p"))]
+            rows = [(path, name, i, "".join(t for _, t in pieces(p))) for name, root, error in _roots(content) if error is None for i, p in enumerate(root.iter(f"{W}p"))]
             yield pd.DataFrame(rows, columns=["path", "part", "paragraph_index", "text"])
 
 
 def paragraphs(packages: DataFrame) -> DataFrame:
+    """Paragraphs of the story parts that can be read; ``structure`` says which can't."""
     return packages.mapInPandas(_paragraphs, PARAGRAPH)
 
 
+def counters(root: ET.Element) -> dict[str, int]:
+    """Native formulas of a part, those outside of paragraphs, and the elements that structure counts."""
+    math = misplaced = 0
+    todo = [(root, False)]
+    while todo:
+        e, inside = todo.pop()
+        if e.tag == f"{M}oMath":
+            math += 1
+            misplaced += not inside
+        inside = inside or e.tag == f"{W}p"
+        todo += [(c, inside) for c in e]
+    return {"math": math, "misplaced": misplaced} | {n: sum(1 for tag in tags for _ in root.iter(W + tag)) for n, tags in COUNTED.items()}
+
+
 def _structure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = list(COUNTED)
+    names = ["math", "misplaced", *COUNTED]
     for pdf in batches:
         rows = []
         for path, content in zip(pdf["path"], pdf["content"]):
-            for name, data in _stories(content):
-                try:
-                    root = parse(data)
-                except (Unsafe, ET.ParseError) as e:
-                    rows.append((path, name, 0, 0, *(0 for _ in names), f"STORY_XML_INVALID: {e}"))
-                    continue
-                parents = {c: p for p in root.iter() for c in p}
-
-                def in_paragraph(e: ET.Element) -> bool:
-                    while e in parents:
-                        e = parents[e]
-                        if e.tag == f"{W}p":
-                            return True
-                    return False
-
-                math = list(root.iter(f"{M}oMath"))
-                rows.append((path, name, len(math), sum(not in_paragraph(e) for e in math), *(sum(1 for tag in COUNTED[n] for _ in root.iter(W + tag)) for n in names), None))
-        yield pd.DataFrame(rows, columns=["path", "part", "math", "misplaced", *names, "error"])
+            for part, root, error in _roots(content):
+                own = counters(root) if error is None else dict.fromkeys(names, 0)
+                rows.append((path, part, *(own[n] for n in names), error))
+        yield pd.DataFrame(rows, columns=["path", "part", *names, "error"])
 
 
 def structure(packages: DataFrame) -> DataFrame:
@@ -152,6 +203,44 @@ def structure(packages: DataFrame) -> DataFrame:
     return packages.mapInPandas(_structure, "path string, part string, math long, misplaced long, " + ", ".join(f"{n} long" for n in COUNTED) + ", error string")
 
 
+#: What must hold of a package that was written.
+CHECKS = ("entries_equal", "unmodified_equal", "content_types_equal", "relations_equal", "structure_equal", "readable", "math_valid", "placement_valid")
+
+
+def checked(before: bytes, after: bytes, expected: int) -> dict[str, bool]:
+    """CHECKS of a package against the one it was made from; expected: how many native formulas it has more."""
+    with zipfile.ZipFile(io.BytesIO(before)) as b, zipfile.ZipFile(io.BytesIO(after)) as a:
+        old, new = ({i.filename: i.CRC for i in z.infolist()} for z in (b, a))
+        names = [sorted(z.namelist()) for z in (b, a)]
+        readable = a.testzip() is None
+    parts = [{part: counters(root) if error is None else None for part, root, error in _roots(x)} for x in (before, after)]
+    kept = [n for n in old if not re.match(STORY, n)]
+    totals = [{n: sum(c[n] for c in p.values() if c) for n in ("math", "misplaced", *COUNTED)} for p in parts]
+    same = lambda some: all(new.get(n) == old[n] for n in some)
+    return {
+        "entries_equal": names[0] == names[1], "unmodified_equal": same(kept), "content_types_equal": old.get(REQUIRED[0]) == new.get(REQUIRED[0]),
+        "relations_equal": same(n for n in old if n.endswith(".rels")), "structure_equal": all(totals[0][n] == totals[1][n] for n in COUNTED) and None not in parts[1].values(),
+        "readable": readable, "math_valid": totals[1]["math"] - totals[0]["math"] == expected, "placement_valid": totals[1]["misplaced"] == 0,
+    }
+
+
+def verdicts(pairs: DataFrame) -> DataFrame:
+    """pairs (path, before, after, expected) -> (path, CHECKS, valid, error); a pair that can't be read fails all checks, and error says why."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, before, after, expected in zip(pdf["path"], pdf["before"], pdf["after"], pdf["expected"]):
+                try:
+                    own, error = checked(before, after, expected), None
+                except BROKEN as e:
+                    own, error = dict.fromkeys(CHECKS, False), str(e)
+                rows.append((path, *(own[c] for c in CHECKS), all(own.values()), error))
+            yield pd.DataFrame(rows, columns=["path", *CHECKS, "valid", "error"])
+
+    return pairs.select("path", "before", "after", "expected").mapInPandas(run, "path string, " + ", ".join(f"{c} boolean" for c in CHECKS) + ", valid boolean, error string")
+
+
 def entry_comparison(entries: DataFrame) -> DataFrame:
     """entries (doc, side, name, crc, modified) -> a row for each document: equal names, unmodified members unchanged, relations unchanged."""
     b = entries.where("side = 'before'").groupBy("doc", "name").agg(F.min("crc").alias("b"), F.max("modified").alias("modified"))
@@ -236,7 +325,7 @@ def patch(content: bytes, edits: dict[tuple[str, int], list[tuple[int, int, byte
                         if "".join(t for _, t in pieces(p)) != before[:start] + before[end:]:
                             raise Unsafe("text changed outside of the span")
                         done += 1
-                data = ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+                data = serialised(root, data)
             target.writestr(info, data, compress_type=info.compress_type)
     return out.getvalue(), done, warnings
 
@@ -244,7 +333,8 @@ def patch(content: bytes, edits: dict[tuple[str, int], list[tuple[int, int, byte
 def patched(packages: DataFrame, items: DataFrame, compiler: Callable[[str], bytes], best_effort: bool = False) -> DataFrame:
     """packages (path, content), items (path, part, paragraph_index, start, end, normalized, display) -> (path, content, converted, warnings, error).
 
-    A failure concerns its package alone.  compiler: TeX to Office Math markup; none is built in.
+    Every package is checked against the one it was made from, and is no result unless all CHECKS hold.  A failure concerns its package alone.
+    compiler: TeX to Office Math markup; none is built in.  It sees each distinct formula of a package once.
     """
     edits = items.groupBy("path").agg(F.collect_list(F.struct("part", "paragraph_index", "start", "end", "normalized", "display")).alias("items"))
 
@@ -253,11 +343,15 @@ def patched(packages: DataFrame, items: DataFrame, compiler: Callable[[str], byt
             rows = []
             for path, content, own in zip(pdf["path"], pdf["content"], pdf["items"]):
                 by: dict = {}
+                compiled: dict[str, bytes] = {}
                 try:
                     for x in own if own is not None else []:
-                        by.setdefault((x["part"], x["paragraph_index"]), []).append((x["start"], x["end"], compiler(x["normalized"]), x["display"]))
+                        if x["normalized"] not in compiled:
+                            compiled[x["normalized"]] = compiler(x["normalized"])
+                        by.setdefault((x["part"], x["paragraph_index"]), []).append((x["start"], x["end"], compiled[x["normalized"]], x["display"]))
                     data, n, warnings = patch(content, by, best_effort)
-                    rows.append((path, data, n, warnings, None))
+                    failed = [c for c, holds in checked(content, data, n).items() if not holds]
+                    rows.append((path, None, 0, [], f"output failed: {', '.join(failed)}") if failed else (path, data, n, warnings, None))
                 except Exception as e:  # noqa: BLE001  one package's fault
                     rows.append((path, None, 0, [], str(e)))
             yield pd.DataFrame(rows, columns=["path", "content", "converted", "warnings", "error"])

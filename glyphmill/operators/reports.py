@@ -7,7 +7,7 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,20 +60,43 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/\\]+$", 0)
 
 
+#: Hosts that plain http may reach: addresses of private, loopback, link-local and documentation networks.
+PART = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+NETWORKS = ("0", "10", "127", r"169\.254", r"172\.(?:1[6-9]|2[0-9]|3[01])", r"192\.168", r"192\.0\.0", r"192\.0\.2", r"198\.1[89]", r"198\.51\.100", r"203\.0\.113")
+PRIVATE_V4 = rf"^(?={PART}(?:\.{PART}){{3}}$)(?:{'|'.join(NETWORKS)})\."
+PRIVATE_V6 = r"^\[(?:::1?|f[cd][0-9a-f]{2}:[0-9a-f:]*|fe[89ab][0-9a-f]:[0-9a-f:]*)\]$"
+
+
 def endpoint_allowed(url: Column) -> Column:
-    """https to any host, http to private ones alone, never with credentials."""
+    """https to any host, http to localhost and private addresses alone, never with credentials."""
     scheme, host = F.lower(F.parse_url(url, F.lit("PROTOCOL"))), F.lower(F.parse_url(url, F.lit("HOST")))
-    private = (host == "localhost") | F.regexp_like(host, F.lit(r"^(127\.|10\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.)"))
+    private = (host == "localhost") | F.regexp_like(host, F.lit(PRIVATE_V4)) | F.regexp_like(host, F.lit(PRIVATE_V6))
     plain = F.parse_url(url, F.lit("USERINFO")).isNull()
     return F.coalesce(plain & ((scheme == "https") | ((scheme == "http") & private)) & host.isNotNull(), F.lit(False))
 
 
-def free_names(wanted: DataFrame, taken: DataFrame, most: int = 1000) -> DataFrame:
-    """wanted (dir, stem, suffix) -> (dir, stem, suffix, name): the stem, or with _2, _3, ..., whichever no taken (dir, name) has first."""
-    tries = wanted.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(most))))
-    name = F.concat("stem", F.when(F.col("n") == 1, "").otherwise(F.concat(F.lit("_"), "n")), "suffix")
-    free = tries.withColumn("name", name).join(taken.select("dir", "name").distinct(), ["dir", "name"], "left_anti")
-    return free.groupBy("dir", "stem", "suffix").agg(F.min_by("name", "n").alias("name"))
+def free_names(wanted: DataFrame, taken: DataFrame, companions: tuple[str, ...] = ()) -> DataFrame:
+    """wanted (dir, stem, suffix) -> (dir, stem, suffix, name): the stem, or with _2, _3, ..., whichever no taken (dir, name) has first, neither with
+    the suffix nor with one of companions.
+
+    Suffixes are empty or begin with a dot.  Taken names give the numbers in use, and the first gap is the answer, so there is no limit and
+    nothing is tried in vain.
+    """
+    asked = wanted.select("dir", "stem", "suffix").distinct()
+    ends = asked.select("dir", "stem", "suffix", F.explode(F.array_distinct(F.array("suffix", *map(F.lit, companions)))).alias("end"))
+    parts = F.split("name", r"\.")
+    splits = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))  # every head that a suffix may follow
+    named = taken.select("dir", "name").distinct().select("dir", "name", F.explode(splits).alias("head"))
+    named = named.withColumn("end", F.col("name").substr(F.length("head") + 1, F.length("name")))
+    head = F.col("head")
+    number = F.regexp_extract(head, r"_([2-9]|[1-9][0-9]{1,17})$", 1)
+    whole = named.select("dir", "end", head.alias("stem"), F.lit(1).cast("long").alias("n"))
+    counted = named.where(number != "").select("dir", "end", head.substr(F.lit(1), F.length(head) - F.length(number) - 1).alias("stem"), number.cast("long").alias("n"))
+    used = ends.join(whole.unionByName(counted), ["dir", "stem", "end"]).select("dir", "stem", "suffix", "n").distinct()
+    place = F.row_number().over(Window.partitionBy("dir", "stem", "suffix").orderBy("n"))
+    gaps = used.withColumn("place", place).groupBy("dir", "stem", "suffix").agg(F.coalesce(F.min(F.when(F.col("n") != F.col("place"), F.col("place"))), F.max("n") + 1).alias("free"))
+    free = F.coalesce("free", F.lit(1))
+    return asked.join(gaps, ["dir", "stem", "suffix"], "left").select("dir", "stem", "suffix", F.concat("stem", F.when(free > 1, F.concat(F.lit("_"), free)).otherwise(""), "suffix").alias("name"))
 
 
 def publish(path: str, text: str) -> None:

@@ -88,3 +88,13 @@ def test_project_beyond_the_guard(spark, tmp_path):
         (tmp_path / f"u{i}.tex").write_text("\\frac12")
     changes, findings = api.scan_project(spark, str(tmp_path))
     assert [r.code for r in findings.collect()] == ["PROJECT_TOO_LARGE"] and changes.count() == 0
+
+
+def test_command_line_prints_every_row(spark, project, capsys):
+    from glyphmill import cli
+
+    (project / "chapters" / "results.tex").write_text("\n".join(f"\\frac{i % 9}{i % 7}" for i in range(1200)))
+    assert cli.main(["project", str(project)]) == 0
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert sum("after" in x for x in lines) == 1200
+

@@ -45,11 +45,40 @@ def test_review_of_changes(spark):
     assert out.output == r"$\frac12$ and $\frac{30}{40}$" and out.n_applied == 1
 
 
-def test_stale_change_raises(spark):
-    u = units(spark, r"\frac12")
-    rows = latex.changes(u).withColumn("enabled", F.lit(True))
-    with pytest.raises(Exception, match="do not fit"):
-        latex.applied(units(spark, r"\frac99"), rows).collect()
+def test_stale_change_concerns_its_unit_alone(spark):
+    two = units(spark, r"\frac12").unionByName(units(spark, r"\frac34").withColumn("project", F.lit("other")))
+    rows = latex.changes(two).withColumn("enabled", F.lit(True))
+    late = two.withColumn("text", F.when(F.col("project") == "other", F.lit(r"\frac99")).otherwise(F.col("text")))
+    got = {r.project: (r.output, r.n_applied, r.error) for r in latex.applied(late, rows).collect()}
+    assert got.pop("other") == (r"\frac99", 0, "the text has changed since it was scanned")
+    assert list(got.values()) == [(r"\frac{1}{2}", 1, None)]
+
+
+def test_missing_slash_of_commands(spark):
+    assert [r.after for r in latex.changes(units(spark, r"$x=frac\alpha2$ $y=frac12$ \dfrac12")).orderBy("start").collect()] == [r"\frac{\alpha}{2}", r"\frac{1}{2}"]
+
+
+def test_active_files_against_a_stack(spark):
+    import random
+
+    from glyphmill.operators import logs
+
+    rng, rows = random.Random(3), []
+    for p in range(4):
+        rows += [(f"p{p}", i, "".join(rng.choice(["(./a.tex", "(b.sty", ")", ")", "x ", "(c.cls "]) for _ in range(rng.randint(0, 4)))) for i in range(60)]
+    got = {(r.project, r.seq): r.file for r in logs.active_files(spark.createDataFrame(rows, "project string, seq long, text string")).collect()}
+    import re
+
+    stacks: dict = {}
+    for p, i, text in rows:
+        stack = stacks.setdefault(p, [])
+        assert got[p, i] == (stack[-1] if stack else None)
+        for e in re.findall(logs.OPEN_OR_CLOSE, text):
+            if e == ")":
+                del stack[-1:]
+            else:
+                stack.append(e[1:])
+    assert len(got) == len(rows)
 
 
 @pytest.mark.parametrize(("reference", "path"), [("../../secret", None), ("", None), ("/a", None), ("a\\b", None), ("x", "ch/x.tex"), ("../y.sty", "y.sty"), ("./z.tex", "ch/z.tex")])
@@ -100,5 +129,5 @@ def test_splice_order_of_every_unit(spark):
 
     registry.load()
     data = "/root/testdata/sf0.001"
-    got = {r.file for r in registry.QUERIES["SO2_splice_order_all_units"](spark, data).select("file").collect()}
+    got = {r.file for r in registry.QUERIES["SO2_splice_order"](spark, data).select("file").collect()}
     assert got == {f"u{r.doc_id}.tex" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id").collect()}

@@ -76,6 +76,53 @@ def test_patched_isolates_failures(spark):
     assert rows["p0"].converted == 1 and rows["p1"].error and rows["p2"].converted == 0 and rows["p2"].error is None
 
 
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "utf-16"])
+def test_document_type_in_any_encoding(encoding):
+    text = '<?xml version="1.0" encoding="%s"?><!DOCTYPE x [<!ENTITY e "boom">]><x>&e;</x>' % ("utf-16" if encoding == "utf-16" else "utf-8")
+    with pytest.raises(package.Unsafe):
+        package.parse(text.encode(encoding))
+    assert package.parse("<x>fine</x>".encode(encoding)).text == "fine"
+    with pytest.raises(package.Unsafe):
+        package.parse(b"<x>")
+
+
+def test_unused_prefixes_stay():
+    names = NS + ' xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml" mc:Ignorable="w14"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        z.writestr("word/document.xml", f"<w:document {names}><w:body><w:p>{run('$x$')}</w:p></w:body></w:document>")
+    new, n, _ = package.patch(out.getvalue(), {("word/document.xml", 0): [(0, 3, MATH, False)]})
+    with zipfile.ZipFile(io.BytesIO(new)) as z:
+        data = z.read("word/document.xml")
+    assert n == 1 and dict(package.declared(data))["w14"].endswith("/2010/wordml") and b'mc:Ignorable="w14"' in data
+
+
+@pytest.mark.filterwarnings("ignore:Duplicate name")
+def test_one_bad_package_fails_alone(spark, tmp_path):
+    from glyphmill import api
+
+    (tmp_path / "good.docx").write_bytes(docx(f"<w:p>{run('a $x$ b')}</w:p>"))
+    (tmp_path / "bad.docx").write_bytes(b"no zip")
+    (tmp_path / "twice.docx").write_bytes(docx(f"<w:p>{run('$y$')}</w:p>", [("word/document.xml", f"<w:document {NS}/>")]))
+    (tmp_path / "part.docx").write_bytes(docx(f"<w:p>{run('$z$')}</w:p>", [("word/footnotes.xml", "<x>")]))
+    name = lambda r: r.path.rpartition("/")[2]
+    assert sorted(r.source for r in api.scan_words(spark, str(tmp_path)).collect()) == ["$x$", "$z$"]
+    found = {(name(r), r.part, r.code) for r in api.word_findings(spark, str(tmp_path)).collect()}
+    assert found == {("bad.docx", "", "PACKAGE_REFUSED"), ("twice.docx", "", "PACKAGE_REFUSED"), ("part.docx", "word/footnotes.xml", "STORY_XML_INVALID")}
+    rows = {name(r): r for r in api.repair_words(spark, str(tmp_path), lambda tex: MATH).collect()}
+    assert rows["good.docx"].converted == 1 and rows["good.docx"].error is None
+    assert rows["twice.docx"].content is None and rows["twice.docx"].error == "duplicate member" and "read" in rows["bad.docx"].error
+    assert rows["part.docx"].content is None and "structure_equal" in rows["part.docx"].error
+
+
+def test_output_is_checked(spark):
+    a = docx(f"<w:p>{run('x')}</w:p>")
+    rows = [("same", a, a, 0), ("less", a, docx("", [("word/more.xml", "<x/>")]), 0), ("torn", a, a[:-30], 0)]
+    got = {r.path: r for r in package.verdicts(spark.createDataFrame([(p, bytearray(b), bytearray(c), n) for p, b, c, n in rows], "path string, before binary, after binary, expected int")).collect()}
+    assert got["same"].valid and not got["less"].entries_equal and not got["torn"].valid and got["torn"].error
+
+
 def pixels(spark, *pages):
     rows = [(side, page, x, y, v, v, v) for side, page, w, h, v in pages for x in range(w) for y in range(h)]
     return spark.createDataFrame(rows, "side string, page long, x int, y int, r int, g int, b int")
