@@ -46,7 +46,7 @@ def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id and text get the same samples."""
     import public_tokenizers
 
-    return pieces.sampled(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.sampled(docs, public_tokenizers.path("piece_bpe_32k.model"), lean=True)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("mix", mix), ("segment", segment)]

@@ -9,7 +9,7 @@ is the threshold from which a segmentation's inclusion score 1 - exp(-exp(log p
 the row's key, so reruns agree.
 
 Pieces never cross a white space, so a text's lattice is a chain of small ones, one for each unit (blanks and what follows
-them).  New units of a batch are laid out together with numpy; at most ``remember`` nodes are kept.
+them).  New units of a batch are laid out together with numpy; about ``Bounds.nodes`` nodes are kept.
 
 The model file has no probabilities (its scores are merge ranks), so a piece of rank r has log-weight -log(r + RANK), and a
 character without a piece falls back to its bytes at the weight of the rarest piece each.  A segmentation's probability is
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -188,10 +189,6 @@ def runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)
 
 
-#: Characters whose lattices are laid out together; a longer unit alone.
-ADD_CHARS = 40_000
-
-
 class Units(dict):
     """Numbers units as they are first asked for; `fresh` lists those without a lattice yet."""
 
@@ -213,8 +210,8 @@ class Lattices:
     the edges up to here.  Shares and log-probabilities are kept in single precision; segmentations sum them in double.
     """
 
-    def __init__(self, model: Model, remember: int = 450_000):
-        self.model, self.remember = model, remember
+    def __init__(self, model: Model, remember: int, add_chars: int):
+        self.model, self.remember, self.add_chars = model, remember, add_chars
         self.clear()
 
     def clear(self) -> None:
@@ -345,7 +342,7 @@ class Lattices:
         upto = np.cumsum(sizes + 1)
         at = 0
         while at < len(fresh):
-            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + ADD_CHARS, side="right")))
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + self.add_chars, side="right")))
             self.add(fresh[at:to], sizes[at:to])
             at = to
         return [self.code_start.data[c] for c in coded]
@@ -410,9 +407,9 @@ class Search:
 
 
 class Sampler:
-    def __init__(self, path: str, k: int, seed: int = 0):
+    def __init__(self, path: str, k: int, seed: int = 0, bounds: Bounds | None = None):
         self.model, self.k, self.seed = Model(path), k, seed
-        self.lattices = Lattices(self.model)
+        self.lattices = Lattices(self.model, (bounds or FULL).nodes, (bounds or FULL).add_chars)
 
     def sample(self, starts: list[np.ndarray], keys: list[bytes]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to k of (edges, log-probability, perturbed, inclusion score), best first.  Texts advance together, a sample a round."""
@@ -499,9 +496,9 @@ class Sampler:
 
 
 @lru_cache(maxsize=2)
-def sampler(path: str, k: int, seed: int) -> Sampler:
+def sampler(path: str, k: int, seed: int, bounds: Bounds) -> Sampler:
     """One for a Python worker, over all of its tasks."""
-    return Sampler(path, k, seed)
+    return Sampler(path, k, seed, bounds)
 
 
 def _key(doc_id: int | None) -> bytes:
@@ -512,23 +509,35 @@ OUT = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("n_tokens", pa
 OUT_DDL = "doc_id long, sample int, n_tokens long, log_prob double, perturbed double, inclusion double, decodes boolean, ids array<int>"
 
 
-#: Texts and characters that are sampled together; a longer text alone.
-TOGETHER, TOGETHER_CHARS = 60, 1 << 19
+@dataclass(frozen=True)
+class Bounds:
+    """Nodes of lattices that a worker remembers; characters whose lattices are laid out together; texts and characters that are sampled together
+    (a longer text or unit alone); whether lattices are kept from task to task."""
+
+    nodes: int
+    add_chars: int
+    texts: int
+    chars: int
+    kept: bool
+
 
+#: LEAN costs some CPU and saves memory.
+FULL, LEAN = Bounds(1_000_000, 120_000, 250, 1 << 20, True), Bounds(250_000, 40_000, 60, 1 << 19, False)
 
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+
+def _together(batches: Iterator[pa.RecordBatch], bounds: Bounds) -> Iterator[tuple[list, list[str]]]:
     """(doc_ids, texts) of rows that are sampled together."""
     ids: list = []
     texts: list[str] = []
     size = 0
     for b in batches:
-        for at in range(0, b.num_rows, TOGETHER):
-            part = b.slice(at, TOGETHER)
+        for at in range(0, b.num_rows, bounds.texts):
+            part = b.slice(at, bounds.texts)
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 ids.append(doc_id)
                 texts.append(text or "")
                 size += len(texts[-1])
-                if len(ids) >= TOGETHER or size >= TOGETHER_CHARS:
+                if len(ids) >= bounds.texts or size >= bounds.chars:
                     yield ids, texts
                     ids, texts, size = [], [], 0
     if ids:
@@ -548,10 +557,11 @@ def _spelled_texts(model: Model, ids: np.ndarray, sizes: np.ndarray, texts: list
     return np.array([spelled[e - n : e].tobytes() == w for e, n, w in zip(stop.tolist(), own.tolist(), whole)], dtype=bool)
 
 
-def _sampler(path: str, k: int, seed: int):
+def _sampler(path: str, k: int, seed: int, lean: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = sampler(path, k, seed)
-        for doc_ids, texts in _together(batches):
+        bounds = LEAN if lean else FULL
+        s = sampler(path, k, seed, bounds)
+        for doc_ids, texts in _together(batches, bounds):
             found = s.sample(s.lattices.starts([units_of(t) for t in texts]), [_key(i) for i in doc_ids])
             flat = [x for f in found for x in f]
             many = [len(f) for f in found]
@@ -562,14 +572,19 @@ def _sampler(path: str, k: int, seed: int):
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, stop), pa.int32()), pa.array(ids.astype(np.int32)))
             cols = ([i for i, n in zip(doc_ids, many) for _ in range(n)], [r for n in many for r in range(1, n + 1)], sizes, *([x[j] for x in flat] for j in (1, 2, 3)), ok)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(cols, OUT)), lists], schema=OUT)
+        if not bounds.kept:
+            s.lattices.clear()
 
     return run
 
 
-def sampled(docs: DataFrame, path: str, k: int = 2, seed: int = 0) -> DataFrame:
-    """docs (doc_id, text) -> a row for each sampled segmentation: its place, log-probability, inclusion score, ids, and whether they decode to the text."""
+def sampled(docs: DataFrame, path: str, k: int = 2, seed: int = 0, lean: bool = False) -> DataFrame:
+    """docs (doc_id, text) -> a row for each sampled segmentation: its place, log-probability, inclusion score, ids, and whether they decode to the text.
+
+    lean: remembers less, for executors that share their memory with other stages; the samples are the same.
+    """
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sampler(path, k, seed), OUT_DDL)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sampler(path, k, seed, lean), OUT_DDL)
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
