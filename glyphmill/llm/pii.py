@@ -224,8 +224,8 @@ def plain_lower_bound(known: int, n: int) -> float:
 
 
 def _salted(df: DataFrame) -> DataFrame:
-    """Each row once a salt, for joins with edges."""
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Each row once a salt, for joins with edges.  Never broadcast: the size that plans estimate for it does not count the salts."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
 
 
 def graph(scanned: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
