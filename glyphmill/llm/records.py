@@ -71,6 +71,7 @@ def unframe(data: bytes | memoryview, at: int = 0) -> tuple[memoryview, int]:
 
 #: A white space that stands after another and before a third or the end: text can't be cut there.
 UNSAFE = re.compile(r"\s\s(?=\s|$)")
+SPACES = re.compile(r"\s\s")
 
 
 class Codes(dict):
@@ -96,14 +97,13 @@ class Encoder:
     cuts special tokens like other text.  About ``remember`` pieces are kept.
     """
 
-    def __init__(self, path: str, end_id: int, remember: int = 700_000, split_special: bool = True):
+    def __init__(self, path: str, end_id: int, remember: int = 1_300_000, split_special: bool = True):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = split_special
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if not (split_special and t.special)]
-        self.whole = re.compile("|".join([UNSAFE.pattern, *added]))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (split_special and t.special)]
         self.vocabulary, self.end_id, self.remember = self.tokenizer.get_vocab_size(), end_id, remember
         self.token_bytes = np.zeros(self.vocabulary, dtype=np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -114,6 +114,7 @@ class Encoder:
         self.codes = Codes()
         self.pool = np.zeros(1 << 20, dtype=np.uint32)
         self.begins, self.sizes = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)  # of each code in the pool
+        self.spaced = np.zeros(1 << 16, dtype=bool)  # pieces that are empty, begin or end with white space, or hold two of it in a row
         self.used = 0
 
     def _keep(self, codes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -129,8 +130,18 @@ class Encoder:
         fresh, self.codes.fresh = self.codes.fresh, []
         first = len(self.codes) - len(fresh)
         while len(self.codes) > len(self.begins):
-            self.begins, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.begins, self.sizes))
-        plain = [i for i, p in enumerate(fresh) if type(p) is str and p and not p[0].isspace() and not p[-1].isspace()]
+            self.begins, self.sizes, self.spaced = (np.concatenate((x, np.zeros_like(x))) for x in (self.begins, self.sizes, self.spaced))
+        plain = []
+        for i, p in enumerate(fresh):
+            words = (p if type(p) is str else p[0]).split()
+            if len(words) != 1 or len(words[0]) != len(p if type(p) is str else p[0]):
+                own = p if type(p) is str else p[0]
+                outer = not words or own[0].isspace() or own[-1].isspace()
+                self.spaced[first + i] = outer or SPACES.search(own) is not None
+                if outer:
+                    continue
+            if type(p) is str:
+                plain.append(i)
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
             texts = [" " + fresh[i] for i in part]
@@ -148,13 +159,15 @@ class Encoder:
             self._forget()
         get, coded = self.codes.__getitem__, []
         for t in texts:
-            if self.whole.search(t):
+            if any(a in t for a in self.added):
                 coded.append(None)
                 continue
             pieces = t.split(" ")
             pieces[0] = (pieces[0],)
             coded.append(np.fromiter(map(get, pieces), dtype=np.int64, count=len(pieces)))
         self._learn()
+        # only pieces with white space of their own can bring three of it, or two at the end, together
+        coded = [None if c is not None and self.spaced[c].any() and UNSAFE.search(t) else c for t, c in zip(texts, coded)]
         end, out = np.array([self.end_id], dtype=np.uint32), []
         for t, codes in zip(texts, coded):
             if codes is None:
