@@ -97,7 +97,7 @@ class Encoder:
     cuts special tokens like other text.  About ``remember`` pieces are kept.
     """
 
-    def __init__(self, path: str, end_id: int, remember: int = 1_300_000, split_special: bool = True):
+    def __init__(self, path: str, end_id: int, remember: int = 800_000, split_special: bool = True):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
