@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphmill.operators import logs
+from glyphmill.operators import latex, logs
+from glyphmill.plans.latex import SE1_SQL
 from glyphmill.plans.registry import query
 from glyphmill.sources.views import duck, view
 
@@ -49,3 +50,23 @@ def sc10(spark, d):
     entries = view(spark, d, "logs").groupBy("project").agg(F.count("*").alias("entries"))
     units = view(spark, d, "units").groupBy("project").agg(F.count("*").alias("units"))
     return units.join(entries, "project", "left").select("project", "units", F.coalesce("entries", F.lit(0)).alias("entries"))
+
+
+#: Template, units, workspace and log findings together; every project but those whose name ends with 1 chose a university's profile, and none has its template.
+STAGES_SQL = (
+    SE1_SQL.replace(duck("units", "bib"), duck("units", "bib", "logs"), 1) + STACK
+    + f""", late as (select distinct project, 'LATEX_COMPILE_ERROR' as code, coalesce(file, 'main.tex') as file, line, message from ({DIRECT} union {BLOCKS}) q),
+stages as (select project, code from all_f union all select project, code from late
+ union all select project, 'UNDEFINED_REFERENCE' from logs where text like 'LaTeX Warning: Reference%' union all select project, 'FONT_WARNING' from logs where text like 'LaTeX Font Warning:%'
+ union all select distinct project, 'THESIS_TEMPLATE_MISSING' from units where not ends_with(project, '1'))
+select project, code, count(*) as n from stages group by project, code"""
+)
+
+
+@query("SE1_findings_of_stages", STAGES_SQL)
+def se1_stages(spark, d):
+    units = view(spark, d, "units")
+    chosen = units.select("project").distinct().withColumn("profile", F.when(F.col("project").endswith("1"), "generic").otherwise("tehran"))
+    found = latex.all_findings(units, view(spark, d, "bib"), latex.template_missing(chosen, units.select("project", "file")), log=logs.findings(view(spark, d, "logs")))
+    return found.groupBy("project", "code").agg(F.count("*").alias("n"))
+
