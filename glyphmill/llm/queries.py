@@ -16,6 +16,7 @@ MODULES = {
     "op8_toxicity": "toxicity",
     "op9_secret_scan": "secrets",
     "op10_token_records": "records",
+    "op11_fill_in_middle": "fim",
 }
 
 
