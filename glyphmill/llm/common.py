@@ -68,6 +68,12 @@ def removed(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def whole(x, scale: int):
+    """floor(scale * x) of a component as a long; an error beyond 64 bits, where the cast would saturate."""
+    y = F.lit(float(scale)) * x.cast("double")
+    return F.when(F.abs(y) < 2.0**63, F.floor(y)).otherwise(F.raise_error(F.lit("a component is beyond 64 bits")).cast("long"))
+
+
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the id as text is divisible by 5; null ids are not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
