@@ -17,6 +17,7 @@ MODULES = {
     "op9_secret_scan": "secrets",
     "op10_token_records": "records",
     "op11_fill_in_middle": "fim",
+    "op12_best_fit_packing": "packing",
     "op13_hard_negatives": "negatives",
 }
 
