@@ -21,12 +21,14 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,66 +40,76 @@ CAPACITY = 4096
 PART_ROWS = 1 << 19
 #: str.split() cuts at these too, tokenizers don't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Words of characters that no normalisation of text touches but for their case, and whose categories are settled.
+PLAIN = re.compile("[^\u0130\u0250-\U0010ffff]+")
+#: The pattern by which the tokenizer cuts words before it merges, in lower case, and a text that shows whether one does.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+PROBE = "It's THEY'RE 3.14, (a_b)--c 'tis x'd'm \u00bd\u00c9t\u00e9!? 2nd"
+
+
+def visible() -> dict[int, int]:
+    """The code point by which byte-level tokenizers write each byte: itself where it is printable, else the next free one from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
 class WordEncoder:
     """The library's ids of whole texts, with the ids of each word remembered; for tokenizers that cut at white space and drop it.
 
-    Fresh words go to the library joined by a special token, which is looked for before anything else, so its id parts their ids.
-    Texts that hold an added token or an information separator go to the library whole, as does everything if a probe shows that
-    the tokenizer treats white space in another way.  About ``remember`` words are kept.
+    Plain words, whose characters are all below ``PLAIN``, are cut as the tokenizer does before it merges, and their pieces go to its
+    merges alone.  Other fresh words go to the library joined by a special token, which is looked for before anything else, so its id
+    parts theirs.  Texts that hold an added token or an information separator go to the library whole, as does everything if probes show
+    that the tokenizer cuts in another way.  About ``remember`` words are kept.
     """
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 1_200_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
+        self.visible = visible()
         added = self.tokenizer.get_added_tokens_decoder()
         self.added = [t.content for t in added.values()]
         self.parting = next(((t.content, i) for i, t in sorted(added.items()) if t.special and not t.normalized and not t.single_word and not t.lstrip and not t.rstrip), None)
-        one, two, both = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("one", "two", " one \n two\x85one"))
-        self.by_words = self.parting is not None and both == one + two + one
+        self.by_words = self.parting is not None and self._whole(" One \n two\x85one") == [*self._whole("One"), *self._whole("two"), *self._whole("one")]
+        self.by_pieces = self.by_words and b"".join(map(self._plain, PROBE.split())) == np.array(self._whole(PROBE), dtype="<u4").tobytes()
         self.remember = remember
-        self._forget()
-
-    def _forget(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.pool, self.used = np.zeros(1 << 20, dtype=np.uint32), 0
-        self.begins, self.sizes = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words not met before, in the order of their codes."""
-        first = len(self.codes)
-        self.codes.update(zip(words, range(first, first + len(words))))
+        self.words: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _plain(self, word: str) -> bytes:
+        pieces = PIECE.findall(word.lower())
+        if not (word.isascii() and word.isprintable()):
+            pieces = [p.encode().decode("latin-1").translate(self.visible) for p in pieces]
+        return array("I", [t.id for p in pieces for t in self.merges.tokenize(p)]).tobytes()
+
+    def _learn(self, fresh: set[str]) -> None:
+        """Ids of words not met before."""
+        plain = [w for w in fresh if PLAIN.fullmatch(w)] if self.by_pieces else []
+        self.words.update(zip(plain, map(self._plain, plain)))
+        rest = list(fresh.difference(plain))
         content, parting = self.parting
-        ids = [np.array(self.tokenizer.encode_batch_fast([content.join(words[at : at + 4096])], add_special_tokens=False)[0].ids, dtype=np.uint32) for at in range(0, len(words), 4096)]
-        sizes = np.concatenate([np.diff(np.r_[-1, np.flatnonzero(i == parting), len(i)]) - 1 for i in ids])
-        kept = np.concatenate([i[i != parting] for i in ids])
-        while self.used + len(kept) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        while len(self.codes) > len(self.begins):
-            self.begins, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.begins, self.sizes))
-        self.pool[self.used : self.used + len(kept)] = kept
-        self.sizes[first : len(self.codes)] = sizes
-        self.begins[first : len(self.codes)] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(kept)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.codes) > self.remember:
-            self._forget()
+        for at in range(0, len(rest), 4096):
+            own = rest[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([content.join(own)], add_special_tokens=False)[0].ids, dtype="<u4")
+            parts = np.split(ids, np.flatnonzero(ids == parting))
+            self.words.update((w, (p if not i else p[1:]).tobytes()) for i, (w, p) in enumerate(zip(own, parts, strict=True)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, unsigned 32-bit little-endian."""
+        if len(self.words) > self.remember:
+            self.words.clear()
         whole = [not self.by_words or any(a in t for a in self.added) or SEPARATORS.search(t) is not None for t in texts]
         words = [[] if w else t.split() for t, w in zip(texts, whole)]
-        fresh = list(dict.fromkeys(x for own in words for x in set(own).difference(self.codes)))
+        fresh = set().union(*words).difference(self.words)
         if fresh:
             self._learn(fresh)
-        codes = np.fromiter((c for own in words for c in map(self.codes.__getitem__, own)), dtype=np.int64, count=sum(map(len, words)))
-        size = self.sizes[codes]
-        ends = np.cumsum(size)
-        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.begins[codes] - ends + size, size)] if len(ends) else np.zeros(0, dtype=np.uint32)
-        stops = np.r_[0, ends][np.cumsum([0, *map(len, words)])]
-        out = [ids[a:b] for a, b in zip(stops[:-1], stops[1:])]
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32) if w else o for t, w, o in zip(texts, whole, out)]
+        get = self.words.__getitem__
+        return [np.array(self._whole(t), dtype="<u4").tobytes() if w else b"".join(map(get, own)) for t, w, own in zip(texts, whole, words)]
 
 
 @lru_cache(maxsize=2)
@@ -115,14 +127,14 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], dtype=np.uint32)
+        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 250):
                 b = whole.slice(at, 250)
                 rows = []
                 for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()])):
-                    data = np.concatenate((ids, end)).astype("<u4").tobytes()
-                    for piece, start in enumerate(range(0, len(ids) + 1, capacity)):
+                    data = ids + end
+                    for piece, start in enumerate(range(0, len(data) // 4, capacity)):
                         part = data[4 * start : 4 * (start + capacity)]
                         rows.append((doc_id, piece, start, len(part) // 4, zlib.crc32(part), part if with_ids else None))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows), PIECES_SCHEMA)], schema=PIECES_SCHEMA)
