@@ -286,6 +286,26 @@ def interval_pairs(annuli: DataFrame, seen: DataFrame | None, keys: DataFrame, b
     return both.select("q_part", "q_seq", "part", "seq")
 
 
+def merged(parts: DataFrame, size: int) -> DataFrame:
+    """Tiles in the order of their keys -> (q_part, q_seq, ids, labels, cols, width), neighbours joined to tiles of `size` to 2 `size` rows, however many partitions made them.
+
+    The running sum is over tiles, not rows.
+    """
+    before = F.coalesce(F.sum(F.size("ids")).over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = parts.select("part", "seq", "ids").withColumn("q_part", F.floor(before / size).cast("int")).select("part", "seq", "q_part")
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.sort_by([("part", "ascending"), ("seq", "ascending")]).to_pylist()
+        cols = np.concatenate([unpacked(r["cols"], r["width"], len(r["ids"])) for r in rows], axis=1)
+        row = {"q_part": rows[0]["q_part"], "q_seq": 0, "ids": [x for r in rows for x in r["ids"]], "labels": [x for r in rows for x in r["labels"]], **packed(cols)}
+        return pa.Table.from_pylist([row], schema=ANCHORS)
+
+    return written(parts.join(place, ["part", "seq"]).groupBy("q_part").applyInArrow(run, "q_part int, q_seq int, ids array<long>, labels array<long>, cols binary, width int"), "anchors")
+
+
+ANCHORS = pa.schema([("q_part", pa.int32()), ("q_seq", pa.int32()), ("ids", pa.list_(pa.int64())), ("labels", pa.list_(pa.int64())), ("cols", pa.binary()), ("width", pa.int32())])
+
+
 class Index:
     """Tiles of keys over (vec_id, label, v); `copies` is how many ids of one vector and label can matter."""
 
@@ -310,7 +330,7 @@ class Index:
         n, dims = one.agg(F.count("*"), F.max(F.size("v"))).first()
         if (dims or 0) > self.dims:
             raise ValueError(f"an anchor has {dims} dimensions, the index {self.dims}")
-        return tiles(one, n, ANCHOR_TILE, self.dims, None, self.pivots, one_pivot=False).select(F.col("part").alias("q_part"), F.col("seq").alias("q_seq"), "ids", "labels", "cols", "width")
+        return merged(tiles(one, n, ANCHOR_TILE, self.dims, None, self.pivots, one_pivot=False), ANCHOR_TILE)
 
     def search(self, anchors: DataFrame, needs: DataFrame, k: int, same: bool) -> DataFrame:
         """needs (query_id, slot, lo, hi) -> (query_id, slot, vec_id, score, rank): the k best rows of the anchor's label, or of others, that score from lo to hi."""
