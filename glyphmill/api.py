@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.functions.text import strip
 from glyphmill.operators import candidates as cand
-from glyphmill.operators import graph, latex, logs, package, plugins
-from glyphmill.sources import files
+from glyphmill.operators import compiling, graph, latex, logs, package, plugins
+from glyphmill.sources import files, word
 
 API_VERSION = "2.0"
 
@@ -18,41 +19,66 @@ class NotAvailable(RuntimeError):
     """A boundary that needs an external program or service, of which none is configured."""
 
 
-def _admitted(packages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Packages that are admitted, and (path, error) of the others."""
-    refused = package.admission(package.members(packages)).where("error is not null")
-    return packages.join(refused, "path", "left_anti"), refused
+def _scanned(spark: SparkSession, folder: str) -> DataFrame:
+    return package.scanned(word.read_parts(spark, folder))
+
+
+def _candidates(scan: DataFrame, mode: str) -> DataFrame:
+    texts = scan.where("error is null").select(F.col("path").alias("doc"), "part", F.posexplode("texts").alias("paragraph_index", "text"))
+    return cand.candidates(texts, mode)
 
 
 def scan_words(spark: SparkSession, folder: str, mode: str = "balanced") -> DataFrame:
     """Candidates of every package of a folder that is admitted."""
-    packages, _ = _admitted(package.read_packages(spark, folder))
-    return cand.candidates(package.paragraphs(packages).withColumnRenamed("path", "doc"), mode)
+    return _candidates(_scanned(spark, folder), mode)
 
 
 def word_findings(spark: SparkSession, folder: str) -> DataFrame:
     """(path, part, code, message): packages that are refused, and parts of others that can't be read."""
-    packages, refused = _admitted(package.read_packages(spark, folder))
-    parts = package.structure(packages).where("error is not null")
-    code, message = F.split("error", ": ", 2)[0], F.split("error", ": ", 2)[1]
-    return refused.select("path", F.lit("").alias("part"), F.lit("PACKAGE_REFUSED").alias("code"), F.col("error").alias("message")).unionByName(parts.select("path", "part", code.alias("code"), message.alias("message")))
+    found = _scanned(spark, folder).where("error is not null")
+    whole, cut = F.col("part").isNull(), F.split("error", ": ", 2)
+    return found.select("path", F.coalesce("part", F.lit("")).alias("part"), F.when(whole, "PACKAGE_REFUSED").otherwise(cut[0]).alias("code"), F.when(whole, F.col("error")).otherwise(F.element_at(cut, -1)).alias("message"))
 
 
-def repair_words(spark: SparkSession, folder: str, compiler: Callable[[str], bytes] | None = None, decisions: DataFrame | None = None, best_effort: bool = False) -> DataFrame:
-    """(path, content, converted, warnings, error) of a folder's packages; compiler: TeX to Office Math markup.
+def repair_words(
+    spark: SparkSession, folder: str, compiler: Callable[[str], bytes] | None = None, decisions: DataFrame | None = None, best_effort: bool = False, mode: str = "balanced",
+    batch_compiler: compiling.Compiler | None = None, seconds: float = compiling.BATCH_SECONDS, total: float = compiling.TOTAL_SECONDS,
+) -> DataFrame:
+    """(path, content, converted, warnings, error) of a folder's packages; the compiler, of single formulas or of batches, makes Office Math of TeX.
 
-    Packages that are refused are never unpacked; their reason is the error.
+    decisions: (doc, candidate_id, enabled, override), doc being a package's path.  A formula is compiled once, however many packages hold
+    it; packages are read where they are, and no shuffle holds their bytes.  Packages that are refused are never unpacked; their reason is the error.
     """
-    if compiler is None:
+    if compiler is None and batch_compiler is None:
         raise NotAvailable("repair of packages needs a compiler from TeX to Office Math")
-    rows = scan_words(spark, folder)
+    rows = scan_words(spark, folder, mode)
     rows = cand.reviewed(rows, decisions) if decisions is not None else rows
-    items = rows.where("enabled").withColumnRenamed("doc", "path")
-    packages, refused = _admitted(package.read_packages(spark, folder))
-    done = package.patched(packages, items, compiler, best_effort)
+    rows = graph.short(rows.where("enabled").withColumn("formula", strip(F.col("normalized"))).select(F.col("doc").alias("path"), "part", "paragraph_index", "start", "end", "display", "formula"))
+    made = graph.short(compiling.compiled(rows.select(F.col("formula").alias("normalized")), batch_compiler or compiling.one_by_one(compiler), seconds=seconds, total=total))
+    warning = F.concat_ws(": ", "code", "formula", "message")
+    items = rows.join(made.withColumnRenamed("normalized", "formula"), "formula").withColumn("warning", F.when(F.col("markup").isNull(), warning))
+    listing = word.read_parts(spark, folder, content="false")
+    refused = listing.where("part is null")
+    done = package.patched_in_place(listing.where("part is not null").select("path").distinct(), items, best_effort)
     return done.unionByName(refused.select("path", F.lit(None).cast("binary").alias("content"), F.lit(0).alias("converted"), F.array().cast("array<string>").alias("warnings"), "error"))
 
 
+def publish_words(spark: SparkSession, folder: str, target: str, overwrite: bool = False, **options) -> DataFrame:
+    """Repaired copies of a folder's packages in another folder, all or none; returns (file, published, converted, warnings, error) of each."""
+    if target.rstrip("/") == folder.rstrip("/"):
+        raise ValueError("packages are never overwritten in place")
+    return word.publish(repair_words(spark, folder, **options), target, overwrite)
+
+
+def words_report(spark: SparkSession, folder: str, results: DataFrame, decisions: DataFrame | None = None, mode: str = "balanced") -> DataFrame:
+    """The seven counters of each package (``candidates.REPORT``); results of repair_words or publish_words."""
+    scan = _scanned(spark, folder)
+    rows = _candidates(scan, mode)
+    if "path" not in results.columns:
+        results = results.withColumn("path", F.concat(F.lit(folder.rstrip("/") + "/"), "file"))
+    return cand.report(scan, cand.reviewed(rows, decisions) if decisions is not None else rows, results)
+
+
 def scan_project(spark: SparkSession, root: str, main: str = "main.tex", profile: str = "generic", registry: plugins.Registry | None = None, adapter: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(changes, findings) of the units that a project's main file reaches; findings in order.  A project beyond the guards has one finding that says so."""
     if profile not in plugins.PROFILES:

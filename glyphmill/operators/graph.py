@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import posixpath
+import tempfile
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,32 +41,36 @@ def closure(roots: DataFrame, edges: DataFrame, nodes: DataFrame, most_rounds: i
     One round for each depth, over all projects at once: the frontier joins the edges, and nodes seen before are taken out,
     so cycles end.  A round's result is checkpointed, so plans stay short.
     """
-    spark = edges.sparkSession
     valid = edges.join(nodes.select("project", F.col("node").alias("dst")).distinct(), ["project", "dst"]).select("project", "src", "dst").distinct()
     frontier = roots.select("project", "node").distinct().withColumn("depth", F.lit(0))
     seen = frontier
     for depth in range(1, most_rounds + 1):
         step = frontier.select("project", F.col("node").alias("src")).join(valid, ["project", "src"]).select("project", F.col("dst").alias("node")).distinct()
         frontier = step.join(seen.select("project", "node"), ["project", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        frontier = _short(spark, frontier)
+        frontier = short(frontier)
         if frontier.isEmpty():
             return seen
-        seen = _short(spark, seen.unionByName(frontier))
+        seen = short(seen.unionByName(frontier))
     raise ValueError(f"an include chain is longer than {most_rounds}")
 
 
-def _short(spark, df: DataFrame) -> DataFrame:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only where all runs on one machine is one of our own set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-
         folder = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def short(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, so that its plan is short and a lost executor costs no earlier work."""
+    folder = shared_dir(df.sparkSession)
+    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 

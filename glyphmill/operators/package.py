@@ -11,14 +11,16 @@ import re
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from xml.etree import ElementTree as ET
 from xml.parsers import expat
-from xml.sax.saxutils import quoteattr
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.operators.splicing import Edit, Unsafe, decoded, indexed, spliced
 from glyphmill.schemas import MEMBER, PARAGRAPH
 
 #: Namespaces, story parts, required members, limits of a package.
@@ -27,15 +29,10 @@ M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
 STORY = r"^word/(document|header\d+|footer\d+|footnotes|endnotes|comments)\.xml$"
 REQUIRED = ("[Content_Types].xml", "word/document.xml")
 MOST_BYTES, MOST_MEMBERS, MOST_MEMBER, MOST_TOTAL, MOST_RATIO = 1_000_000_000, 100_000, 750_000_000, 2_000_000_000, 2_500
-#: Children of a paragraph whose runs are part of its text; elements that structure counts.
-WRAPPERS = ("hyperlink", "smartTag", "ins", "del")
+#: Elements that structure counts.
 COUNTED = {"tables": ("tbl",), "drawings": ("drawing",), "pictures": ("pict",), "hyperlinks": ("hyperlink",), "bookmarks": ("bookmarkStart",), "comments": ("commentRangeStart",), "revisions": ("ins", "del"), "sections": ("sectPr",)}
 
 
-class Unsafe(ValueError):
-    """Markup or a structure that is left alone."""
-
-
 def read_packages(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of the .docx and .docm files of a folder, each path once."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.doc[xm]").load(folder)
@@ -73,39 +70,6 @@ def parse(data: bytes) -> ET.Element:
     return ET.fromstring(data)
 
 
-def serialised(root: ET.Element, data: bytes) -> bytes:
-    """Markup of an edited part that was read from data, with all prefixes that its root declared, used or not: attributes name them (mc:Ignorable)."""
-    names = declared(data)
-    for prefix, uri in names:
-        if re.fullmatch(r"ns\d+", prefix):
-            raise Unsafe(f"prefix {prefix} can't be kept")
-        if prefix:
-            ET.register_namespace(prefix, uri)
-    out = ET.tostring(root, encoding="UTF-8", xml_declaration=True)
-    there = {prefix for prefix, _ in declared(out)}
-    more = "".join(f" xmlns:{prefix}={quoteattr(uri)}" for prefix, uri in names if prefix and prefix not in there)
-    at = out.index(b"<", out.index(b"?>"))
-    end = re.compile(rb"[\s/>]").search(out, at).start()
-    return out[:end] + more.encode() + out[end:]
-
-
-def _tag(e: ET.Element) -> str:
-    return e.tag.removeprefix(W)
-
-
-def pieces(paragraph: ET.Element) -> list[tuple[ET.Element, str]]:
-    """(child, text) of a paragraph in order: runs with all their text; wrappers with the text of their direct runs."""
-    out = []
-    for child in paragraph:
-        if child.tag == f"{W}r":
-            out.append((child, "".join(t.text or "" for t in child.iter(f"{W}t"))))
-        elif child.tag.startswith(W) and _tag(child) in WRAPPERS:
-            out.append((child, "".join(t.text or "" for r in child.findall(f"{W}r") for t in r.iter(f"{W}t"))))
-        else:
-            out.append((child, ""))
-    return out
-
-
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
@@ -161,10 +125,19 @@ def _roots(content: bytes) -> Iterator[tuple[str, ET.Element | None, str | None]
         yield "", None, f"PACKAGE_UNREADABLE: {e}"
 
 
+def texts(data: bytes) -> list[str]:
+    """Texts of a part's paragraphs, as edits of it count offsets; Unsafe if it can't be read."""
+    return [p.text for p in indexed(decoded(data)[0])]
+
+
 def _paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
-            rows = [(path, name, i, "".join(t for _, t in pieces(p))) for name, root, error in _roots(content) if error is None for i, p in enumerate(root.iter(f"{W}p"))]
+            rows = []
+            with suppress(*BROKEN):
+                for name, data in _stories(content):
+                    with suppress(Unsafe):
+                        rows += [(path, name, i, t) for i, t in enumerate(texts(data))]
             yield pd.DataFrame(rows, columns=["path", "part", "paragraph_index", "text"])
 
 
@@ -173,6 +146,28 @@ def paragraphs(packages: DataFrame) -> DataFrame:
     return packages.mapInPandas(_paragraphs, PARAGRAPH)
 
 
+def scanned(parts: DataFrame) -> DataFrame:
+    """parts (path, part, content, error) -> (path, part, native, texts, error): formulas that are native already and the texts of paragraphs.
+
+    A package that was refused and a part that can't be read are rows with an error.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, part, content, error in zip(pdf["path"], pdf["part"], pdf["content"], pdf["error"]):
+                own, native = [], 0
+                if not error:
+                    try:
+                        own, native = texts(content), counters(ET.fromstring(content))["math"]
+                    except (Unsafe, ET.ParseError) as e:
+                        error = f"STORY_XML_INVALID: {e}"
+                rows.append((path, part, native, own, error or None))
+            yield pd.DataFrame(rows, columns=["path", "part", "native", "texts", "error"])
+
+    return parts.select("path", "part", "content", "error").mapInPandas(run, "path string, part string, native long, texts array<string>, error string")
+
+
 def counters(root: ET.Element) -> dict[str, int]:
     """Native formulas of a part, those outside of paragraphs, and the elements that structure counts."""
     math = misplaced = 0
@@ -259,82 +254,54 @@ def math_delta(counts: DataFrame, successes: DataFrame) -> DataFrame:
     return delta.join(successes, "doc", "left").select("doc", "delta", (F.col("delta") == F.coalesce("n", F.lit(0))).alias("valid"))
 
 
-def replace_span(paragraph: ET.Element, start: int, end: int, math: ET.Element, display: bool = False) -> None:
-    """Puts a native formula in place of a span of a paragraph's text; Unsafe if the span touches more than plain runs."""
-    at, touched = 0, []
-    for child, text in pieces(paragraph):
-        if text and at < end and start < at + len(text):
-            if child.tag != f"{W}r" or any(x.tag not in (f"{W}t", f"{W}rPr") for x in child):
-                raise Unsafe("span touches a structured element")
-            touched.append((child, text, at))
-        at += len(text)
-    if not touched:
-        raise Unsafe("span is not in the paragraph")
-    between = list(paragraph)[list(paragraph).index(touched[0][0]) : list(paragraph).index(touched[-1][0]) + 1]
-    if any(c.tag not in (f"{W}r", f"{W}proofErr") for c in between):
-        raise Unsafe("span crosses a structured element")
-
-    def part(run: ET.Element, text: str) -> ET.Element:
-        new = ET.Element(f"{W}r")
-        new.extend(x for x in run if x.tag == f"{W}rPr")
-        t = ET.SubElement(new, f"{W}t", {"{http://www.w3.org/XML/1998/namespace}space": "preserve"})
-        t.text = text
-        return new
-
-    (first, head, a), (last, tail, b) = touched[0], touched[-1]
-    new = [part(first, head[: start - a])] if start > a else []
-    new.append(math)
-    new += [part(last, tail[end - b :])] if end < b + len(tail) else []
-    place = list(paragraph).index(first)
-    for c in between:
-        paragraph.remove(c)
-    for i, e in enumerate(new):
-        paragraph.insert(place + i, e)
-    alone = not "".join(t for _, t in pieces(paragraph)).strip()
-    if display and alone:
-        wrapped = ET.Element(f"{M}oMathPara")
-        wrapped.append(math)
-        kept = [c for c in paragraph if c.tag == f"{W}pPr"]
-        for c in list(paragraph):
-            paragraph.remove(c)
-        paragraph.extend([*kept, wrapped])
-
-
 def patch(content: bytes, edits: dict[tuple[str, int], list[tuple[int, int, bytes, bool]]], best_effort: bool = False) -> tuple[bytes, int, list[str]]:
     """A package with formulas put in; edits: (part, paragraph) -> spans with markup and display.  Other members are copied as they are.
 
     Returns the package, how many spans were replaced and the warnings; without best_effort the first one raises.
     """
+    by: dict[str, dict[int, list[Edit]]] = {}
+    for (part, i), spans in edits.items():
+        by.setdefault(part, {})[i] = [Edit(*s) for s in spans]
     out, done, warnings = io.BytesIO(), 0, []
     with zipfile.ZipFile(io.BytesIO(content)) as z, zipfile.ZipFile(out, "w") as target:
-        parts = {part for part, _ in edits}
         for info in z.infolist():
             data = z.read(info)
-            if info.filename in parts:
-                root = parse(data)
-                for i, p in enumerate(root.iter(f"{W}p")):
-                    for start, end, markup, display in sorted(edits.get((info.filename, i), []), reverse=True):
-                        before = "".join(t for _, t in pieces(p))
-                        try:
-                            replace_span(p, start, end, ET.fromstring(markup), display)
-                        except Unsafe as e:
-                            if not best_effort:
-                                raise
-                            warnings.append(f"UNSAFE_WORD_STRUCTURE: {e}")
-                            continue
-                        if "".join(t for _, t in pieces(p)) != before[:start] + before[end:]:
-                            raise Unsafe("text changed outside of the span")
-                        done += 1
-                data = serialised(root, data)
+            if own := by.pop(info.filename, None):
+                data, n, reasons = spliced(data, own, best_effort)
+                done += n
+                warnings += [f"UNSAFE_WORD_STRUCTURE: {reason}" for _, reason in reasons]
             target.writestr(info, data, compress_type=info.compress_type)
+    if by:
+        raise Unsafe(f"there is no part {min(by)}")
     return out.getvalue(), done, warnings
 
 
+PATCHED = "path string, content binary, converted int, warnings array<string>, error string"
+
+
+def _patched(path: str, content: bytes, items: list, failed: list[str], best_effort: bool) -> tuple:
+    """A row of PATCHED; items have markup.  Every package is checked against the one it was made from, and is no result unless all CHECKS hold."""
+    if failed and not best_effort:
+        return path, None, 0, failed, f"atomic conversion stopped: {len(failed)} formula(s) could not be converted"
+    edits: dict = {}
+    try:
+        for x in items:
+            edits.setdefault((x["part"], x["paragraph_index"]), []).append((x["start"], x["end"], x["markup"], x["display"]))
+        data, n, warnings = patch(content, edits, best_effort)
+        broken = [c for c, holds in checked(content, data, n).items() if not holds]
+        if broken:
+            return path, None, 0, failed + warnings, f"output failed: {', '.join(broken)}"
+        if n == 0 and (items or failed):
+            return path, None, 0, failed + warnings, "no selected formula could be converted safely"
+        return path, data, n, failed + warnings, None
+    except Exception as e:  # noqa: BLE001  one package's fault
+        return path, None, 0, failed, str(e)
+
+
 def patched(packages: DataFrame, items: DataFrame, compiler: Callable[[str], bytes], best_effort: bool = False) -> DataFrame:
-    """packages (path, content), items (path, part, paragraph_index, start, end, normalized, display) -> (path, content, converted, warnings, error).
+    """packages (path, content), items (path, part, paragraph_index, start, end, normalized, display) -> PATCHED, for packages that are rows already.
 
-    Every package is checked against the one it was made from, and is no result unless all CHECKS hold.  A failure concerns its package alone.
-    compiler: TeX to Office Math markup; none is built in.  It sees each distinct formula of a package once.
+    A failure concerns its package alone.  compiler: TeX to Office Math markup; it sees each distinct formula of a package once.
     """
     edits = items.groupBy("path").agg(F.collect_list(F.struct("part", "paragraph_index", "start", "end", "normalized", "display")).alias("items"))
 
@@ -342,21 +309,49 @@ def patched(packages: DataFrame, items: DataFrame, compiler: Callable[[str], byt
         for pdf in batches:
             rows = []
             for path, content, own in zip(pdf["path"], pdf["content"], pdf["items"]):
-                by: dict = {}
-                compiled: dict[str, bytes] = {}
-                try:
-                    for x in own if own is not None else []:
-                        if x["normalized"] not in compiled:
-                            compiled[x["normalized"]] = compiler(x["normalized"])
-                        by.setdefault((x["part"], x["paragraph_index"]), []).append((x["start"], x["end"], compiled[x["normalized"]], x["display"]))
-                    data, n, warnings = patch(content, by, best_effort)
-                    failed = [c for c, holds in checked(content, data, n).items() if not holds]
-                    rows.append((path, None, 0, [], f"output failed: {', '.join(failed)}") if failed else (path, data, n, warnings, None))
-                except Exception as e:  # noqa: BLE001  one package's fault
-                    rows.append((path, None, 0, [], str(e)))
+                made, failed, known = [], [], {}
+                for x in own if own is not None else []:
+                    tex = x["normalized"]
+                    if tex not in known:
+                        try:
+                            known[tex] = compiler(tex)
+                        except Exception as e:  # noqa: BLE001  one formula's fault
+                            known[tex] = None
+                            failed.append(f"PANDOC_FORMULA_FAILED: {tex}: {e}")
+                    if known[tex] is not None:
+                        made.append({**x, "markup": known[tex]})
+                rows.append(_patched(path, content, made, failed, best_effort))
             yield pd.DataFrame(rows, columns=["path", "content", "converted", "warnings", "error"])
 
-    return packages.join(edits, "path", "left").mapInPandas(run, "path string, content binary, converted int, warnings array<string>, error string")
+    return packages.join(edits, "path", "left").mapInPandas(run, PATCHED)
+
+
+def patched_in_place(paths: DataFrame, items: DataFrame, best_effort: bool = False) -> DataFrame:
+    """paths (path), items (path, part, paragraph_index, start, end, markup, display, warning) -> PATCHED.
+
+    Only edits are shuffled, a package's to one row; the task that has them reads the package from the store.  An item without markup is a
+    formula that failed, and says so in its warning.
+    """
+    item = F.struct("part", "paragraph_index", "start", "end", "markup", "display")
+    edits = items.groupBy("path").agg(F.collect_list(F.when(F.col("markup").isNotNull(), item)).alias("items"), F.array_sort(F.collect_list(F.when(F.col("markup").isNull(), F.col("warning")))).alias("failed"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from glyphmill.sources.word import store_of
+
+        for b in batches:
+            for r in b.to_pylist():
+                store, at = store_of(r["path"])
+                try:
+                    with store.open_input_file(at) as f:
+                        row = _patched(r["path"], f.read(), r["items"] or [], r["failed"] or [], best_effort)
+                except OSError as e:
+                    row = (r["path"], None, 0, [], str(e))
+                yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, PATCHED_SCHEMA)], schema=PATCHED_SCHEMA)
+
+    return paths.select("path").join(edits, "path", "left").mapInArrow(run, PATCHED)
+
+
+PATCHED_SCHEMA = pa.schema([("path", pa.string()), ("content", pa.binary()), ("converted", pa.int32()), ("warnings", pa.list_(pa.string())), ("error", pa.string())])
 
 
 def crc(data: bytes) -> int:

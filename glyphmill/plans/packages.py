@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import uuid
 import zipfile
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from glyphmill.operators import package, raster
+from glyphmill.operators import compiling, graph, package, raster
 from glyphmill.plans.registry import query
 from glyphmill.sources.views import duck, view
 
@@ -101,6 +103,108 @@ def ag3_output(spark, d):
     return package.verdicts(built_pairs(spark, d)).drop("error")
 
 
+WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+HEAD = f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><w:document xmlns:w="{WORD}"><w:body><w:p><w:r><w:t>Start</w:t></w:r></w:p>'
+TAIL = f'<w:p   w:rsidR = "1" ><w:choice xmlns:wps="urn:wps" Requires="wps"/><w:r><w:t>End &amp; $</w:t></w:r></w:p></w:body></w:document>'
+OMML = b'<m:oMath xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"><m:r><m:t>x</m:t></m:r></m:oMath>'
+
+
+def word_folder(spark, d):
+    """A folder of packages in the shared folder, one for each size of the parts, published through the sink: a paragraph with a formula for each part."""
+    from glyphmill.operators.graph import shared_dir
+    from glyphmill.sources import word
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for size, texts in zip(pdf["p_size"], pdf["texts"]):
+                body = "".join(f'<w:p><w:r><w:rPr><w:b/></w:rPr><w:t xml:space="preserve">{t}</w:t></w:r></w:p>' for t in texts)
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("[Content_Types].xml", "<Types/>")
+                    z.writestr("word/document.xml", HEAD + body + TAIL)
+                    z.writestr("word/styles.xml", f"<w:styles xmlns:w='{WORD}'/>")
+                rows.append((f"/s{size}.docx", out.getvalue(), 0, [], None))
+            yield pd.DataFrame(rows, columns=["path", "content", "converted", "warnings", "error"])
+
+    folder = f"{shared_dir(spark)}/words-{uuid.uuid4().hex}"
+    text = F.concat("p_name", F.lit(" $x_{"), F.col("p_partkey").cast("string"), F.lit("}$ or $y$."))
+    parts = spark.read.parquet(f"{d}/part.parquet").groupBy("p_size").agg(F.array_sort(F.collect_list(text)).alias("texts"))
+    word.publish(parts.mapInPandas(run, package.PATCHED), folder)
+    atexit.register(_removed, spark, folder)
+    return folder
+
+
+def _removed(spark, folder):
+    if spark.sparkContext._jsc is not None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+FILE = "element_at(split(path, '/'), -1) as file"
+
+
+@query("SC1_package_parts", "select concat('s', cast(p_size as varchar), '.docx') as file, 'word/document.xml' as part, count(*) + 2 as paragraphs, cast(sum(len(p_name) + len(cast(p_partkey as varchar)) + 15) + 12 as bigint) as chars from part group by p_size")
+def sc1(spark, d):
+    from glyphmill.sources import word
+
+    parts = word.read_parts(spark, word_folder(spark, d)).where("part = 'word/document.xml'")
+    chars = F.aggregate("texts", F.lit(0).cast("long"), lambda acc, t: acc + F.length(t))
+    return package.scanned(parts).withColumn("chars", chars).selectExpr(FILE, "part", "cast(size(texts) as bigint) as paragraphs", "chars")
+
+
+#: What the packages of word_folder hold after repair, byte for byte, by size.
+RUN = '<w:r><w:rPr><w:b/></w:rPr><w:t xml:space="preserve">'
+REPAIRED = (
+    f"select concat('s', cast(p_size as varchar), '.docx') as file, count(*) as n, '{HEAD}' || string_agg('<w:p>{RUN}' || p_name || ' </w:t></w:r>{OMML.decode()}{RUN} or </w:t></w:r>{OMML.decode()}"
+    f"{RUN.replace(' xml:space="preserve"', '')}.</w:t></w:r></w:p>', '' order by p_name || ' $x_{{' || cast(p_partkey as varchar) || '}}$ or $y$.') || '{TAIL}' as text from part group by p_size"
+)
+
+
+@query("SK3_published_packages", f"select file, true as published, cast(2 * n as integer) as converted, cast(null as varchar) as error, sha256(text) as part_sha256 from ({REPAIRED}) q")
+def sk3(spark, d):
+    from glyphmill import api
+    from glyphmill.sources import word
+
+    folder = word_folder(spark, d)
+    status = api.publish_words(spark, folder, f"{folder}/repaired", batch_compiler=lambda formulas: dict.fromkeys(formulas, OMML))
+    parts = word.read_parts(spark, f"{folder}/repaired").selectExpr(FILE, "sha2(content, 256) as part_sha256")
+    return status.drop("warnings").join(parts, "file")
+
+
+@query("AG1_package_counters", "select concat('s', cast(p_size as varchar), '.docx') as doc, cast(1 as bigint) as scanned_parts, count(*) + 2 as scanned_paragraphs, cast(0 as bigint) as already_native, 2 * count(*) as detected, 2 * count(*) - count(*) filter (where p_partkey % 3 = 0) as converted, count(*) filter (where p_partkey % 3 = 0) as skipped from part group by p_size")
+def ag1_packages(spark, d):
+    """Opt-outs: the first formula of every third part."""
+    from glyphmill import api
+
+    folder = word_folder(spark, d)
+    rows = api.scan_words(spark, folder)
+    number = F.regexp_extract("source", r"x_\{(\d+)\}", 1)
+    out = rows.where(number != "").where(number.cast("int") % 3 == 0).select("doc", "candidate_id", F.lit(False).alias("enabled"), F.lit("").alias("override"))
+    decisions = graph.short(out)
+    done = api.repair_words(spark, folder, decisions=decisions, batch_compiler=lambda formulas: dict.fromkeys(formulas, OMML))
+    counted = api.words_report(spark, folder, graph.short(done.drop("content")), decisions)
+    return counted.drop("repaired", "error").withColumn("doc", F.element_at(F.split("doc", "/"), -1))
+
+
+COMPILED = """with f as (select distinct trim(p_name) || case when p_size % 5 = 0 then ' (odd' when p_size % 5 = 1 then ' [bad' else '' end as normalized from part)
+select normalized, case when normalized like '%[bad' then 'PANDOC_BATCH_FAILED' when normalized like '%(odd' then 'PANDOC_FORMULA_FAILED' end as code, case when normalized not like '%[bad' and normalized not like '%(odd' then 'm:' || normalized end as markup from f"""
+
+
+def _compile(formulas):
+    """Fails as a whole when a formula has a bracket, and leaves out those with a parenthesis."""
+    if any("[" in f for f in formulas):
+        raise ValueError("bracket")
+    return {f: f"m:{f}".encode() for f in formulas if "(" not in f}
+
+
+@query("DM4_compiled_formulas", COMPILED)
+def dm4(spark, d):
+    end = F.when(F.col("p_size") % 5 == 0, " (odd").when(F.col("p_size") % 5 == 1, " [bad").otherwise("")
+    formulas = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("  "), "p_name", end, F.lit("\t")).alias("normalized"))
+    return compiling.compiled(formulas, _compile, total=600).select("normalized", "code", F.decode("markup", "UTF-8").alias("markup"))
+
+
 @query("AG4_math_delta", E + " select doc, cast(sum(case when side = 'after' then flags else -flags end) as bigint) as delta, sum(case when side = 'after' then flags else -flags end) = 0 as valid from entries group by doc")
 def ag4(spark, d):
     e = view(spark, d, "entries").select("doc", "side", F.col("flags").alias("math"))

@@ -68,18 +68,25 @@ def pf10(spark, d):
     return read(spark, d, "part").select(F.col("p_partkey").alias("id"), rep.endpoint_allowed(url).alias("allowed"))
 
 
-@query("PF4_opt_outs", "select o_orderkey as candidate_id from orders where o_orderkey not in (select doc_id from labels where quality = 0)")
+#: Every candidate id stands in two documents, and a decision concerns one of them.
+DECIDED = ", decided as (select case when doc_id % 2 = 0 then 'a.docx' else 'b.docx' end as doc, doc_id as candidate_id, enabled, trim(coalesce(override, '')) as text from reviews), twice as (select doc, o_orderkey as candidate_id, o_orderpriority as normalized from orders cross join (values ('a.docx'), ('b.docx')) q(doc))"
+
+
+def in_two_documents(spark, d):
+    docs = F.explode(F.array(F.lit("a.docx"), F.lit("b.docx"))).alias("doc")
+    rows = read(spark, d, "orders").select(docs, F.col("o_orderkey").alias("candidate_id"), F.col("o_orderpriority").alias("normalized"), F.array(F.lit("a")).alias("repairs"), F.lit(True).alias("enabled"))
+    doc = F.when(F.col("doc_id") % 2 == 0, "a.docx").otherwise("b.docx").alias("doc")
+    return cand.reviewed(rows, view(spark, d, "reviews").select(doc, F.col("doc_id").alias("candidate_id"), "enabled", "override"))
+
+
+@query("PF4_opt_outs", duck("reviews") + DECIDED + " select t.doc, t.candidate_id from twice t left join decided r using (doc, candidate_id) where coalesce(r.enabled, true)")
 def pf4(spark, d):
-    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("candidate_id"), F.lit("x").alias("normalized"), F.array().cast("array<string>").alias("repairs"), F.lit(True).alias("enabled"))
-    decisions = view(spark, d, "reviews").withColumnRenamed("doc_id", "candidate_id")
-    return cand.reviewed(rows, decisions).where("enabled").select("candidate_id")
+    return in_two_documents(spark, d).where("enabled").select("doc", "candidate_id")
 
 
-@query("PF5_overrides", duck("reviews") + " select o_orderkey as candidate_id, case when trim(coalesce(r.override, '')) <> '' then trim(r.override) else o_orderpriority end as normalized, case when trim(coalesce(r.override, '')) <> '' then 'a; edited in preview' else 'a' end as repairs from orders left join reviews r on r.doc_id = o_orderkey")
+@query("PF5_overrides", duck("reviews") + DECIDED + " select t.doc, t.candidate_id, case when r.text <> '' then r.text else t.normalized end as normalized, case when r.text <> '' then 'a; edited in preview' else 'a' end as repairs from twice t left join decided r using (doc, candidate_id)")
 def pf5(spark, d):
-    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("candidate_id"), F.col("o_orderpriority").alias("normalized"), F.array(F.lit("a")).alias("repairs"), F.lit(True).alias("enabled"))
-    decisions = view(spark, d, "reviews").withColumnRenamed("doc_id", "candidate_id")
-    return cand.reviewed(rows, decisions).select("candidate_id", "normalized", F.array_join("repairs", "; ").alias("repairs"))
+    return in_two_documents(spark, d).select("doc", "candidate_id", "normalized", F.array_join("repairs", "; ").alias("repairs"))
 
 
 @query("SF14_messages", "with m(lang, key, text) as (values ('en', 'a', 'A'), ('fa', 'a', 'الف'), ('en', 'b', 'B')), k as (select event_id, case event_id % 3 when 0 then 'a' when 1 then 'b' else 'c' end as key from events) select k.key, count(*) as n, min(coalesce(f.text, e.text, k.key)) as text from k left join m f on f.key = k.key and f.lang = 'fa' left join m e on e.key = k.key and e.lang = 'en' group by k.key")

@@ -66,7 +66,7 @@ def test_patch_refuses_structure(spark):
     edits = {("word/document.xml", 0): [(0, 3, MATH, False), (4, 7, MATH, False)]}
     with pytest.raises(package.Unsafe):
         package.patch(c, edits)
-    assert package.patch(c, edits, best_effort=True)[1:] == (1, ["UNSAFE_WORD_STRUCTURE: span touches a structured element"])
+    assert package.patch(c, edits, best_effort=True)[1:] == (1, ["UNSAFE_WORD_STRUCTURE: formula offsets no longer map to Word text runs"])
 
 
 def test_patched_isolates_failures(spark):
