@@ -80,14 +80,13 @@ def words_report(spark: SparkSession, folder: str, results: DataFrame, decisions
 
 
 def scan_project(spark: SparkSession, root: str, main: str = "main.tex", profile: str = "generic", registry: plugins.Registry | None = None, adapter: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(changes, findings) of the units that a project's main file reaches; findings in order.  A project beyond the guards has one finding that says so."""
+    """(changes, findings) of the units that a project's main file reaches, in the order in which includes are met; findings in order.
+
+    A project beyond the guards has one finding that says so.
+    """
     if profile not in plugins.PROFILES:
         raise ValueError(f"unknown profile: {profile}")
-    units, includes = files.workspace(files.read_tex(spark, root, main=main))
-    guard = graph.size_guard(units)
-    units, includes = (x.join(guard, "project", "left_anti") for x in (units, includes))
-    places = units.select("project", F.col("file").alias("src"), "seq")
-    edges = includes.join(places, ["project", "src"]).select("project", "seq", F.col("line").alias("pos"), "code", F.concat(F.lit("Include of "), "raw").alias("message"), F.col("src").alias("file"), "line")
+    units, includes, guard = files.workspace(files.read_tex(spark, root, main=main))
     own = units.select("project").distinct()
     beside = main.rpartition("/")[0]
     there = files.listed(spark, root).withColumn("project", F.lit("p"))
@@ -95,19 +94,21 @@ def scan_project(spark: SparkSession, root: str, main: str = "main.tex", profile
     needed = there.where(F.col("file").isin(*(adapter or {}).get("required_files", []))).join(own, "project").select("project", "file", F.lit(None).cast("string").alias("text"))
     found = latex.all_findings(
         units, latex.bib_keys(files.bibliographies(spark, root, units)),
-        latex.template_missing(own.withColumn("profile", F.lit(profile)), styles), edges,
+        latex.template_missing(own.withColumn("profile", F.lit(profile)), styles), includes,
         logs.findings(files.read_log(spark, root, main).join(guard, "project", "left_anti"), main.rpartition("/")[2]),
         registry.findings(units, {"thesis_profile": profile}) if registry else None,
         plugins.adapter_findings(units.select("project", "file", "text").unionByName(needed), adapter) if adapter else None,
     )
-    rows = found.orderBy("stage", "step", "seq", "pos").select("code", "message", "file", "line")
-    large = guard.select(F.lit("PROJECT_TOO_LARGE").alias("code"), F.col("error").alias("message"), F.lit("").alias("file"), F.lit(None).cast("int").alias("line"))
+    rows = found.orderBy("stage", "step", "seq", "pos").select("code", "message", "suggestion", "severity", "file", "line", "plugin")
+    large = guard.select(F.lit("PROJECT_TOO_LARGE").alias("code"), F.col("error").alias("message"), F.lit("").alias("suggestion"), F.lit("error").alias("severity"), F.lit("").alias("file"), F.lit(None).cast("int").alias("line"), F.lit("").alias("plugin"))
     return latex.changes(units), rows.unionByName(large)
 
 
 def repair_project(spark: SparkSession, root: str, target: str, main: str = "main.tex", decisions: DataFrame | None = None) -> int:
-    """A repaired copy of a project; returns how many units it wrote."""
-    units, _ = files.workspace(files.read_tex(spark, root, main=main))
+    """A repaired copy of a project; returns how many units it wrote.  A project beyond the guards is refused, and nothing is written."""
+    units, _, guard = files.workspace(files.read_tex(spark, root, main=main))
+    if refused := guard.first():
+        raise ValueError(f"{root}: {refused.error}")
     changes = latex.changes(units)
     changes = latex.reviewed(changes, decisions) if decisions is not None else changes.withColumn("enabled", F.lit(True))
     return files.publish_project(root, target, latex.applied(units, changes))

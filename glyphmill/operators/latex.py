@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions.text import count_of, line_at, matches, splice
+from glyphmill.functions.text import count_of, line_at, matches, splice, strip
+from glyphmill.operators import graph
 
 #: Patterns of tokens.
 CITE = r"\\(?:cite|parencite|textcite|autocite)\*?(?:\[[^]]*\]){0,2}\{([^}]+)\}"
@@ -38,13 +39,12 @@ PERSIAN_RULES = (
 
 
 def tokens(units: DataFrame, pattern: str, split_commas: bool = False) -> DataFrame:
-    """(project, seq, file, start, pos, key, line): every occurrence, in order; keys are trimmed, empty ones of a comma list are dropped."""
+    """(project, seq, file, start, pos, value, key, line): every occurrence, in order, as written and stripped; empty keys of a comma list are dropped."""
     found = units.select("project", "seq", "file", "text", F.posexplode(matches(F.col("text"), pattern)).alias("pos", "m"))
     rows = found.select("project", "seq", "file", F.col("m.start").alias("start"), "pos", F.col("m.value").alias("value"), line_at(F.col("text"), F.col("m.start")).alias("line"))
     if not split_commas:
-        return rows.withColumn("key", F.trim("value")).drop("value")
-    keys = rows.withColumn("key", F.explode(F.split("value", ","))).withColumn("key", F.trim("key"))
-    return keys.where("key <> ''").drop("value")
+        return rows.withColumn("key", strip(F.col("value")))
+    return rows.withColumn("key", F.explode(F.split("value", ","))).withColumn("key", strip(F.col("key"))).where("key <> ''")
 
 
 def bib_keys(bibs: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def declared_bibliographies(units: DataFrame) -> DataFrame:
     """Distinct (project, file, value) of declared bibliographies; blank values and those with a backslash are dropped."""
     lists = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(BIBLIOGRAPHY), F.lit(1)), lambda v: F.split(v, ",")))
     values = F.concat(lists, F.regexp_extract_all("text", F.lit(BIB_RESOURCE), F.lit(1)))
-    rows = units.select("project", "file", F.explode(values).alias("value")).withColumn("value", F.trim("value"))
+    rows = units.select("project", "file", F.explode(values).alias("value")).withColumn("value", strip(F.col("value")))
     return rows.where((F.col("value") != "") & ~F.col("value").contains("\\")).distinct()
 
 
@@ -133,7 +133,7 @@ def _staged(rows: DataFrame, stage: int | Column, step: int | Column, **columns:
 def all_findings(units: DataFrame, keys: DataFrame, templates: DataFrame | None = None, includes: DataFrame | None = None, log: DataFrame | None = None, plugins: DataFrame | None = None, adapters: DataFrame | None = None) -> DataFrame:
     """One schema for every rule, with (stage, step, seq, pos) as its order: template, units, workspace, log, plugins, load errors.
 
-    templates: of template_missing; includes: (project, seq, pos, code, message, file, line); log: of logs.findings; plugins:
+    templates: of template_missing; includes: of files.workspace; log: of logs.findings; plugins:
     of Registry.findings; adapters: of adapter_findings.  A stage without a relation has no rows.
     """
     found = [_staged(unit_findings(units), 1, 0), _staged(workspace_findings(units, keys), 2, F.col("step") + 1)]
@@ -142,7 +142,7 @@ def all_findings(units: DataFrame, keys: DataFrame, templates: DataFrame | None
         suggestion = "Place the licensed or university-provided template beside the TEX project."
         found.append(_staged(templates, 0, 0, code=F.lit("THESIS_TEMPLATE_MISSING"), message=F.lit(message), suggestion=F.lit(suggestion)))
     if includes is not None:
-        found.append(_staged(includes, 2, 0, severity=F.lit("error")))
+        found.append(_staged(includes, 2, 0))
     if log is not None:
         found.append(_staged(log, 3, F.col("rank"), suggestion=F.coalesce("suggestion", F.lit(""))))
     if plugins is not None:
@@ -156,6 +156,14 @@ def all_findings(units: DataFrame, keys: DataFrame, templates: DataFrame | None
     return rows
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with seq: their place among all rows by the columns of `order`.  Rows are dealt out by range, and only the ranges' sizes meet in one place."""
+    dealt = graph.short(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_local")))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("n"), F.min("_local").alias("_first"))
+    base = sizes.select("_part", "_first", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return dealt.join(base, "_part").withColumn("seq", F.col("_base") + F.col("_local") - F.col("_first")).drop("_part", "_local", "_first", "_base")
+
+
 def template_missing(projects: DataFrame, files: DataFrame) -> DataFrame:
     """projects (project, profile) that chose a university's profile without a .cls or .sty among files (project, file)."""
     styles = files.where(F.col("file").endswith(".cls") | F.col("file").endswith(".sty")).select("project").distinct()
@@ -178,7 +186,8 @@ def changes(units: DataFrame) -> DataFrame:
 def reviewed(rows: DataFrame, decisions: DataFrame, key: str = "change_id") -> DataFrame:
     """Opt-outs and overrides: rows with `enabled`, and `after` replaced where an override is not blank."""
     joined = rows.join(decisions, key, "left")
-    after = F.when(F.trim(F.coalesce("override", F.lit(""))) != "", F.trim("override")).otherwise(F.col("after"))
+    text = strip(F.col("override"))
+    after = F.when(text != "", text).otherwise(F.col("after"))
     return joined.withColumns({"after": after, "enabled": F.coalesce("enabled", F.lit(True))}).drop("override")
 
 
@@ -188,7 +197,7 @@ def applied(units: DataFrame, rows: DataFrame) -> DataFrame:
     edits = rows.where("enabled").groupBy("project", "file").agg(F.array_sort(F.collect_list(F.struct("start", "end", "before", "after"))).alias("edits"))
     both = units.join(edits, ["project", "file"], "left")
     pairs = F.expr("slice(transform(edits, (e, i) -> struct(e as e, if(i = 0, 0, edits[i - 1].end) as floor)), 1, size(edits))")
-    bad = F.exists(pairs, lambda p: (p["e"]["start"] < p["floor"]) | (F.trim(p["e"]["after"]) == "") | (F.length(p["e"]["after"]) > 100_000))
+    bad = F.exists(pairs, lambda p: (p["e"]["start"] < p["floor"]) | (strip(p["e"]["after"]) == "") | (F.length(p["e"]["after"]) > 100_000))
     stale = F.exists("edits", lambda e: F.substring(F.col("text"), e["start"] + 1, e["end"] - e["start"]) != e["before"])
     error = F.when(F.col("edits").isNull(), F.lit(None)).when(bad, F.lit("changes overlap, are blank or too long")).when(stale, F.lit("the text has changed since it was scanned"))
     both = both.withColumn("error", error.cast("string"))

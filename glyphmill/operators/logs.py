@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.functions.text import SPACE, strip
+
 #: Patterns of log entries.
 FILE_LINE = r"(?im)^([^:\n]+\.(?:tex|sty|cls)):(\d+):\s*(.+)$"
 BLOCK = r"(?m)^! (.+?)\n(?:.*\n){0,3}?l\.(\d+)\s*(.*)$"
@@ -67,12 +69,12 @@ def findings(logs: DataFrame, main_file: str = "main.tex") -> DataFrame:
         return rows.select("project", "seq", "pos", F.lit(rank).alias("rank"), F.lit(code).alias("code"), message.alias("message"), file.cast("string").alias("file"), line.cast("int").alias("line"), F.lit(severity).alias("severity"))
 
     g1, g2, g3, none = F.col("g1"), F.col("g2"), F.col("g3"), F.lit(None)
-    direct = found(every(FILE_LINE, 3), 0, "LATEX_COMPILE_ERROR", F.trim(g3), g1, g2, "error")
-    blocks = found(every(BLOCK, 2).join(active_files(logs), ["project", "seq"]), 1, "LATEX_COMPILE_ERROR", F.trim(g1), F.col("file"), g2, "error")
+    direct = found(every(FILE_LINE, 3), 0, "LATEX_COMPILE_ERROR", strip(g3), g1, g2, "error")
+    blocks = found(every(BLOCK, 2).join(active_files(logs), ["project", "seq"]), 1, "LATEX_COMPILE_ERROR", strip(g1), F.col("file"), g2, "error")
     first = F.row_number().over(Window.partitionBy("project", "code", "file", "line", "message").orderBy("rank", "seq", "pos"))
     errors = direct.unionByName(blocks).withColumn("n", first).where("n = 1").drop("n")
     undefined = found(every(UNDEFINED, 2), 2, "UNDEFINED_REFERENCE", F.concat(F.lit("Reference '"), g1, F.lit("' is undefined.")), none, g2, "warning")
-    fonts = found(every(FONT, 1), 3, "FONT_WARNING", F.trim(F.regexp_replace(g1, r"\s+", " ")), none, none, "warning")
+    fonts = found(every(FONT, 1), 3, "FONT_WARNING", strip(F.regexp_replace(g1, SPACE + "+", " ")), none, none, "warning")
     rows = errors.unionByName(undefined).unionByName(fonts)
     help_ = F.when(F.col("message").contains("Undefined control sequence"), SPELLING).otherwise(HELP)
     return rows.withColumns({"file": F.coalesce("file", F.lit(main_file)), "suggestion": F.when(F.col("code") == "LATEX_COMPILE_ERROR", help_)})

@@ -6,12 +6,25 @@ from pyspark.sql import functions as F
 
 from glyphmill.operators import graph, latex
 from glyphmill.plans.registry import query
-from glyphmill.sources.views import duck, view
+from glyphmill.sources.views import VIEWS, duck, view
 
 LINES = ", lines as (select project, seq, file, l.line as line, l.t as t from (select project, seq, file, unnest(list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1))) as z from units) q, lateral (select cast(z[2] as int) as line, z[1] as t) l)"
-CITES = r""", cites as (select project, seq, file, line, trim(k) as key from (select project, seq, file, line, unnest(string_split(v, ',')) as k from (select project, seq, file, line, unnest(regexp_extract_all(t, '\\(?:cite|parencite|textcite|autocite)\*?(?:\[[^\]]*\]){0,2}\{([^}]+)\}', 1)) as v from lines) a) b where trim(k) <> '')"""
-REFS = r""", refs as (select project, seq, file, line, trim(v) as key from (select project, seq, file, line, unnest(regexp_extract_all(t, '\\(?:ref|eqref|autoref)\{([^}]+)\}', 1)) as v from lines) a)"""
-LABELS = r""", labels_ as (select project, seq, file, line, trim(v) as key from (select project, seq, file, line, unnest(regexp_extract_all(t, '\\label\{([^}]+)\}', 1)) as v from lines) a)"""
+#: Patterns of tokens in DuckDB's dialect.
+CITE_RE, REF_RE, LABEL_RE = r"\\(?:cite|parencite|textcite|autocite)\*?(?:\[[^\]]*\]){0,2}\{([^}]+)\}", r"\\(?:ref|eqref|autoref)\{([^}]+)\}", r"\\label\{([^}]+)\}"
+STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+def occurrences(name: str, pattern: str) -> str:
+    """Every match over whole texts, from the pieces between matches: (project, seq, file, line, value)."""
+    return f""", {name}_all as (select project, seq, file, string_split_regex(text, '{pattern}') as gaps, regexp_extract_all(text, '{pattern}', 0) as whole, regexp_extract_all(text, '{pattern}', 1) as vals from units),
+{name}_each as (select *, unnest(range(1, len(whole) + 1)) as i from {name}_all),
+{name}_at as (select project, seq, file, vals[i] as value, array_to_string(gaps[1:i], '') || array_to_string(whole[1:i - 1], '') as before from {name}_each),
+{name}_values as (select project, seq, file, cast(len(before) - len(replace(before, chr(10), '')) + 1 as int) as line, value from {name}_at)"""
+
+
+CITES = occurrences("cite", CITE_RE) + f", cites as (select project, seq, file, line, {STRIPPED.format('k')} as key from (select *, unnest(string_split(value, ',')) as k from cite_values) q where {STRIPPED.format('k')} <> '')"
+REFS = occurrences("ref", REF_RE) + f", refs as (select project, seq, file, line, {STRIPPED.format('value')} as key from ref_values)"
+LABELS = occurrences("label", LABEL_RE) + f", labels_ as (select project, seq, file, line, {STRIPPED.format('value')} as key from label_values)"
 UNITS = duck("units") + LINES
 
 
@@ -61,16 +74,20 @@ def sc9(spark, d):
     return latex.bib_keys(spark.sql(BIBTEX.replace("from part", "from gm_part")))
 
 
-DECLARED = "select concat('p', cast(doc_id % 20 as string)) as project, concat('u', cast(doc_id as string), '.tex') as file, case when doc_id % 3 = 0 then concat(chr(92), 'bibliography{refs, b', cast(doc_id % 7 as string), ',}') else concat(chr(92), 'addbibresource[x]{c', cast(doc_id % 5 as string), '.bib}') end as text from documents where doc_id % 2 = 0"
+DECLARED = """select concat('p', cast(doc_id % 20 as string)) as project, concat('u', cast(doc_id as string), '.tex') as file, concat(text, case when doc_id % 3 = 0
+ then concat(chr(92), 'bibliography{refs,', chr(10), chr(9), 'b', cast(doc_id % 7 as string), ', }', chr(92), 'bibliography{more}') else concat(chr(92), 'addbibresource[x]{ c', cast(doc_id % 5 as string), '.bib', chr(10), '}') end) as text from documents"""
+DECLARED_SQL = rf"""with u as ({DECLARED}), v as (select project, file, unnest(flatten(list_transform(regexp_extract_all(text, '\\bibliography\s*\{{([^}}]+)\}}', 1), lambda x: string_split(x, ',')))) as value from u
+ union all select project, file, unnest(regexp_extract_all(text, '\\addbibresource(?:\[[^\]]*\])?\s*\{{([^}}]+)\}}', 1)) from u),
+ w as (select distinct project, file, {STRIPPED.format('value')} as value from v)"""
 
 
-@query("SC8_declared_bibliographies", f"with u as ({DECLARED}), v as (select project, file, unnest(flatten(list_transform(regexp_extract_all(text, '\\\\bibliography\\s*\\{{([^}}]+)\\}}', 1), lambda x: string_split(x, ',')))) as value from u union all select project, file, unnest(regexp_extract_all(text, '\\\\addbibresource(?:\\[[^\\]]*\\])?\\s*\\{{([^}}]+)\\}}', 1)) from u) select distinct project, file, trim(value) as value from v where trim(value) <> ''")
+@query("SC8_declared_bibliographies", DECLARED_SQL + " select project, file, value from w where value <> ''")
 def sc8(spark, d):
     spark.read.parquet(f"{d}/documents.parquet").createOrReplaceTempView("gm_documents")
     return latex.declared_bibliographies(spark.sql(DECLARED.replace("from documents", "from gm_documents")))
 
 
-@query("SE5_union_of_bibliographies", f"with u as ({DECLARED}) select distinct project, trim(value) as value from (select project, unnest(flatten(list_transform(regexp_extract_all(text, '\\\\bibliography\\s*\\{{([^}}]+)\\}}', 1), lambda x: string_split(x, ',')))) as value from u union all select project, unnest(regexp_extract_all(text, '\\\\addbibresource(?:\\[[^\\]]*\\])?\\s*\\{{([^}}]+)\\}}', 1)) from u) q where trim(value) <> ''")
+@query("SE5_union_of_bibliographies", DECLARED_SQL + " select distinct project, value from w where value <> ''")
 def se5(spark, d):
     return sc8(spark, d).select("project", "value").distinct()
 
@@ -171,12 +188,15 @@ def wf5(spark, d):
     return latex.tokens(view(spark, d, "units"), latex.LABEL).select("project", "file", "key", "line")
 
 
-@query("PF4_PF5_reviewed_changes", duck("units", "reviews") + LINES + r""", hits as (select project, seq, file, line, 0 as pattern, unnest(regexp_extract_all(t, '\\frac([A-Za-z0-9])([A-Za-z0-9])')) as before from lines)
-select h.project, h.file, h.line, case when trim(coalesce(r.override, '')) <> '' then trim(r.override) else regexp_replace(h.before, '\\frac(.)(.)', '\\frac{\1}{\2}') end as after, coalesce(r.enabled, true) as enabled from hits h left join reviews r on r.doc_id = h.seq""")
+@query("PF4_PF5_reviewed_changes", WF2_SQL.replace("with recursive", "with recursive reviews as (" + VIEWS["reviews"] + "),", 1) + r"""
+select h.project, concat('tex:', h.file, ':', cast(line as string), ':', cast(place as string)) as change_id, coalesce(r.enabled, true) as enabled,
+ case when trim(coalesce(r.override, '')) <> '' then trim(r.override) when pattern = 0 then regexp_replace(h.before, '^.frac(\\[A-Za-z]+|[A-Za-z0-9])(\\[A-Za-z]+|[A-Za-z0-9])$', '\\frac{\1}{\2}') else regexp_replace(h.before, '^[$ ]frac ?(\\[A-Za-z]+|[A-Za-z0-9])(\\[A-Za-z]+|[A-Za-z0-9])$', '\\frac{\1}{\2}') end as after
+from placed h left join reviews r on r.doc_id = h.seq""")
 def pf4(spark, d):
-    rows = latex.changes(view(spark, d, "units")).where("pattern = 0 and not contains(before, 'alpha')")
-    decisions = view(spark, d, "reviews").withColumnRenamed("doc_id", "seq")
-    return latex.reviewed(rows, decisions, "seq").select("project", "file", "line", "after", "enabled")
+    """A decision on a document concerns all changes of its unit."""
+    rows = latex.changes(view(spark, d, "units"))
+    decisions = rows.select("change_id", "seq").join(view(spark, d, "reviews").withColumnRenamed("doc_id", "seq"), "seq").drop("seq")
+    return latex.reviewed(rows, decisions).select("project", "change_id", "enabled", "after")
 
 
 @query("SO2_splice_order", duck("units") + " select file, reverse(replace(text, chr(10), ' ')) as flipped from units")
@@ -193,10 +213,24 @@ GRAPH = duck("edges") + ", nodes as (select 'd0' as project, doc_id as node from
 union select e.project, e.dst, r.depth + 1 from reach r join edges e on e.project = r.project and e.src = r.node join nodes n on n.project = e.project and n.node = e.dst where r.depth < 40)
 select project, node, min(depth) as depth from reach group by project, node""")
 def gr1(spark, d):
-    e = view(spark, d, "edges")
+    return graph.closure(*_graph(spark, d))
+
+
+@query("GR1_visiting_order", GRAPH + """, least_depth as materialized (with recursive reach(node, depth) as (select cast(0 as bigint), 0
+union select e.dst, r.depth + 1 from reach r join edges e on e.src = r.node join nodes n on n.node = e.dst where r.depth < 40) select node, min(depth) as depth from reach group by node),
+ways(node, depth, path) as (select cast(0 as bigint), 0, cast([] as bigint[])
+union all select e.dst, w.depth + 1, list_append(w.path, cast(e.line as bigint)) from ways w join edges e on e.src = w.node join least_depth l on l.node = e.dst and l.depth = w.depth + 1),
+firsts as (select node, depth, min(path) as path from ways group by node, depth)
+select 'd0' as project, node, depth, row_number() over (order by depth, path) - 1 as seq from firsts""")
+def gr1_order(spark, d):
+    """The order of the visit as numbers: its (depth, path) keys are dealt out by range, and each range counts on from those before it."""
+    roots, edges, nodes = _graph(spark, d)
+    return latex.numbered(graph.visited(roots, edges.withColumnRenamed("line", "pos"), nodes), "depth", "path").select("project", "node", "depth", "seq")
+
+
+def _graph(spark, d):
     nodes = spark.read.parquet(f"{d}/documents.parquet").select(F.lit("d0").alias("project"), F.col("doc_id").alias("node"))
-    roots = nodes.where("node = 0")
-    return graph.closure(roots, e.select("project", "src", "dst"), nodes)
+    return nodes.where("node = 0"), view(spark, d, "edges"), nodes
 
 
 @query("J6_missing_include", duck("edges") + " select project, src, dst, line from edges where dst not in (select doc_id from documents)")

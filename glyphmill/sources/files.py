@@ -11,7 +11,7 @@ import uuid
 import zipfile
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.operators import graph, latex, logs
@@ -64,20 +64,32 @@ def read_log(spark: SparkSession, root: str, main: str, project: str = "p") -> D
 
 
 def include_edges(units: DataFrame) -> DataFrame:
-    """(project, src, raw, dst, line): every include; dst is null where it is not allowed."""
-    found = latex.tokens(units, latex.INCLUDE).withColumnRenamed("key", "raw")
-    return found.select("project", F.col("file").alias("src"), "raw", graph.resolved("raw", "file").alias("dst"), "line")
+    """(project, src, raw, dst, pos, line): every include with its place among its unit's; dst is null where it is not allowed."""
+    found = latex.tokens(units, latex.INCLUDE).withColumnRenamed("value", "raw")
+    return found.select("project", F.col("file").alias("src"), "raw", graph.resolved("raw", "file").alias("dst"), "pos", "line")
 
 
-def workspace(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Units that a project's main file reaches, and findings on includes that are unsafe or missing."""
-    edges = include_edges(units)
+def workspace(units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Units that a project's main file reaches, with seq, depth and path in the order of the visit; findings on includes; projects beyond the guards.
+
+    A project beyond a guard has neither units nor findings, but one row (project, error).  seq counts a project's units, of which there are at
+    most as many as the guard allows.
+    """
+    edges = graph.short(include_edges(units))
     nodes = units.select("project", F.col("file").alias("node"))
-    reached = graph.closure(units.where("is_main").select("project", F.col("file").alias("node")), edges.where("dst is not null").select("project", "src", "dst"), nodes)
-    own = edges.join(reached.select("project", F.col("node").alias("src")), ["project", "src"])
-    unsafe = own.where("dst is null").select("project", "src", "raw", "line", F.lit("UNSAFE_INCLUDE").alias("code"))
-    gone = graph.edge_findings(own.where("dst is not null"), nodes).select("project", "src", "raw", "line", F.lit("MISSING_INCLUDE").alias("code"))
-    return units.join(reached.select("project", F.col("node").alias("file"), "depth"), ["project", "file"]), unsafe.unionByName(gone)
+    reached = graph.visited(units.where("is_main").select("project", F.col("file").alias("node")), edges.where("dst is not null").select("project", "src", "dst", "pos"), nodes, graph.MOST_FILES)
+    own = units.drop("seq").join(reached.withColumnRenamed("node", "file"), ["project", "file"])
+    guard = graph.short(graph.guarded(own))
+    place = F.row_number().over(Window.partitionBy("project").orderBy("depth", "path")) - 1
+    order = reached.join(guard, "project", "left_anti").select("project", F.col("node").alias("file"), "depth", "path", place.cast("long").alias("seq"))
+    kept = units.drop("seq").join(order, ["project", "file"])
+    found = edges.join(order.select("project", F.col("file").alias("src"), "seq"), ["project", "src"])
+    gone = found.where("dst is not null").join(nodes.select("project", F.col("node").alias("dst")).distinct(), ["project", "dst"], "left_anti")
+    quoted = lambda a, b: F.concat(F.lit(a), "raw", F.lit(b))
+    row = lambda rows, code, message, suggestion: rows.select("project", "seq", "pos", F.lit(code).alias("code"), message.alias("message"), F.lit(suggestion).alias("suggestion"), F.lit("error").alias("severity"), F.col("src").alias("file"), "line")
+    unsafe = row(found.where("dst is null"), "UNSAFE_INCLUDE", quoted("Include path '", "' is absolute, malformed, or leaves the project root."), "Keep included TEX files inside the project folder and use a relative path.")
+    missing = row(gone, "MISSING_INCLUDE", quoted("Included file '", "' was not found."), "Restore the file or correct the \\input/\\include path.")
+    return kept, unsafe.unionByName(missing), guard
 
 
 def read_review(path: str) -> dict:

@@ -42,7 +42,7 @@ VIEWS = {
 select concat('p', cast(doc_id % 20 as string)) as project, doc_id as seq, doc_id < 20 as is_main,
   concat('u', cast(doc_id as string), '.tex') as file,
   concat(text,
-    {_tex("|Eq `x=~frac", "=doc_id % 9 + 1", "=n_chars % 9 + 1", "` ~cite[see]{k", "=doc_id % 97", ",k", "=n_chars % 131", "} ~label{eq:", "=doc_id % 700", "} ~ref{eq:", "=doc_id % 900", "}")},
+    {_tex("|Eq `x=~frac", "=doc_id % 9 + 1", "=n_chars % 9 + 1", "` ~cite[see]{k", "=doc_id % 97", ",|  k", "=n_chars % 131", ",", "=chr(9)", "} ~label{eq:", "=doc_id % 700", " } ~ref{|", "=chr(9)", "eq:", "=doc_id % 900", "}")},
     {_when("doc_id % 5 = 0", "| متن ~settextfont{V}")}, {_when("doc_id % 10 = 0", "|~usepackage{xepersian}")},
     {_when("doc_id % 6 = 0", "|~begin{align} a ~end{align} ~includegraphics{f}")}, {_when("doc_id % 4 = 1", "|~mathbb R")},
     {_when("doc_id % 3 = 0", "|~usepackage[x]{amsmath,amssymb}")}, {_when("doc_id % 8 = 0", "|~begin{tabular} a ~end{longtable}")},
@@ -50,11 +50,12 @@ select concat('p', cast(doc_id % 20 as string)) as project, doc_id as seq, doc_i
     {_when("doc_id % 11 = 2", "|`y=~frac~alpha~beta` and `z= frac", "=doc_id % 10", "x`")}, {_when("doc_id % 13 = 1", "|~eqref{eq:", "=doc_id % 50", "}~autoref{fig}")}) as text
 from documents""",
     "bib": "select concat('p', cast(p_partkey % 20 as string)) as project, concat('k', cast(p_partkey % 89 as string)) as key from part",
-    # include graph: a tree by thirds, with missing targets and cycles
+    # include graph: a tree by thirds, with missing targets, cycles and shorter ways to some
     "edges": """
 select 'd0' as project, cast(floor((doc_id - 1) / 3) as bigint) as src,
   case when doc_id % 17 = 3 then doc_id + 100000000 when doc_id % 29 = 5 then 0 else doc_id end as dst, doc_id as line
-from documents where doc_id > 0""",
+from documents where doc_id > 0
+union all select 'd0', cast(floor(doc_id / 7) as bigint), doc_id, -doc_id from documents where doc_id % 4 = 1""",
     "paragraphs": f"""
 select concat('doc', cast(p_partkey % 50 as string)) as doc, 'word/document.xml' as part, p_partkey as para,
   case cast(p_partkey % 13 as int)

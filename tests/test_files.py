@@ -98,3 +98,29 @@ def test_command_line_prints_every_row(spark, project, capsys):
     lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
     assert sum("after" in x for x in lines) == 1200
 
+
+
+def test_units_come_in_the_order_of_includes(spark, tmp_path):
+    """The main file's name is neither the first nor its hash the least; z is included before a, b by a."""
+    (tmp_path / "main.tex").write_text("\\frac12 \\input{z}\n\\input{a} \\input{ gone\n}")
+    (tmp_path / "z.tex").write_text("\\frac34 \\cite{k}")
+    (tmp_path / "a.tex").write_text("\\input{b}\\input{z}\\frac56 \\ref{l}")
+    (tmp_path / "b.tex").write_text("\\frac78 {")
+    (tmp_path / "x.bib").write_text("")
+    changes, findings = api.scan_project(spark, str(tmp_path))
+    assert sorted((r.change_id for r in changes.collect()), key=lambda x: int(x.rpartition(":")[2])) == ["tex:main.tex:1:0", "tex:z.tex:1:1", "tex:a.tex:1:2", "tex:b.tex:1:3"]
+    rows = [(r.code, r.file, r.severity) for r in findings.collect()]
+    assert rows == [("UNBALANCED_BRACES", "b.tex", "error"), ("MISSING_INCLUDE", "main.tex", "error"), ("MISSING_CITATION", "z.tex", "warning"), ("MISSING_REFERENCE", "a.tex", "warning")]
+    missing = findings.where("code = 'MISSING_INCLUDE'").first()
+    assert missing.message == "Included file ' gone\n' was not found." and missing.suggestion == "Restore the file or correct the \\input/\\include path." and missing.line == 2
+
+
+def test_repair_holds_the_guard(spark, tmp_path):
+    root, target = tmp_path / "in", tmp_path / "out"
+    root.mkdir()
+    (root / "main.tex").write_text("".join(f"\\input{{u{i}}}\n" for i in range(300)))
+    for i in range(300):
+        (root / f"u{i}.tex").write_text("\\frac12")
+    with pytest.raises(ValueError, match="too many"):
+        api.repair_project(spark, str(root), str(target))
+    assert not target.exists()

@@ -131,3 +131,75 @@ def test_splice_order_of_every_unit(spark):
     data = "/root/testdata/sf0.001"
     got = {r.file for r in registry.QUERIES["SO2_splice_order"](spark, data).select("file").collect()}
     assert got == {f"u{r.doc_id}.tex" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id").collect()}
+
+
+LISTS = "\\cite{a,\n  b,\tc\u2003}\n\\ref{\nl1} \\label{l1\t} \\bibliography{x,\n\ty}\\addbibresource{ z.bib\n}"
+
+
+def test_white_space_of_lists(spark):
+    u = units(spark, LISTS)
+    assert latex.workspace_findings(u, keys(spark, "a", "b", "c")).count() == 0
+    assert sorted((r.key, r.line) for r in latex.tokens(u, latex.CITE, True).collect()) == [("a", 1), ("b", 1), ("c", 1)]
+    assert sorted(r.value for r in latex.declared_bibliographies(u).collect()) == ["x", "y", "z.bib"]
+
+
+def test_blank_overrides_keep_the_change(spark):
+    u = units(spark, r"$\frac12$")
+    decisions = latex.changes(u).selectExpr("change_id", "true as enabled", r"'\n\t' as override")
+    assert latex.applied(u, latex.reviewed(latex.changes(u), decisions)).first().output == r"$\frac{1}{2}$"
+
+
+def test_resolution_as_an_expression(spark):
+    import itertools
+
+    names = ["a", ".", "..", "", "x.sty", "..b", ".h", "c.d.e", " ", "é"]
+    rows = [("/".join(p), q) for n in (1, 2, 3) for p in itertools.product(names, repeat=n) for q in ("main.tex", "d/u.tex", "d/e/u.tex")]
+    rows += [("a\\b", "m.tex"), (None, "m.tex"), ("\u2003x\n", "m.tex")]
+    got = spark.createDataFrame(rows, "r string, p string").select("r", "p", graph.resolved("r", "p").alias("path")).collect()
+    assert [(r.r, r.p, r.path) for r in got] == [(r, p, graph.resolve(r, p)) for r, p in rows]
+
+
+def queue(edges, root):
+    """Visiting order of one project, as a queue has it."""
+    order, pending = [], [root]
+    while pending:
+        at = pending.pop(0)
+        order.append(at)
+        for _, dst in sorted((pos, d) for s, d, pos in edges if s == at):
+            if dst not in order and dst not in pending:
+                pending.append(dst)
+    return order
+
+
+def test_visits_are_those_of_a_queue(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(graph, "TOGETHER", 3)
+    rng, rows, want = random.Random(1), [], {}
+    for p in range(12):
+        n = rng.randint(1, 14)
+        edges = [(s, d, i) for i, (s, d) in enumerate((rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(0, 30)))]
+        edges += [(i, i + 1, 99) for i in range(n - 1) if p % 3 == 0]  # long chains
+        rows += [(f"p{p}", *e) for e in edges]
+        want[f"p{p}"] = queue(edges, 0)
+    e = spark.createDataFrame(rows, "project string, src int, dst int, pos int")
+    nodes = spark.createDataFrame([(f"p{p}", i) for p in range(12) for i in range(14)], "project string, node int")
+    got = {}
+    for r in sorted(graph.visited(nodes.where("node = 0"), e, nodes).collect(), key=lambda r: (r.depth, r.path)):
+        got.setdefault(r.project, []).append(r.node)
+    assert got == want
+
+
+def test_guards_stop_their_project_alone(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_FILES", 5)
+    monkeypatch.setattr(graph, "MOST_BYTES", 100)
+    rows = []
+    for p, n, size in (("chain", 40, 1), ("wide", 9, 1), ("heavy", 4, 60), ("both", 9, 60), ("fine", 5, 20)):
+        for i in range(n):
+            text = f"\\input{{u{i + 1}}}" if p != "wide" else "".join(f"\\input{{u{j}}}" for j in range(1, n)) if i == 0 else ""
+            rows.append((p, i, i == 0, f"u{i}.tex", text + "x" * (size - len(text))))
+    from glyphmill.sources import files
+
+    got, _, guard = files.workspace(spark.createDataFrame(rows, UNITS))
+    assert {r.project: r.error for r in guard.collect()} == {"chain": graph.TOO_MANY, "wide": graph.TOO_MANY, "heavy": graph.TOO_LARGE, "both": graph.TOO_LARGE}
+    assert sorted((r.project, r.seq) for r in got.collect()) == [("fine", i) for i in range(5)]
