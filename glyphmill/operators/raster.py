@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.operators.images import gray_of
+
 WHITE = 255
 
 
@@ -22,7 +24,7 @@ def page_diffs(pixels: DataFrame, threshold: int = 12) -> DataFrame:
     one = lambda side, c: F.coalesce(F.max(F.when(F.col("side") == side, F.col(c))), F.lit(WHITE))
     both = pixels.groupBy("page", "x", "y").agg(*(one(s, c).alias(f"{c}{i}") for i, s in enumerate(("before", "after")) for c in "rgb"))
     delta = {c: F.abs(F.col(f"{c}0") - F.col(f"{c}1")) for c in "rgb"}
-    gray = F.round((delta["r"] * 299 + delta["g"] * 587 + delta["b"] * 114) / 1000).cast("int")
+    gray = gray_of(delta["r"], delta["g"], delta["b"])
     sums = both.groupBy("page").agg(F.count_if(gray > threshold).alias("changed"), F.max(F.greatest(*delta.values())).alias("maximum_delta"))
     g = geometry(pixels)
     area = F.greatest(F.coalesce("w0", "w1"), F.coalesce("w1", "w0")) * F.greatest(F.coalesce("h0", "h1"), F.coalesce("h1", "h0"))

@@ -7,10 +7,11 @@ import io
 import uuid
 import zipfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from glyphmill.operators import compiling, graph, package, raster
+from glyphmill.operators import compiling, graph, images, package, raster
 from glyphmill.plans.registry import query
 from glyphmill.sources.views import duck, view
 
@@ -253,7 +254,7 @@ def sk9(spark, d):
 
 PIX = duck("pixels") + """, s as (select page, x, y, coalesce(max(case when side = 'before' then r end), 255) as r0, coalesce(max(case when side = 'before' then g end), 255) as g0, coalesce(max(case when side = 'before' then b end), 255) as b0,
  coalesce(max(case when side = 'after' then r end), 255) as r1, coalesce(max(case when side = 'after' then g end), 255) as g1, coalesce(max(case when side = 'after' then b end), 255) as b1 from pixels group by page, x, y),
- q as (select page, sum(case when round((abs(r0 - r1) * 299 + abs(g0 - g1) * 587 + abs(b0 - b1) * 114) / 1000.0) > 12 then 1 else 0 end) as changed, max(greatest(abs(r0 - r1), abs(g0 - g1), abs(b0 - b1))) as maximum_delta from s group by page),
+ q as (select page, sum(case when (abs(r0 - r1) * 19595 + abs(g0 - g1) * 38470 + abs(b0 - b1) * 7471 + 32768) >> 16 > 12 then 1 else 0 end) as changed, max(greatest(abs(r0 - r1), abs(g0 - g1), abs(b0 - b1))) as maximum_delta from s group by page),
  g as (select page, max(case when side = 'before' then x + 1 end) as w0, max(case when side = 'before' then y + 1 end) as h0, max(case when side = 'after' then x + 1 end) as w1, max(case when side = 'after' then y + 1 end) as h1 from pixels group by page),
  diff as (select q.page, cast(changed as bigint) as changed, maximum_delta, cast(greatest(coalesce(w0, w1), coalesce(w1, w0)) * greatest(coalesce(h0, h1), coalesce(h1, h0)) as bigint) as area, coalesce(w0 = w1 and h0 = h1, false) as same_size from q join g using (page))"""
 
@@ -266,3 +267,43 @@ def ag5(spark, d):
 @query("AG6_visual_verdict", PIX + " select round(sum(changed) / sum(area), 9) as ratio, bool_and(same_size) as same_geometry, count(*) as pages, bool_and(same_size) and sum(changed) / sum(area) <= 0.002 as passed from diff")
 def ag6(spark, d):
     return raster.verdict(raster.page_diffs(view(spark, d, "pixels"))).withColumn("ratio", F.round("ratio", 9))
+
+
+def image_folder(spark, d):
+    """Folders before and after of page images, one for each ten thousand and tenth of the vectors: eight rows of eight pixels a vector, some of which change."""
+    from glyphmill.sources.word import store_of
+
+    root = f"{graph.shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+
+    def run(batches):
+        for pdf in batches:
+            for doc, page, vectors in zip(pdf["doc"], pdf["page"], pdf["vectors"]):
+                v = np.array([x["embedding"] for x in vectors], dtype=np.float32).astype(float)
+                odd = np.array([x["vec_id"] % 7 == 0 for x in vectors])[:, None] & (np.arange(v.shape[1]) % 5 == 0)
+                r = np.abs(np.floor(v * 100)).astype(int) % 256
+                for side in images.SIDES:
+                    g = (r + 60 * odd * (side == "after")) % 256
+                    pixels = np.stack((r, g, np.broadcast_to(np.arange(v.shape[1]), r.shape)), axis=2).astype(np.uint8).reshape(-1, 8, 3)
+                    store, at = store_of(f"{root}/{side}/d{doc}")
+                    store.create_dir(at, recursive=True)
+                    with store.open_output_stream(f"{at}/p{page:06d}.png") as f:
+                        f.write(images.png(8, len(pixels), [images.deflated(pixels, True)]))
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    e = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id is not null and embedding is not null")
+    vectors = F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("vectors")
+    e.groupBy((F.col("vec_id") % 10).alias("doc"), F.floor(F.col("vec_id") / 10_000).alias("page")).agg(vectors).mapInPandas(run, "n long").agg(F.sum("n")).collect()
+    atexit.register(_removed, spark, root)
+    return root
+
+
+@query("SC12_SK6_page_images", """with px as (select vec_id, unnest(range(0, len(embedding))) as i, embedding from embeddings),
+q as (select vec_id, abs(cast(floor(cast(embedding[i + 1] as double) * 100) as bigint)) % 256 as r, case when vec_id % 7 = 0 and i % 5 = 0 then 60 else 0 end as more from px),
+p as (select concat('d', cast(vec_id % 10 as varchar)) as doc, vec_id // 10000 as n, abs((r + more) % 256 - r) as delta from q),
+n as (select *, cast(dense_rank() over (partition by doc order by n) as int) as page from p)
+select doc, page, count(*) filter (where (delta * 38470 + 32768) >> 16 > 12) as changed, count(*) as area, cast(max(delta) as int) as maximum_delta, true as same_size from n group by doc, page""")
+def sc12(spark, d):
+    root = image_folder(spark, d)
+    found = images.Comparison(spark, f"{root}/before", f"{root}/after")
+    heat = found.heatmaps().where("octet_length(heatmap) > 60").select("doc", "page")
+    return found.pages.join(heat, ["doc", "page"]).select("doc", "page", "changed", "area", "maximum_delta", "same_size")

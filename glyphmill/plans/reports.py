@@ -139,10 +139,31 @@ def ud1(spark, d):
     return r.findings(view(spark, d, "units")).select("project", "code", "file", "plugin")
 
 
-@query("SC15_ai_findings", "select event_id, case when event_id % 3 = 0 then 'high' end as severity from events")
-def sc15(spark, d):
-    from glyphmill.schemas import AI_FINDING
+#: Responses of three services, every fourth of them of no use in a way of its own.
+AI_SQL = """with r as (select event_id, event_type, event_id % 3 as kind, cast(floor(event_id / 3) as bigint) % 8 as shape from events)
+select event_id, case when shape < 4 then 'AI_FINDING' else 'AI_UNAVAILABLE' end as code, case when shape < 4 then event_type end as title, case when shape < 4 then case shape when 1 then 'error' else 'warning' end end as severity,
+ case when shape in (0, 3) then cast(event_id % 1000 as int) when shape = 1 then 12 end as line,
+ case shape when 4 then 'The AI response was not valid structured JSON.' when 5 then 'The AI response was not valid structured JSON.' when 6 then 'AI analysis failed: AI provider request failed: timed out' when 7 then 'AI analysis failed: AI provider returned a non-object JSON response.' end as message from r"""
+
 
-    raw = F.when(F.col("event_id") % 3 == 0, F.lit('```json\n[{"title": "t", "severity": "high", "line": 3}]\n```')).otherwise(F.lit("no json"))
-    bare = F.regexp_replace(raw, r"(?s)^\s*```[a-z]*\s*|\s*```\s*$", "")
-    return read(spark, d, "events").select("event_id", F.get(F.from_json(bare, AI_FINDING), 0)["severity"].alias("severity"))
+@query("SC15_ai_findings", AI_SQL)
+def sc15(spark, d):
+    from glyphmill.operators import assistant
+
+    e = read(spark, d, "events").select("event_id", "event_type", (F.col("event_id") % 3).alias("kind"), (F.floor(F.col("event_id") / 3) % 8).alias("shape"))
+    title, shape = F.concat(F.lit('"title": "'), "event_type", F.lit('"')), F.col("shape")
+    line = (F.col("event_id") % 1000).cast("string")
+    answer = (
+        F.when(shape == 0, F.concat(F.lit("[{"), title, F.lit(', "line": '), line, F.lit("}]"))).when(shape == 1, F.concat(F.lit(" ```json\n[{"), title, F.lit(', "severity": "error", "line": " 12 "}]\n``` ')))
+        .when(shape == 2, F.concat(F.lit("[7, {"), title, F.lit("}]"))).when(shape == 3, F.concat(F.lit("[{"), title, F.lit(', "line": "'), line, F.lit('"}]'))).when(shape == 4, F.concat(F.lit("{"), title, F.lit("}")))
+        .otherwise(F.concat(F.lit("[{"), title, F.lit(', "line": "none"}]')))
+    )
+    kinds = F.when(F.col("kind") == 0, assistant.OPENAI).when(F.col("kind") == 1, assistant.COMPATIBLE).otherwise(assistant.OLLAMA)
+    body = (
+        F.when(F.col("kind") == 0, F.to_json(F.struct(F.array(F.struct(F.array(F.struct(answer.alias("text"))).alias("content"))).alias("output"))))
+        .when(F.col("kind") == 1, F.to_json(F.struct(F.array(F.struct(F.struct(answer.alias("content")).alias("message"))).alias("choices")))).otherwise(F.to_json(F.struct(answer.alias("response"))))
+    )
+    body = F.when(shape == 6, F.lit(None)).when(shape == 7, F.lit("[1]")).otherwise(body)
+    responses = e.select(F.lit("p").alias("project"), F.col("event_id").cast("string").alias("file"), kinds.alias("provider"), body.alias("body"), F.when(shape == 6, "timed out").alias("error"))
+    found = assistant.findings(assistant.completions(responses))
+    return found.select(F.col("file").cast("long").alias("event_id"), "code", "title", "severity", "line", "message")

@@ -6,4 +6,3 @@ CANDIDATE = "doc string, part string, paragraph_index int, start int, end int, s
 PARAGRAPH = "path string, part string, paragraph_index int, text string"
 MEMBER = "path string, name string, size long, csize long, flags int, crc long"
 ADAPTER = "name string, version string, api_version string, profile string, engine string, required_files array<string>, required_commands array<string>"
-AI_FINDING = "array<struct<title:string,explanation:string,suggestion:string,severity:string,line:int>>"
