@@ -7,9 +7,10 @@ of q has a key within r of q's own distance to that pivot: a search of radius r
 
 1. Anchors are packed into tiles too.  A round scans, for each tile of anchors, the intervals of keys that no earlier round scanned;
    keys and intervals meet in a range join by bins of distance.
-2. First come the keys where anchors lie themselves, then annuli of half the radius that is still open, then of all of it.  The open
-   radius of an anchor is the distance of its k-th score so far (or of the least score that counts, or what any row can be at); after
-   the last round no row outside of what was scanned can be nearer, which certifies the result.
+2. First come the keys where anchors lie themselves, then annuli of the radius that is still open; where those would be more than
+   ``AT_ONCE`` index tiles an anchor tile, annuli of half of it come between, which narrow it.  The open radius of an anchor is the
+   distance of its k-th score so far (or of the least score that counts, or what any row can be at); after the last round no row outside
+   of what was scanned can be nearer, which certifies the result.
 3. Positives are the k best rows of the anchor's label; each positive then asks for the best rows of other labels whose scores stay
    within its bounds.  Both are the same search.
 
@@ -36,8 +37,9 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.common import cut, small_batches, table, whole, written
 
-#: Rows of a tile of anchors and of the index; index tiles that a task scans; pivots and the sampled rows they are fitted on, at most.
-ANCHOR_TILE, TILE, CHUNK, PIVOTS, SAMPLE = 1024, 4096, 4, 64, 4096
+#: Rows of a tile of anchors and of the index; index tiles that a task scans; pivots and the sampled rows they are fitted on, at most; index tiles
+#: an anchor tile beyond which a round of half the radius pays.
+ANCHOR_TILE, TILE, CHUNK, PIVOTS, SAMPLE, AT_ONCE = 1024, 4096, 4, 64, 4096, 256
 SCALE = 256
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
@@ -335,17 +337,19 @@ class Index:
     def search(self, anchors: DataFrame, needs: DataFrame, k: int, same: bool) -> DataFrame:
         """needs (query_id, slot, lo, hi) -> (query_id, slot, vec_id, score, rank): the k best rows of the anchor's label, or of others, that score from lo to hi."""
         place = anchors.select("q_part", "q_seq", F.explode("ids").alias("query_id"))
-        found, seen = None, None
         rank = F.row_number().over(Window.partitionBy("query_id", "slot").orderBy(F.col("score").desc(), "vec_id"))
-        for share in (None, 0.5, 1.0):
+        found, seen, share, halved = None, None, None, False
+        while True:
             own = needs
             if found is not None:
                 floors = found.groupBy("query_id", "slot").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
                 own = needs.join(floors, ["query_id", "slot"], "left").withColumn("lo", F.greatest("lo", "floor")).drop("floor")
             asked = own.join(place, "query_id").groupBy("q_part", "q_seq").agg(F.collect_list(F.struct("query_id", "slot", "lo", "hi")).alias("needs"))
-            asked = anchors.join(asked, ["q_part", "q_seq"])
-            annuli = cut(asked.mapInArrow(_annuli(self.pivots, self.norm, share), "q_part int, q_seq int, pivot int, near double, far double"))
-            pairs = interval_pairs(annuli, seen, self.keys, self.bins, self.top).withColumn("chunk", F.floor(F.col("part") / CHUNK).cast("int"))
+            asked = cut(anchors.join(asked, ["q_part", "q_seq"]))
+            annuli, pairs = self._pairs(asked, seen, share)
+            if share == 1.0 and not halved and pairs.count() > AT_ONCE * asked.count():
+                share, halved = 0.5, True
+                annuli, pairs = self._pairs(asked, seen, share)
             keys = ["q_part", "q_seq", "chunk"]
             left = pairs.select(*keys).distinct().join(asked, ["q_part", "q_seq"])
             left = left.select(*(F.col(x).alias(f"l_{x}") for x in keys), "ids", "labels", "cols", "width", "needs")  # names of its own: both sides come from `pairs`
@@ -353,10 +357,16 @@ class Index:
             new = left.groupBy(*(f"l_{x}" for x in keys)).cogroup(right.groupBy(*keys)).applyInArrow(_scan(self.pivots, self.norm, k, same), "query_id long, slot int, vec_id long, score long")
             new = new if found is None else found.drop("rank").unionByName(new)
             found = cut(new.withColumn("rank", rank).where(F.col("rank") <= k))
-            if seen is not None:  # what was scanned before lies about the same middle, so both intervals are one
-                annuli = seen.unionByName(annuli).groupBy("q_part", "q_seq", "pivot").agg(F.min("near").alias("near"), F.max("far").alias("far"))
-            seen = annuli
-        return found
+            if share == 1.0:
+                return found
+            # what was scanned before lies about the same middle, so both intervals are one
+            seen = annuli if seen is None else cut(seen.unionByName(annuli).groupBy("q_part", "q_seq", "pivot").agg(F.min("near").alias("near"), F.max("far").alias("far")))
+            share = 1.0
+
+    def _pairs(self, asked: DataFrame, seen: DataFrame | None, share: float | None) -> tuple[DataFrame, DataFrame]:
+        """The annuli of a round, and the pairs of tiles that it scans, by chunks of the index."""
+        annuli = cut(asked.mapInArrow(_annuli(self.pivots, self.norm, share), "q_part int, q_seq int, pivot int, near double, far double"))
+        return annuli, cut(interval_pairs(annuli, seen, self.keys, self.bins, self.top).withColumn("chunk", F.floor(F.col("part") / CHUNK).cast("int")))
 
 
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
