@@ -13,7 +13,7 @@ compacted.
 3. Each task emits at most k rows for each query; a window with a group limit merges them.
 
 Components are floor(64 x); products are exact: float64 where they stay below 2**53, 64-bit integers below 2**63, Python's
-integers beyond, and a score beyond 64 bits is an error rather than a wrong number.
+integers beyond, and a component or a score beyond 64 bits is an error rather than a wrong number.
 
 Vectors that are null, or hold null or non-finite components, take no part; shorter vectors count as filled with zeros.  A
 repeated id is a candidate as often as it stands, never for a query of its own id; of repeated query ids the vector of the
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import cut, table
+from glyphmill.llm.common import cut, table, whole
 
 #: Rows of a tile of queries and of candidates; dimensions of a block; candidate tiles that a task searches.
 QUERY_TILE, CANDIDATE_TILE, BLOCK, CHUNK = 4096, 8192, 16, 4
@@ -41,7 +41,7 @@ SCALE = 64
 def quantised(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) -> (vec_id, v array<bigint>) of the vectors that take part."""
     v = vectors.where("vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    return v.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double"))).alias("v"))
+    return v.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: whole(x, SCALE)).alias("v"))
 
 
 TILE = "part int, seq int, ids binary, cols binary, width int, norm double"
@@ -216,9 +216,23 @@ def _chunk_search(k: int):
     return run
 
 
+#: Groups of neighbouring parts whose largest norms tell how far a query tile reaches.
+STEPS = 1024
+
+
 def tile_pairs(q: DataFrame, c: DataFrame, parts: int) -> DataFrame:
-    """(q_part, q_seq, part, seq) of the pairs of tiles that may hold a neighbour, from their norms alone; q: (part, seq, need)."""
-    asked = q.select(F.col("part").alias("q_part"), F.col("seq").alias("q_seq"), "need", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    """(q_part, q_seq, part, seq) of the pairs of tiles that may hold a neighbour, from their norms alone; q: (part, seq, need).
+
+    Parts lie by falling norm, so what a query tile reaches is a run of parts from the first.  Its end is found among at most STEPS groups of
+    parts, and only parts up to there are listed, so the list is longer than the pairs by one group a query tile at most.
+    """
+    width = -(-parts // STEPS)
+    most = c.groupBy(F.floor(F.col("part") / width).alias("step")).agg(F.max("norm").alias("norm")).orderBy("step").collect()
+    steps = F.array(*(F.struct(F.lit(r.step).alias("step"), F.lit(r.norm).alias("norm")) for r in most)).cast("array<struct<step:bigint,norm:double>>")
+    reached = F.filter(steps, lambda g: g["norm"] >= F.col("need"))
+    end = F.least((F.element_at(reached, -1)["step"] + 1) * width, F.lit(parts)) - 1
+    asked = q.select(F.col("part").alias("q_part"), F.col("seq").alias("q_seq"), "need", F.when(F.size(reached) > 0, end.cast("int")).alias("end")).where("end is not null")
+    asked = asked.select("q_part", "q_seq", "need", F.explode(F.sequence(F.lit(0), F.col("end"))).alias("part"))
     return asked.join(c.select("part", "seq", "norm"), "part").where("norm >= need").select("q_part", "q_seq", "part", "seq")
 
 

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from glyphmill.llm import topk
 
@@ -87,6 +88,26 @@ def test_tiles_out_of_reach_are_never_paired(spark, monkeypatch):
     assert pairs[0].count() <= q * c / 2
 
 
+def test_only_reachable_parts_are_listed(spark, monkeypatch):
+    monkeypatch.setattr(topk, "STEPS", 16)
+    norms = [100 / (i + 1) for i in range(200)]
+    c = spark.createDataFrame([(i, 0, n) for i, n in enumerate(norms)], "part int, seq int, norm double")
+    needs = [0.0, 0.5, 1.0, 7.0, 99.0, 101.0, float("-inf")]
+    q = spark.createDataFrame([(i, 0, x) for i, x in enumerate(needs)], "part int, seq int, need double")
+    got = topk.tile_pairs(q, c, 200)
+    assert sorted((r.q_part, r.part) for r in got.collect()) == sorted((i, j) for i, x in enumerate(needs) for j, n in enumerate(norms) if n >= x)
+    rows: list = []
+    own = DataFrame.join
+    monkeypatch.setattr(DataFrame, "join", lambda self, *a, **k: rows.append(self.count()) or own(self, *a, **k))
+    topk.tile_pairs(q, c, 200)
+    assert rows[0] <= got.count() + 13 * len(needs)  # a group of parts a query tile more, not all 200
+
+
+def test_saturated_components_are_refused(spark):
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        run(spark, [(20, [1e18], "x"), (21, [1.0 / 64], "x")], 5)
+
+
 def test_no_rows(spark):
     assert run(spark, [], 5) == []
     df = topk.quantised(spark.createDataFrame([(1, [1.0], 1, "x"), (20, [1.0], 2, "y")], "vec_id long, embedding array<float>, part int, norm string").select("vec_id", "embedding"))
