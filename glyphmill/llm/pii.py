@@ -256,26 +256,29 @@ def scored_instances(edges: DataFrame, patterns: DataFrame, confidence: float) -
     return parts.groupBy("value").agg((1 - F.exp(F.sum("miss"))).alias("score")).where(F.col("score") >= confidence)
 
 
-def bootstrap(scanned: DataFrame, rounds: int = 4, confidence: float = 0.6, support: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(patterns (pattern, score), found (value)): the patterns of the last round, and the values that became known beside the seeds."""
+def bootstrap(scanned: DataFrame, confidence: float = 0.6, support: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(patterns (pattern, score), found (value)): the patterns of the last round, and the values that became known beside the seeds.
+
+    Rounds end when one finds nothing new.  More known values never lower a pattern's score, nor more patterns a value's, so what is known
+    only grows, by a value a round at least, and the end is reached.
+    """
     edges, seeds = graph(scanned, support)
     known, n = seeds, seeds.count()
-    for _ in range(rounds):
+    while True:
         good = written(scored_patterns(edges, known, support, confidence), "pii-patterns")
         known = written(seeds.unionByName(scored_instances(edges, good, confidence).select("value")).distinct(), "pii-known")
         now = known.count()
         if now == n:
-            break
+            return good, known.join(seeds, "value", "left_anti")
         n = now
-    return good, known.join(seeds, "value", "left_anti")
 
 
-def extract(docs: DataFrame, rounds: int = 4, confidence: float = 0.6, support: int = 5) -> DataFrame:
+def extract(docs: DataFrame, confidence: float = 0.6, support: int = 5) -> DataFrame:
     """docs (doc_id, text) -> (rid, doc_id, base, found), a row for each row; found: spans that patterns add."""
     scanned = scan(docs)
     tokens = scanned.select("rid", F.explode("tokens").alias("t")).where("not t.seed").select("rid", "t.value", F.struct("t.start", "t.end").alias("span"))
     tokens = tokens.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int"))
-    added = tokens.join(_salted(bootstrap(scanned, rounds, confidence, support)[1]), ["value", "salt"]).groupBy("rid").agg(F.array_sort(F.collect_list("span")).alias("found"))
+    added = tokens.join(_salted(bootstrap(scanned, confidence, support)[1]), ["value", "salt"]).groupBy("rid").agg(F.array_sort(F.collect_list("span")).alias("found"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
     return scanned.select("rid", "doc_id", "base").join(added, "rid", "left").withColumn("found", F.coalesce("found", empty))
 

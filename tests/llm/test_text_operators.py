@@ -124,8 +124,19 @@ def test_patterns_find_what_seeds_never_met(spark):
     assert all(found[i] == [f"55-{45 + i}"] for i in range(55, 61)), "their other places"
     assert found[61] == found[62] == ["777-0001"], "known by a pattern that found values certify"
     assert set(found) == {*range(40, 46), *range(55, 63)}
-    one = pii.extract(docs(spark, texts).select("doc_id", "text"), rounds=1).collect()
-    assert not any(r.found for r in one if r.doc_id in (61, 62)), "one round does not reach the second generation"
+
+
+def test_rounds_end_when_nothing_new_is_found(spark):
+    """Seven generations: the codes of each stand in the words of the next, whose other codes stand nowhere else."""
+    words = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf", "hotel"]
+    place = lambda w, code: f"{w}one {w}two {code} {w}three {w}four"  # noqa: E731  no word is shared between generations
+    texts = [f"see {place('alpha', card(i))}" for i in range(40)]
+    for g, w in enumerate(words):
+        texts += [f"{k} {place(w, f'{1000 * g + 100 + i}-{i}')}" for i in range(8) for k in ("we", "they")]  # its own
+        texts += [f"we {place(words[g + 1], f'{1000 * g + 100 + i}-{i}')}" for i in range(8)] if g + 1 < len(words) else []
+    values = {r.value for r in pii.bootstrap(pii.scan(docs(spark, texts).select("doc_id", "text")), 0.3, 5)[1].collect()}
+    assert values == slow_bootstrap(texts, 99, 0.3, 5)[1] and len(values) >= 64
+    assert len(slow_bootstrap(texts, 4, 0.3, 5)[1]) < len(values), "more than four rounds"
 
 
 def slow_bootstrap(texts, rounds, confidence, support):
@@ -163,8 +174,8 @@ def test_scores_against_plain_loops(spark):
     texts = [" ".join(rng.choice([*words, *words, card(rng.randrange(30)), rng.choice(codes), "\n"]) for _ in range(rng.randint(2, 25))) for _ in range(120)]
     texts += ["card " + card(i) for i in range(30)] + ["no " + card(i) + " of" for i in range(30)] + [texts[0], *ODD]
     confidence, support = 0.5, 3
-    patterns, found = pii.bootstrap(pii.scan(docs(spark, texts).select("doc_id", "text")), 4, confidence, support)
-    good, values = slow_bootstrap([t for t in texts if t], 4, confidence, support)
+    patterns, found = pii.bootstrap(pii.scan(docs(spark, texts).select("doc_id", "text")), confidence, support)
+    good, values = slow_bootstrap([t for t in texts if t], 99, confidence, support)
     got = {r.pattern: r.score for r in patterns.collect()}
     assert got.keys() == good.keys() and all(abs(got[p] - good[p]) < 1e-9 for p in good) and good
     assert {r.value for r in found.collect()} == values
