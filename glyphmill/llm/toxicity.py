@@ -7,8 +7,10 @@ embedding of all others is zero.  Misspelt words share character grams with thos
 margin as label 1 does among labelled texts held aside, so it is a calibrated probability.
 
 ``fit`` takes at most ``per_class`` labelled documents of each class, by the hash of their ids (a documented bound), as
-whole texts.  Scores use every word of every text.  Null, empty and wordless texts have the score of no evidence.  Without
-both classes among the labels every score is the share of label 1, or 0.
+whole texts: every run of a clean text teaches, and those of a long text weigh as much together as ``clean_runs``.  Scores use
+every word of every text.  Null, empty and wordless texts have the score of no evidence.  Without both classes among the labels
+every score is the share of label 1, or 0.  Repeated rows score alike, rows without an id are scored and never learnt from, an
+empty table gives no rows, and columns other than doc_id, text and toxic are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -108,6 +110,12 @@ def _telling(grams: Grams, texts: list[tuple[bytes, int]]) -> np.ndarray:
     return prefers & (chi >= bar)
 
 
+def _telling_words(grams: Grams, text: bytes, own: np.ndarray) -> np.ndarray:
+    """Which words of a text hold a telling gram."""
+    data, _ = grams.lay_out([text])
+    return subword.word_sums(grams, data, own.astype(np.float32))[0][:-1] > 0
+
+
 def train(rows: list[tuple[str, int]], share: float, bits: int = 20, clean_runs: int = 30, seed: int = 5) -> Model:
     """A model of rows (text, toxic); share: how common label 1 is, to which scores are calibrated."""
     grams = Grams((3, 4, 5), bits)
@@ -128,13 +136,19 @@ def train(rows: list[tuple[str, int]], share: float, bits: int = 20, clean_runs:
         ids = subword.grams_of(grams, b" ".join(words[at : at + width]))
         return np.where(own[ids], ids, np.int32(shared))
 
-    toxic, clean = [], []
+    toxic, clean, heed = [], [], []
     for t, y in fitting:
         w = t.split()
         if y and w:
             toxic.append([r for r in (run(w, at) for at in range(max(1, len(w) - WIDTH + 1))) if (r != shared).any()])
         elif w:
-            clean += [run(w, int(at), 1 + int(at) % WIDTH) for at in rng.integers(0, len(w), min(clean_runs, len(w)))]
+            # every place of a clean text begins a run; runs without a telling gram are alike, so a few stand for all of them
+            telling, share_of = _telling_words(grams, t, own), min(1.0, clean_runs / len(w))
+            met = [at for at in range(len(w)) if telling[at : at + 1 + at % WIDTH].any()]
+            plain = share_of * (len(w) - len(met))
+            alike = [np.array([shared], dtype=np.int32)] * int(np.ceil(plain))
+            clean += [*(run(w, at, 1 + at % WIDTH) for at in met), *alike]
+            heed += [share_of] * len(met) + [plain / max(len(alike), 1)] * len(alike)
     margin = None
     for step in range(3):
         runs: list[np.ndarray] = []
@@ -149,7 +163,7 @@ def train(rows: list[tuple[str, int]], share: float, bits: int = 20, clean_runs:
             break
         bags = subword.Bags.of([*runs, *clean])
         y = np.append(np.ones(len(runs), dtype=int), np.zeros(len(clean), dtype=int))
-        weight = np.where(y == 1, min(8.0, (len(clean) / len(runs)) ** 0.5), 1.0)
+        weight = np.append(np.full(len(runs), min(8.0, (sum(heed) / len(runs)) ** 0.5)), heed)
         weights, bias = subword.train(bags, y, 2, shared + 1, dim=8, epochs=3, rate=0.8, weight=weight, seed=seed + step, still=shared)
         margin = weights[:, 1] - weights[:, 0]
     if margin is None:
