@@ -258,10 +258,11 @@ def _scan(pivots: np.ndarray, norm: float, k: int, same: bool):
                         for n in needs[int(ids[i])]:
                             at = np.flatnonzero(fits & (s >= n["lo"]) & (s <= n["hi"]))
                             if len(at):
-                                b_ids, b_scores = best(c_ids[at], s[at], k)
-                                if len(b_ids) == k:
-                                    n["lo"] = int(b_scores[-1])
-                                out.append((np.full(len(b_ids), ids[i]), np.full(len(b_ids), n["slot"]), b_ids, b_scores))
+                                met = n.get("met", (c_ids[:0], s[:0]))
+                                n["met"] = best(np.append(met[0], c_ids[at]), np.append(met[1], s[at]), k)
+                                if len(n["met"][0]) == k:
+                                    n["lo"] = int(n["met"][1][-1])
+            out += [(np.full(len(n["met"][0]), n["query_id"]), np.full(len(n["met"][0]), n["slot"]), *n["met"]) for own in needs.values() for n in own if "met" in n]
         if not out:
             return FOUND.empty_table()
         return pa.Table.from_arrays([pa.array(np.concatenate(c), type=f.type) for c, f in zip(zip(*out), FOUND)], schema=FOUND)
