@@ -19,8 +19,14 @@ class NotAvailable(RuntimeError):
     """A boundary that needs an external program or service, of which none is configured."""
 
 
-def _scanned(spark: SparkSession, folder: str) -> DataFrame:
-    return package.scanned(word.read_parts(spark, folder))
+def _parts(spark: SparkSession, folder: str, only: list[str] | None = None, **options: str) -> DataFrame:
+    """Parts of a folder's packages, or of those with some names, which the source opens alone."""
+    parts = word.read_parts(spark, folder, **options)
+    return parts if only is None else parts.where(F.col("path").isin(*(f"{folder.rstrip('/')}/{name}" for name in only)))
+
+
+def _scanned(spark: SparkSession, folder: str, only: list[str] | None = None) -> DataFrame:
+    return package.scanned(_parts(spark, folder, only))
 
 
 def _candidates(scan: DataFrame, mode: str) -> DataFrame:
@@ -42,24 +48,24 @@ def word_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 def repair_words(
     spark: SparkSession, folder: str, compiler: Callable[[str], bytes] | None = None, decisions: DataFrame | None = None, best_effort: bool = False, mode: str = "balanced",
-    batch_compiler: compiling.Compiler | None = None, seconds: float = compiling.BATCH_SECONDS, total: float = compiling.TOTAL_SECONDS,
+    batch_compiler: compiling.Compiler | None = None, seconds: float = compiling.BATCH_SECONDS, total: float = compiling.TOTAL_SECONDS, only: list[str] | None = None,
 ) -> DataFrame:
     """(path, content, converted, warnings, error) of a folder's packages; the compiler, of single formulas or of batches, makes Office Math of TeX.
 
     decisions: (doc, candidate_id, enabled, override), doc being a package's path.  A formula is compiled once, however many packages hold
-    it; packages are read where they are, and no shuffle holds their bytes.  Packages that are refused are never unpacked; their reason is the error.
+    it; packages are read where they are, and no shuffle holds their bytes.  only: names of the packages that are meant.  Packages that are refused are never unpacked; their reason is the error.
     """
     if compiler is None and batch_compiler is None:
         raise NotAvailable("repair of packages needs a compiler from TeX to Office Math")
-    rows = scan_words(spark, folder, mode)
+    rows = _candidates(_scanned(spark, folder, only), mode)
     rows = cand.reviewed(rows, decisions) if decisions is not None else rows
     rows = graph.short(rows.where("enabled").withColumn("formula", strip(F.col("normalized"))).select(F.col("doc").alias("path"), "part", "paragraph_index", "start", "end", "display", "formula"))
     made = graph.short(compiling.compiled(rows.select(F.col("formula").alias("normalized")), batch_compiler or compiling.one_by_one(compiler), seconds=seconds, total=total))
     warning = F.concat_ws(": ", "code", "formula", "message")
     items = rows.join(made.withColumnRenamed("normalized", "formula"), "formula").withColumn("warning", F.when(F.col("markup").isNull(), warning))
-    listing = word.read_parts(spark, folder, content="false")
-    refused = listing.where("part is null")
-    done = package.patched_in_place(listing.where("part is not null").select("path").distinct(), items, best_effort)
+    # two relations, as filters are pushed into one relation once a query
+    refused, admitted = (_parts(spark, folder, only, content="false").where(f"part is {x}") for x in ("null", "not null"))
+    done = package.patched_in_place(admitted.select("path").distinct(), items, best_effort)
     return done.unionByName(refused.select("path", F.lit(None).cast("binary").alias("content"), F.lit(0).alias("converted"), F.array().cast("array<string>").alias("warnings"), "error"))
 
 

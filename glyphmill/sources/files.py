@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import json
 import os
-import re
 import shutil
 import uuid
 import zipfile
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.operators import graph, latex, logs
 from glyphmill.operators.reports import base_name
+from glyphmill.sources.word import escaped
 
 #: Limits of bundles and their files; what publishing leaves out.
 MOST_REPORT, MOST_SOURCES, MOST_SOURCE = 32 << 20, 20, 64 << 20
@@ -38,15 +38,11 @@ def listed(spark: SparkSession, root: str) -> DataFrame:
     return paths.withColumn("file", F.substring_index("path", root.rstrip("/") + "/", -1))
 
 
-def _escaped(path: str) -> str:
-    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
-
-
 def bibliographies(spark: SparkSession, root: str, units: DataFrame, project: str = "p") -> DataFrame:
     """(project, text) of the bibliographies that a project's units declare and that are there; if there are none, of every .bib under the folder."""
     found = latex.declared_bibliographies(units).select("value", "file").collect()
     wanted = {graph.resolve(r.value, r.file, ".bib") for r in found} - {None}
-    paths = [_escaped(r.path) for r in listed(spark, root).where(F.col("file").isin(*wanted)).collect()] if wanted else []
+    paths = [escaped(r.path) for r in listed(spark, root).where(F.col("file").isin(*wanted)).collect()] if wanted else []
     reader = spark.read.format("binaryFile")
     bibs = reader.load(paths) if paths else reader.option("pathGlobFilter", "*.bib").option("recursiveFileLookup", "true").load(root)
     return bibs.select(F.lit(project).alias("project"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
@@ -55,7 +51,7 @@ def bibliographies(spark: SparkSession, root: str, units: DataFrame, project: st
 def read_log(spark: SparkSession, root: str, main: str, project: str = "p") -> DataFrame:
     """logs (project, seq, text) of the compile log beside the main file; no rows if there is none."""
     name = main.removesuffix(".tex") + ".log"
-    at = [_escaped(r.path) for r in listed(spark, root).where(F.col("file") == name).collect()]
+    at = [escaped(r.path) for r in listed(spark, root).where(F.col("file") == name).collect()]
     if not at:
         return spark.createDataFrame([], "project string, seq long, text string")
     text = F.make_valid_utf8(F.col("content").cast("string"))

@@ -7,7 +7,7 @@ are pushed into the source, so neither other packages nor other members are open
 
 ``wordpackages`` publishes rows (file, content, converted, warnings, error) in two phases.  Tasks write into a staging folder of the
 job, each attempt into one of its own; the commit moves the files of finished attempts to their names, then their rows of status into
-``_status``, and removes the staging folder; an abort removes it and leaves the target as it was.  Rows without content have a status alone.
+``_status/<tag>``, and removes the staging folder; an abort removes it and leaves the target as it was.  Rows without content have a status alone.
 With mode append, a name that is there already stops the commit before anything is moved.
 """
 
@@ -54,6 +54,11 @@ def store_of(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
 
 
+def escaped(name: str) -> str:
+    """A file name as a reader of patterns takes it literally."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", name)
+
+
 #: How a pushed filter looks at a value.
 TESTS = {
     EqualTo: lambda v, x: v == x,
@@ -92,7 +97,7 @@ class PartsReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         store, root = store_of(self.root)
-        found = [(i.path, i.size) for i in store.get_file_info(fs.FileSelector(root, recursive=False)) if i.type == fs.FileType.File and re.search(r"\.doc[xm]$", i.path)]
+        found = [(i.path, i.size) for i in store.get_file_info(fs.FileSelector(root, recursive=False)) if i.type == fs.FileType.File and re.search(r"(?i)\.doc[xm]$", i.path)]
         out, size = [Files([])], 0
         for path, n in sorted(found):
             path = f"{self.root}/{path.rpartition('/')[2]}"
@@ -147,7 +152,7 @@ class Staged(WriterCommitMessage):
 
 class PackagesWriter(DataSourceWriter):
     def __init__(self, options, overwrite: bool):
-        self.root, self.overwrite = options["path"].rstrip("/"), overwrite
+        self.root, self.overwrite, self.tag = options["path"].rstrip("/"), overwrite, options.get("tag", "all")
         self.stage = f"{self.root}/.staged-{uuid.uuid4().hex}"
 
     def write(self, iterator) -> Staged:
@@ -180,10 +185,10 @@ class PackagesWriter(DataSourceWriter):
             raise ValueError(f"already there: {there[0]}" if there else "a file name occurs twice")
         for source, to in moves:
             store.move(source, to)
-        store.create_dir(f"{root}/_status", recursive=True)
+        store.create_dir(f"{root}/_status/{self.tag}", recursive=True)
         for m in filter(None, messages):
             _, at = store_of(m.folder)
-            store.move(f"{at}/status.json", f"{root}/_status/{at.rpartition('/')[2]}.json")
+            store.move(f"{at}/status.json", f"{root}/_status/{self.tag}/{at.rpartition('/')[2]}.json")
         store.delete_dir(store_of(self.stage)[1])
 
     def abort(self, messages) -> None:
@@ -211,15 +216,19 @@ def registered(spark: SparkSession) -> None:
 
 
 def read_parts(spark: SparkSession, folder: str, **options: str) -> DataFrame:
-    """PARTS of a folder's packages: story parts, unless members is all."""
+    """PARTS of a folder's packages: story parts, unless members is all.
+
+    Spark keeps the filters that it pushes with the relation, so what one query filters in two ways must be read twice.
+    """
     registered(spark)
     return spark.read.format("wordparts").options(**options).load(folder)
 
 
-def publish(results: DataFrame, folder: str, overwrite: bool = False) -> DataFrame:
-    """results (path, content, converted, warnings, error) as packages of the same names in another folder; returns the rows of status."""
+def publish(results: DataFrame, folder: str, overwrite: bool = False, tag: str | None = None) -> DataFrame:
+    """results (path, content, converted, warnings, error) as files of the same names in another folder; returns the rows of status of this call."""
     spark = results.sparkSession
     registered(spark)
+    tag = tag or uuid.uuid4().hex
     rows = results.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content", "converted", "warnings", "error")
-    rows.write.format("wordpackages").mode("overwrite" if overwrite else "append").save(folder)
-    return spark.read.schema("file string, published boolean, converted int, warnings array<string>, error string").json(f"{folder.rstrip('/')}/_status")
+    rows.write.format("wordpackages").option("tag", tag).mode("overwrite" if overwrite else "append").save(folder)
+    return spark.read.schema("file string, published boolean, converted int, warnings array<string>, error string").json(f"{folder.rstrip('/')}/_status/{tag}")
