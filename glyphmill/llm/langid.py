@@ -6,7 +6,7 @@ training.  Other documents, ``aside_per_language`` of each, set the temperature
 prediction is rejected: that below which a share ``alpha`` of the right predictions among them lies, one half at most.
 
 Null texts and texts without a letter (Unicode category L) are ``und`` with score 0 and are rejected.  Without a labelled
-document all are.  Repeated rows are predicted alike, and an empty table gives no rows.  lang, source and doc_id are no inputs
+document all are.  Repeated rows are predicted alike, rows without an id like others, and an empty table gives no rows.  lang, source and doc_id are no inputs
 of a prediction.  ``keep_known`` keeps all columns, whatever their names; ``predict`` adds lang_pred, score and rejected, and
 refuses a table that has them already.
 """

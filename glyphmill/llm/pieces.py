@@ -16,7 +16,9 @@ character without a piece falls back to its bytes at the weight of the rarest pi
 its share of the lattice.
 
 Null and empty texts have one empty segmentation of probability 1.  Texts with fewer than k segmentations give all of them;
-their inclusion score is 1.  Repeated rows give equal samples.  A literal U+2581 decodes to a blank, as in the library.
+their inclusion score is 1.  Repeated rows give equal samples, and rows without an id are sampled by their text alone.  A literal U+2581
+decodes to a blank, as in the library.  Very long texts are sampled unit by unit, in bounded memory.  An empty table gives no rows.
+Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

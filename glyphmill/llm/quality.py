@@ -6,7 +6,9 @@ its rows are removed before the next; only rules that are right often enough on
 one ordered Spark conditional expression (``verdict``): the first rule that holds rejects, otherwise the text is kept.
 
 ``learn`` sees at most ``most_rows`` labelled rows (a documented bound; taken by the hash of their ids).  Null and empty texts
-have no words, so the base rule rejects them.  Repeated rows are judged alike.  Without both labels the list is empty.
+have no words, so the base rule rejects them.  Repeated rows are judged alike.  Without both labels the list is empty.  Rows
+without an id are judged like others and never learnt from; an empty table gives no rows; only doc_id, text and quality are read,
+so other columns may have any name.  Very long texts are read whole, one at a time.
 """
 
 from __future__ import annotations
