@@ -113,6 +113,7 @@ def main(args: list[str] | None = None) -> int:
 
     from glyphmill import api
     from glyphmill.operators.plugins import Registry
+    from glyphmill.operators.reports import shown
     from glyphmill.sources import files
 
     def registry() -> Registry | None:
@@ -133,7 +134,7 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "doctor":
         print(json.dumps(api.doctor(spark), indent=2))
     elif a.command == "scan":
-        found = api.scan_words(spark, a.path, a.mode).selectExpr("doc", "candidate_id", "kind", "substring(source, 1, 90) as source", "normalized", "repairs")
+        found = api.scan_words(spark, a.path, a.mode).select("doc", "candidate_id", "kind", shown("source").alias("source"), "normalized", "repairs")
         relations = {"candidates": found, "findings": api.word_findings(spark, a.path)}
         if a.json:
             report(a.json, **relations)

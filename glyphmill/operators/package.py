@@ -248,6 +248,17 @@ def entry_comparison(entries: DataFrame) -> DataFrame:
     )
 
 
+def entry_sets(entries: DataFrame) -> DataFrame:
+    """entries (doc, side, name) -> (doc, lost, new) of documents whose sides do not have the same members."""
+    sides = entries.groupBy("doc", "name").agg(*(F.bool_or(F.col("side") == s).alias(s) for s in ("before", "after")))
+    return sides.where("not (before and after)").groupBy("doc").agg(F.bool_or(~F.col("after")).alias("lost"), F.bool_or(~F.col("before")).alias("new"))
+
+
+def story_names(rows: DataFrame) -> DataFrame:
+    """rows (path, name) of members -> (path, names): the story parts of each package in order, as they are scanned."""
+    return rows.where(is_story(F.col("name"))).groupBy("path").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
 def math_delta(counts: DataFrame, successes: DataFrame) -> DataFrame:
     """counts (doc, side, math), successes (doc, n) -> (doc, delta, valid)."""
     delta = counts.groupBy("doc").agg(F.sum(F.when(F.col("side") == "after", F.col("math")).otherwise(-F.col("math"))).alias("delta"))

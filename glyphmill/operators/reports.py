@@ -56,6 +56,14 @@ def file_kind(path: Column) -> Column:
     return F.when(low.endswith(".docx") | low.endswith(".docm"), "word").when(low.endswith(".tex"), "tex")
 
 
+#: Fixed value: characters of a formula that a listing shows.
+SHOWN = 90
+
+
+def shown(source: Column) -> Column:
+    return F.substring(source, 1, SHOWN)
+
+
 def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/\\]+$", 0)
 

@@ -49,17 +49,17 @@ def ag3(spark, d):
     return c.select("doc", (F.col("entries_equal") & F.col("unmodified_equal") & F.col("relations_equal")).alias("valid"))
 
 
-@query("SE3_entry_sets", E + " select doc from (select doc, name from entries where side = 'before' except select doc, name from entries where side = 'after') q group by doc")
+@query("SE3_entry_sets", E + BOTH + " select doc, bool_or(a is null) as lost, bool_or(b is null) as new from f where a is null or b is null group by doc")
 def se3(spark, d):
-    e = view(spark, d, "entries")
-    names = lambda side: e.where(F.col("side") == side).select("doc", "name")
-    return names("before").subtract(names("after")).select("doc").distinct()
+    return package.entry_sets(view(spark, d, "entries"))
 
 
-@query("SE4_required_parts", E + " select doc, side, bool_or(name like 'word/1!_%' escape '!') as has_first from entries group by doc, side")
+@query("SE4_required_parts", "with m as (select concat('p', cast(l_orderkey as varchar)) as path, case l_linenumber when 1 then '[Content_Types].xml' when 2 then 'word/document.xml' else concat('word/media/', cast(l_linenumber as varchar)) end as name from lineitem) select path, count(distinct name) filter (where name in ('[Content_Types].xml', 'word/document.xml')) < 2 as missing from m group by path")
 def se4(spark, d):
-    firsts = F.collect_set(F.substring_index("name", "_", 1))
-    return view(spark, d, "entries").groupBy("doc", "side").agg((F.size(F.array_except(F.array(F.lit("word/1")), firsts)) == 0).alias("has_first"))
+    n = F.col("l_linenumber")
+    name = F.when(n == 1, package.REQUIRED[0]).when(n == 2, package.REQUIRED[1]).otherwise(F.concat(F.lit("word/media/"), n.cast("string")))
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.concat(F.lit("p"), F.col("l_orderkey").cast("string")).alias("path"), name.alias("name"), F.lit(10).alias("size"), F.lit(5).alias("csize"), F.lit(0).alias("flags"), F.lit(0).alias("crc")).distinct()
+    return package.admission(rows).select("path", F.coalesce(F.col("error") == "required part is missing", F.lit(False)).alias("missing"))
 
 
 W_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'

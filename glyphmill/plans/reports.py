@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glyphmill.operators import candidates as cand
-from glyphmill.operators import latex
+from glyphmill.operators import latex, package
 from glyphmill.operators import plugins as plug
 from glyphmill.operators import reports as rep
 from glyphmill.plans.formulas import KINDS, paragraphs
@@ -115,14 +115,16 @@ def sk11(spark, d):
     return rep.free_names(wanted, taken).select("dir", "name")
 
 
-@query("SO3_sorted_names", "select c_nationkey as k, string_agg(distinct c_mktsegment, ',' order by c_mktsegment) as names from customer group by 1")
+@query("SO3_sorted_names", "select c_nationkey as k, string_agg(distinct concat('word/', case c_mktsegment when 'BUILDING' then 'document' when 'MACHINERY' then 'comments' else concat('header', cast(c_custkey % 20 as varchar)) end, '.xml'), ',' order by concat('word/', case c_mktsegment when 'BUILDING' then 'document' when 'MACHINERY' then 'comments' else concat('header', cast(c_custkey % 20 as varchar)) end, '.xml')) as names from customer where c_mktsegment <> 'FURNITURE' group by 1")
 def so3(spark, d):
-    return read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("names"))
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "document").when(F.col("c_mktsegment") == "MACHINERY", "comments").when(F.col("c_mktsegment") == "FURNITURE", "styles").otherwise(F.concat(F.lit("header"), (F.col("c_custkey") % 20).cast("string")))
+    names = read(spark, d, "customer").select(F.col("c_nationkey").alias("path"), F.concat(F.lit("word/"), kind, F.lit(".xml")).alias("name"))
+    return package.story_names(names).select(F.col("path").alias("k"), F.array_join("names", ",").alias("names"))
 
 
 @query("SO5_display_cut", "select doc_id, substr(text, 1, 90) as shown from documents")
 def so5(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.substring("text", 1, 90).alias("shown"))
+    return read(spark, d, "documents").select("doc_id", rep.shown(F.col("text")).alias("shown"))
 
 
 @query("UD3_plugin_names", "select event_id, case when event_id % 2 = 0 then 'named' else event_type end as plugin from events")
