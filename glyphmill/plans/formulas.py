@@ -45,9 +45,14 @@ def pf2(spark, d):
     return view(spark, d, "paragraphs").where(det.is_broken(F.col("text"))).select("para")
 
 
-@query("SF2_unescaped_dollars", P + " select para, len(text) - len(replace(text, '$', '')) as n from paragraphs")
+#: Escaped dollars, before and after others.
+ESCAPED = "concat(text, ' cost ', chr(92), chr(36), cast(para as string), chr(92), chr(92), chr(36), ' ', chr(36), case when para % 2 = 0 then concat(chr(92), chr(36)) else chr(36) end)"
+
+
+@query("SF2_unescaped_dollars", P + f", e as (select para, {ESCAPED} as text from paragraphs), k as (select para, replace(text, concat(chr(92), chr(36)), '') as text from e) select para, len(text) - len(replace(text, '$', '')) as n from k")
 def sf2(spark, d):
-    return view(spark, d, "paragraphs").select("para", det.unescaped_dollars(F.col("text")).cast("long").alias("n"))
+    rows = view(spark, d, "paragraphs").withColumn("text", F.expr(ESCAPED))
+    return rows.select("para", det.unescaped_dollars(F.col("text")).cast("long").alias("n"))
 
 
 #: The fixture's paragraphs have one form each, so a candidate's source follows from a pattern without look-around.
@@ -68,6 +73,23 @@ def sf1(spark, d):
     return cand.detected(paragraphs(spark, d)).select(F.col("paragraph_index").alias("para"), "kind", "source")
 
 
+#: Paragraphs that one mode takes and the other leaves: formulas of symbols with words about them, and weaker ones.
+LOOSE = "case when para % 13 = 4 then concat(text, ' holds for all of these', case when para % 2 = 0 then ' and the others too' else '' end) when para % 13 = 3 then concat(text, ' ≤ α ± 12') else text end"
+LOOSE_KINDS = KINDS.replace(", s as (", f", loose as (select doc, part, para, {LOOSE} as text from paragraphs), s as (", 1).replace("as t from paragraphs)", "as t from loose)", 1)
+
+
+@query("SF1_detected_aggressive", LOOSE_KINDS.replace("score >= 4.5 and words <= 2 and len(t) <= 160", "score >= 3.5 and len(t) <= 240") + " select para, kind, source from everything where kind is not null")
+def sf1_aggressive(spark, d):
+    rows = paragraphs(spark, d).withColumnRenamed("paragraph_index", "para").withColumn("text", F.expr(LOOSE)).withColumnRenamed("para", "paragraph_index")
+    return cand.detected(rows, "aggressive").select(F.col("paragraph_index").alias("para"), "kind", "source")
+
+
+@query("SF1_detected_loose", LOOSE_KINDS + " select para, kind, source from everything where kind is not null")
+def sf1_loose(spark, d):
+    rows = paragraphs(spark, d).withColumnRenamed("paragraph_index", "para").withColumn("text", F.expr(LOOSE)).withColumnRenamed("para", "paragraph_index")
+    return cand.detected(rows).select(F.col("paragraph_index").alias("para"), "kind", "source")
+
+
 @query("SF4_candidate_sources", KINDS + " select kind, source, count(*) as n from everything where kind is not null group by kind, source")
 def sf4(spark, d):
     return cand.detected(paragraphs(spark, d)).groupBy("kind", "source").agg(F.count("*").alias("n"))
