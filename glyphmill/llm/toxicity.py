@@ -110,10 +110,22 @@ def _telling(grams: Grams, texts: list[tuple[bytes, int]]) -> np.ndarray:
     return prefers & (chi >= bar)
 
 
-def _telling_words(grams: Grams, text: bytes, own: np.ndarray) -> np.ndarray:
-    """Which words of a text hold a telling gram."""
+def _by_word(grams: Grams, text: bytes, own: np.ndarray, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's grams, word after word, and where each word's begin (one more: where the last ends); buckets without an embedding of their own are the shared one.
+
+    A run of words has the grams of its words, as none reaches over a blank.
+    """
     data, _ = grams.lay_out([text])
-    return subword.word_sums(grams, data, own.astype(np.float32))[0][:-1] > 0
+    blanks = np.flatnonzero(data == 32)
+    ids, words = [], []
+    for _, h, ok in grams.hashed(data):
+        at = np.flatnonzero(ok)
+        ids.append(np.where(own[h[at]], h[at], np.int32(shared)))
+        words.append(np.searchsorted(blanks, at, side="right") - 1)
+    if not ids:
+        return np.empty(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+    words, ids = np.concatenate(words), np.concatenate(ids)
+    return ids[np.argsort(words, kind="stable")], np.append(0, np.cumsum(np.bincount(words, minlength=max(len(blanks) - 1, 1))))
 
 
 def train(rows: list[tuple[str, int]], share: float, bits: int = 20, clean_runs: int = 30, seed: int = 5) -> Model:
@@ -132,22 +144,20 @@ def train(rows: list[tuple[str, int]], share: float, bits: int = 20, clean_runs:
     own = _telling(grams, fitting)
     shared = 1 << bits  # the bucket of all other grams, whose embedding is zero
 
-    def run(words: list[bytes], at: int, width: int = WIDTH) -> np.ndarray:
-        ids = subword.grams_of(grams, b" ".join(words[at : at + width]))
-        return np.where(own[ids], ids, np.int32(shared))
-
     toxic, clean, heed = [], [], []
     for t, y in fitting:
-        w = t.split()
-        if y and w:
-            toxic.append([r for r in (run(w, at) for at in range(max(1, len(w) - WIDTH + 1))) if (r != shared).any()])
-        elif w:
+        n = len(t.split())
+        ids, begin = _by_word(grams, t, own, shared)
+        told = np.append(0, np.cumsum(ids != shared))[begin]  # telling grams before each word
+        if y and n:
+            toxic.append([ids[begin[at] : begin[min(at + WIDTH, n)]] for at in range(max(1, n - WIDTH + 1)) if told[min(at + WIDTH, n)] > told[at]])
+        elif n:
             # every place of a clean text begins a run; runs without a telling gram are alike, so a few stand for all of them
-            telling, share_of = _telling_words(grams, t, own), min(1.0, clean_runs / len(w))
-            met = [at for at in range(len(w)) if telling[at : at + 1 + at % WIDTH].any()]
-            plain = share_of * (len(w) - len(met))
+            ends = np.minimum(np.arange(n) + 1 + np.arange(n) % WIDTH, n)
+            met, share_of = np.flatnonzero(told[ends] > told[:n]), min(1.0, clean_runs / n)
+            plain = share_of * (n - len(met))
             alike = [np.array([shared], dtype=np.int32)] * int(np.ceil(plain))
-            clean += [*(run(w, at, 1 + at % WIDTH) for at in met), *alike]
+            clean += [*(ids[begin[at] : begin[ends[at]]] for at in met), *alike]
             heed += [share_of] * len(met) + [plain / max(len(alike), 1)] * len(alike)
     margin = None
     for step in range(3):

@@ -160,3 +160,15 @@ def test_toxicity_learns_from_all_runs_of_a_text(monkeypatch):
     kept = sum(y for _, y in toxicity._apart(sorted(rows)))
     toxicity.train(rows, 0.25, bits=15)
     assert seen[0] > 30 * kept
+
+
+def test_runs_have_the_grams_of_their_words():
+    g = toxicity.Grams((3, 4, 5), 14)
+    own = np.random.default_rng(0).random(1 << 14) < 0.3
+    for t in (b"", b"a", b"  ", b"ab cde fghij\n k lmn op ", "é ü xyzzy".encode()):
+        w = t.split()
+        ids, begin = toxicity._by_word(g, t, own, 1 << 14)
+        for at in range(len(w)):
+            for k in (1, 2):
+                whole = toxicity.subword.grams_of(g, b" ".join(w[at : at + k]))
+                assert sorted(ids[begin[at] : begin[min(at + k, len(w))]]) == sorted(np.where(own[whole], whole, 1 << 14))
