@@ -115,9 +115,12 @@ def wf1(spark, d):
     return cand.detected(paragraphs(spark, d)).select("candidate_id", "source")
 
 
-@query("SO1_sorted_candidates", KINDS + " select para, count(*) as n, min(kind) as least from everything where kind is not null group by para")
+@query("SO1_sorted_candidates", KINDS + " select para, count(*) as n, string_agg(concat(e.kind, ' ', e.source), ' | ' order by strpos(p.text, e.source)) as in_order from everything e join paragraphs p using (para) where e.kind is not null group by para")
 def so1(spark, d):
-    return cand.detected(paragraphs(spark, d)).groupBy(F.col("paragraph_index").alias("para")).agg(F.count("*").alias("n"), F.min("kind").alias("least"))
+    """The array of a paragraph's candidates as it comes, unsorted here."""
+    rows = paragraphs(spark, d).select(F.col("paragraph_index").alias("para"), "text", det.candidate_spans(F.col("text")).alias("spans")).where("size(spans) > 0")
+    named = F.transform("spans", lambda s: F.concat_ws(" ", s["kind"], F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))
+    return rows.select("para", F.size("spans").cast("long").alias("n"), F.array_join(named, " | ").alias("in_order"))
 
 
 def spans(spark, d):

@@ -45,6 +45,13 @@ def wf3(spark, d):
     return e.withColumn("depth", depth).groupBy("project", "seq").agg(F.max_by("depth", "pos").alias("depth"))
 
 
+@query("WF3_active_file", duck("logs") + STACK + """, marks as (select l.project, l.seq, coalesce(sum(case when o.i is null then 0 else 1 end) over (partition by l.project order by l.seq rows between unbounded preceding and 1 preceding), 0) as i
+ from logs l left join ordered o on o.project = l.project and o.seq = l.seq) select m.project, m.seq, s.stack[-1] as file from marks m join states s on s.project = m.project and s.i = m.i""")
+def wf3_file(spark, d):
+    """The file open before every entry of a log, errors or not."""
+    return logs.active_files(view(spark, d, "logs"))
+
+
 @query("SC10_log_join", duck("logs", "units") + " select u.project, count(distinct u.file) as units, count(distinct l.seq) as entries from units u left join logs l on l.project = u.project group by u.project")
 def sc10(spark, d):
     entries = view(spark, d, "logs").groupBy("project").agg(F.count("*").alias("entries"))

@@ -165,3 +165,8 @@ def test_endpoints(spark, url, allowed):
     from glyphmill.operators import reports
 
     assert spark.createDataFrame([(url,)], "u string").select(reports.endpoint_allowed(F.col("u")).alias("x")).first().x is allowed
+
+
+def test_expectations_with_other_blanks(spark):
+    df = spark.createDataFrame([("E [x　= E [y]",), ("E[x = E[y]",)], "t string")
+    assert [r[0] for r in df.select(repairing.close_expectations(F.col("t"))).collect()] == ["E [x]　= E [y]", "E[x] = E[y]"]
