@@ -1,8 +1,9 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax, calibrated rejection.
 
-``fit`` learns from about ``per_language`` labelled documents of each of the ``most_languages`` commonest languages (documented
-bounds; taken by the hash of their ids), as whole texts and as random runs of their words, so that short texts are met in
-training.  Other documents, ``aside_per_language`` of each, set the temperature of the softmax and the score below which a
+``fit`` learns from about ``per_language`` labelled documents of every language (a documented bound; taken by the hash of their
+ids), of fewer where there are so many languages that they would be more than ``most_rows`` together, but of eight at least; as whole
+texts and as random runs of their words, so that short texts are met in training.  Beyond 200 languages the table of grams is smaller.
+Other documents, ``aside_per_language`` of each, set the temperature of the softmax and the score below which a
 prediction is rejected: that below which a share ``alpha`` of the right predictions among them lies, one half at most.
 
 Null texts and texts without a letter (Unicode category L) are ``und`` with score 0 and are rejected.  Without a labelled
@@ -26,6 +27,8 @@ from glyphmill.llm import subword
 from glyphmill.llm.common import Grams, held_out, small_batches, table
 
 UNDETERMINED = "und"
+#: Texts and runs of a language that training meets at least, again if need be.
+VISITS = 1250
 #: Characters of Unicode category L, which \p{L} is.
 LETTER = regex.compile(r"\p{L}")
 
@@ -55,12 +58,13 @@ class Model:
         return names, scores, ~letters | (scores < self.least)
 
 
-def sample(docs: DataFrame, per_language: int, aside_per_language: int, most_languages: int) -> tuple[list, list]:
+def sample(docs: DataFrame, per_language: int, aside_per_language: int, most_rows: int) -> tuple[list, list]:
     """About per_language rows (text, lang) of each language and about aside_per_language others, never more than twice as many in all."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
     if not counts:
         return [], []
+    per_language, aside_per_language = (max(8, min(n, most_rows // len(counts))) for n in (per_language, aside_per_language))
     both = per_language + aside_per_language
     shares = docs.sparkSession.createDataFrame([(r.lang, per_language / r.n, both / r.n) for r in counts], "lang string, learnt double, seen double")
     place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
@@ -93,7 +97,8 @@ def train(rows: list[tuple[str, str]], alpha: float = 0.001, bits: int = 16, see
                 y.append(label)
     if not rows:
         return Model([], grams, np.zeros((1 << bits, 1), np.float32), np.zeros(1, np.float32), 1.0, 1.0)
-    weights, bias = subword.train(subword.Bags.of(parts), np.array(y), len(languages), 1 << bits, epochs=5, seed=seed)
+    epochs = min(40, max(5, -(-VISITS * len(languages) // len(parts))))  # few texts of a language are met more often
+    weights, bias = subword.train(subword.Bags.of(parts), np.array(y), len(languages), 1 << bits, epochs=epochs, seed=seed)
     if not checked:
         return Model(languages, grams, weights, bias, 1.0, 0.0)
     logits = subword.text_logits(grams, [text.encode() for text, _ in checked], weights, bias)
@@ -105,9 +110,9 @@ def train(rows: list[tuple[str, str]], alpha: float = 0.001, bits: int = 16, see
     return Model(languages, grams, weights, bias, factor, min(least, 0.5))
 
 
-def fit(docs: DataFrame, per_language: int = 250, alpha: float = 0.001, aside_per_language: int = 300, most_languages: int = 200) -> Model:
-    rows, aside = sample(docs, per_language, aside_per_language, most_languages)
-    return train(rows, alpha, aside=aside if rows else None)
+def fit(docs: DataFrame, per_language: int = 250, alpha: float = 0.001, aside_per_language: int = 300, most_rows: int = 50_000) -> Model:
+    rows, aside = sample(docs, per_language, aside_per_language, most_rows)
+    return train(rows, alpha, bits=16 if len({lang for _, lang in rows}) <= 200 else 14, aside=aside if rows else None)
 
 
 def _predictor(model: Model):

@@ -172,3 +172,15 @@ def test_runs_have_the_grams_of_their_words():
             for k in (1, 2):
                 whole = toxicity.subword.grams_of(g, b" ".join(w[at : at + k]))
                 assert sorted(ids[begin[at] : begin[min(at + k, len(w))]]) == sorted(np.where(own[whole], whole, 1 << 14))
+
+
+def test_every_language_is_learnt(spark):
+    """230 languages of an alphabet each: none is left out, and rows are bounded by all of them together."""
+    rows = [(i * 230 + n, " ".join(chr(0x4E00 + 40 * n + (i * 7 + k * 3) % 40) * 2 for k in range(12)), f"l{n:03d}") for n in range(230) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt, aside = langid.sample(docs, 250, 300, 1000)
+    assert {lang for _, lang in learnt} == {f"l{n:03d}" for n in range(230)} and len(learnt) + len(aside) <= 12 * 230
+    model = langid.fit(docs, most_rows=1000)
+    assert len(model.languages) == 230 and model.grams.bits == 14
+    names, _, _ = model.predict([t for _, t, _ in rows[::5]])
+    assert np.mean([a == b[2] for a, b in zip(names, rows[::5])]) > 0.9
