@@ -6,6 +6,7 @@ by the parser itself, in any encoding, so no entity is ever expanded.  A package
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -107,22 +108,13 @@ def is_story(name: Column) -> Column:
     return F.regexp_like(name, F.lit(STORY))
 
 
-def _stories(content: bytes) -> Iterator[tuple[str, bytes]]:
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        for name in sorted(n for n in z.namelist() if re.match(STORY, n)):
-            yield name, z.read(name)
-
-
-def _roots(content: bytes) -> Iterator[tuple[str, ET.Element | None, str | None]]:
-    """(part, root, error) of each story part; a package that can't be read is one part without a name."""
-    try:
-        for name, data in _stories(content):
-            try:
-                yield name, parse(data), None
-            except (Unsafe, ET.ParseError) as e:
-                yield name, None, f"STORY_XML_INVALID: {e}"
-    except BROKEN as e:
-        yield "", None, f"PACKAGE_UNREADABLE: {e}"
+def _stories(content: bytes | zipfile.ZipFile) -> Iterator[tuple[str, bytes]]:
+    if not isinstance(content, zipfile.ZipFile):
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            yield from _stories(z)
+        return
+    for name in sorted(n for n in content.namelist() if re.match(STORY, n)):
+        yield name, content.read(name)
 
 
 def texts(data: bytes) -> list[str]:
@@ -159,7 +151,7 @@ def scanned(parts: DataFrame) -> DataFrame:
                 own, native = [], 0
                 if not error:
                     try:
-                        own, native = texts(content), counters(ET.fromstring(content))["math"]
+                        own, native = texts(content), counters(content)["math"]
                     except (Unsafe, ET.ParseError) as e:
                         error = f"STORY_XML_INVALID: {e}"
                 rows.append((path, part, native, own, error or None))
@@ -168,18 +160,64 @@ def scanned(parts: DataFrame) -> DataFrame:
     return parts.select("path", "part", "content", "error").mapInPandas(run, "path string, part string, native long, texts array<string>, error string")
 
 
-def counters(root: ET.Element) -> dict[str, int]:
-    """Native formulas of a part, those outside of paragraphs, and the elements that structure counts."""
-    math = misplaced = 0
-    todo = [(root, False)]
-    while todo:
-        e, inside = todo.pop()
-        if e.tag == f"{M}oMath":
-            math += 1
-            misplaced += not inside
-        inside = inside or e.tag == f"{W}p"
-        todo += [(c, inside) for c in e]
-    return {"math": math, "misplaced": misplaced} | {n: sum(1 for tag in tags for _ in root.iter(W + tag)) for n, tags in COUNTED.items()}
+#: Names that counters meet, as the parser writes them.
+PARAGRAPH_NAME, MATH_NAME = f"{W}p"[1:], f"{M}oMath"[1:]
+COUNTED_NAMES = {n: [f"{W}{tag}"[1:] for tag in tags] for n, tags in COUNTED.items()}
+
+
+def counters(data: bytes) -> dict[str, int]:
+    """Native formulas of a part, those outside of paragraphs, and the elements that structure counts, in one pass that builds no tree.
+
+    What ``parse`` refuses is refused with the same words.
+    """
+    tally = dict.fromkeys((PARAGRAPH_NAME, MATH_NAME, *(x for names in COUNTED_NAMES.values() for x in names)), 0)
+    inside = misplaced = 0
+
+    def refuse(*_) -> None:
+        raise Unsafe("markup declares a document type")
+
+    def start(name: str, _) -> None:
+        nonlocal inside, misplaced
+        if name in tally:
+            tally[name] += 1
+            if name == PARAGRAPH_NAME:
+                inside += 1
+            elif name == MATH_NAME:
+                misplaced += not inside
+
+    def finish(name: str) -> None:
+        nonlocal inside
+        if name == PARAGRAPH_NAME:
+            inside -= 1
+
+    reader = expat.ParserCreate(namespace_separator="}")
+    reader.StartDoctypeDeclHandler = reader.EntityDeclHandler = reader.ExternalEntityRefHandler = refuse
+    reader.StartElementHandler, reader.EndElementHandler = start, finish
+    try:
+        reader.Parse(data, True)
+    except expat.ExpatError:
+        parse(data)
+        raise
+    return {"math": tally[MATH_NAME], "misplaced": misplaced} | {n: sum(tally[x] for x in names) for n, names in COUNTED_NAMES.items()}
+
+
+def _counted(content: bytes | zipfile.ZipFile, known: dict[bytes, dict[str, int]] | None = None) -> Iterator[tuple[str, dict[str, int] | None, str | None]]:
+    """(part, counters, error) of each story part of a package, which may be open already; one that can't be read is one part without a name.
+
+    known: counters by a part's digest, so that a part that is the same in two packages is counted once.
+    """
+    known = {} if known is None else known
+    try:
+        for name, data in _stories(content):
+            digest = hashlib.sha256(data).digest()
+            try:
+                if digest not in known:
+                    known[digest] = counters(data)
+                yield name, known[digest], None
+            except (Unsafe, ET.ParseError) as e:
+                yield name, None, f"STORY_XML_INVALID: {e}"
+    except BROKEN as e:
+        yield "", None, f"PACKAGE_UNREADABLE: {e}"
 
 
 def _structure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,9 +225,8 @@ def _structure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for path, content in zip(pdf["path"], pdf["content"]):
-            for part, root, error in _roots(content):
-                own = counters(root) if error is None else dict.fromkeys(names, 0)
-                rows.append((path, part, *(own[n] for n in names), error))
+            for part, own, error in _counted(content):
+                rows.append((path, part, *(own[n] if own else 0 for n in names), error))
         yield pd.DataFrame(rows, columns=["path", "part", *names, "error"])
 
 
@@ -208,7 +245,8 @@ def checked(before: bytes, after: bytes, expected: int) -> dict[str, bool]:
         old, new = ({i.filename: i.CRC for i in z.infolist()} for z in (b, a))
         names = [sorted(z.namelist()) for z in (b, a)]
         readable = a.testzip() is None
-    parts = [{part: counters(root) if error is None else None for part, root, error in _roots(x)} for x in (before, after)]
+        known: dict[bytes, dict[str, int]] = {}
+        parts = [{part: own for part, own, _ in _counted(z, known)} for z in (b, a)]
     kept = [n for n in old if not re.match(STORY, n)]
     totals = [{n: sum(c[n] for c in p.values() if c) for n in ("math", "misplaced", *COUNTED)} for p in parts]
     same = lambda some: all(new.get(n) == old[n] for n in some)

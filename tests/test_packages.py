@@ -142,3 +142,26 @@ def test_folder(spark, tmp_path):
     (tmp_path / "a.docx").write_bytes(docx(f"<w:p>{run('x')}</w:p>"))
     (tmp_path / "b.txt").write_text("no")
     assert package.paragraphs(package.read_packages(spark, str(tmp_path))).count() == 1
+
+
+def test_pairs_are_dealt_out(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from glyphmill.plans import packages as plans
+
+    monkeypatch.setattr(plans, "PAIRS_OF_TASK", 100)
+    spark.range(450).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    pairs = plans.built_pairs(spark, str(tmp_path)).select("path", F.spark_partition_id().alias("task"))
+    sizes = [r["count"] for r in pairs.groupBy("task").count().collect()]
+    assert len(sizes) == 5 and sum(sizes) == 450  # one file is one split, but not one task
+    assert plans.ag3_output(spark, str(tmp_path)).where("valid").count() == sum(k % 7 in (0, 6) for k in range(450))
+
+
+def test_a_part_of_both_packages_is_counted_once(monkeypatch):
+    seen = []
+    counters = package.counters
+    monkeypatch.setattr(package, "counters", lambda data: seen.append(data) or counters(data))
+    a = docx(f"<w:p>{run('x')}</w:p>", [("word/header1.xml", f"<w:hdr {NS}/>")])
+    b = docx(f"<w:p>{run('x')}{MATH.decode()}</w:p>{MATH.decode()}", [("word/header1.xml", f"<w:hdr {NS}/>")])
+    own = package.checked(a, b, 2)
+    assert len(seen) == 3 and own["math_valid"] and not own["placement_valid"] and own["structure_equal"]
