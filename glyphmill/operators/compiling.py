@@ -3,7 +3,7 @@
 A compiler is a function of a list of formulas that returns markup by formula; what it leaves out has failed.  Every batch runs in a
 child process of its own that is stopped, with its children, when its time is over, so a compiler that hangs costs one batch.  A batch
 that fails as a whole is halved until the formulas at fault stand alone; after a batch that hangs, the task tries no others.  Formulas
-are dealt out by hash to tasks of ``TASK_FORMULAS``, and the total time holds for one of them.
+are dealt out by hash to tasks of ``TASK_SLICES`` times ``TASK_FORMULAS``, and the total time holds for one slice of ``TASK_FORMULAS``.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions.text import strip
+from glyphmill.operators.graph import dealt
 
 Compiler = Callable[[list[str]], dict[str, bytes]]
 #: Formulas of a batch, seconds of a batch and of all batches of a task.
 BATCH, BATCH_SECONDS, TOTAL_SECONDS = 200, 30.0, 45.0
-TASK_FORMULAS = 2000
+TASK_FORMULAS, TASK_SLICES = 2000, 5
 
 
 class Failed(RuntimeError):
@@ -118,6 +119,7 @@ def compiled(formulas: DataFrame, compiler: Compiler, batch: int = BATCH, second
     Rows come as they are computed, so a caller that uses them twice should write them first.
     """
     distinct = formulas.select(strip(F.col("normalized")).alias("normalized")).where("normalized is not null").distinct()
+    distinct = dealt(distinct, TASK_SLICES * TASK_FORMULAS, "normalized")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [f for b in batches for f in b.column(0).to_pylist()]

@@ -11,7 +11,7 @@ import io
 import re
 import zipfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import suppress
 from xml.etree import ElementTree as ET
 from xml.parsers import expat
@@ -328,19 +328,19 @@ def patch(content: bytes, edits: dict[tuple[str, int], list[tuple[int, int, byte
 PATCHED = "path string, content binary, converted int, warnings array<string>, error string"
 
 
-def _patched(path: str, content: bytes, items: list, failed: list[str], best_effort: bool) -> tuple:
+def _patched(path: str, content: bytes, items: Iterable[dict], failed: list[str], best_effort: bool) -> tuple:
     """A row of PATCHED; items have markup.  Every package is checked against the one it was made from, and is no result unless all CHECKS hold."""
     if failed and not best_effort:
         return path, None, 0, failed, f"atomic conversion stopped: {len(failed)} formula(s) could not be converted"
     edits: dict = {}
     try:
-        for x in items:
+        for x in items:  # may be read once only
             edits.setdefault((x["part"], x["paragraph_index"]), []).append((x["start"], x["end"], x["markup"], x["display"]))
         data, n, warnings = patch(content, edits, best_effort)
         broken = [c for c, holds in checked(content, data, n).items() if not holds]
         if broken:
             return path, None, 0, failed + warnings, f"output failed: {', '.join(broken)}"
-        if n == 0 and (items or failed):
+        if n == 0 and (edits or failed):
             return path, None, 0, failed + warnings, "no selected formula could be converted safely"
         return path, data, n, failed + warnings, None
     except Exception as e:  # noqa: BLE001  one package's fault
@@ -375,29 +375,45 @@ def patched(packages: DataFrame, items: DataFrame, compiler: Callable[[str], byt
     return packages.join(edits, "path", "left").mapInPandas(run, PATCHED)
 
 
-def patched_in_place(paths: DataFrame, items: DataFrame, best_effort: bool = False) -> DataFrame:
-    """paths (path), items (path, part, paragraph_index, start, end, markup, display, warning) -> PATCHED.
+def patched_in_place(paths: DataFrame, items: DataFrame, made: DataFrame, best_effort: bool = False, tasks: int = 1) -> DataFrame:
+    """paths (path), items (path, part, paragraph_index, start, end, display, formula), made (formula, markup, warning) -> PATCHED.
 
-    Only edits are shuffled, a package's to one row; the task that has them reads the package from the store.  An item without markup is a
-    formula that failed, and says so in its warning.
+    Only edits are shuffled, a package's to one row; the task that has them reads the package from the store.  Markup goes to a package once
+    for each of its formulas, so neither does a common formula meet all of its places in one task, nor is its markup copied to each.  A formula
+    without markup has failed, and says so in its warning, once for each place.  tasks: over how many packages are dealt out at least, as edits
+    are few bytes for the work they make.
     """
-    item = F.struct("part", "paragraph_index", "start", "end", "markup", "display")
-    edits = items.groupBy("path").agg(F.collect_list(F.when(F.col("markup").isNotNull(), item)).alias("items"), F.array_sort(F.collect_list(F.when(F.col("markup").isNull(), F.col("warning")))).alias("failed"))
+    names = ("part", "paragraph_index", "start", "end", "display", "formula")
+    deal = lambda df: df.repartition(tasks, "path")
+    edits = deal(items).groupBy("path").agg(F.collect_list(F.struct(*names)).alias("items"))
+    known = deal(items.select("path", "formula").distinct().join(made, "formula")).groupBy("path").agg(F.collect_list(F.struct("formula", "markup", "warning")).alias("made"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from glyphmill.sources.word import store_of
 
+        def columns(value: pa.ListScalar, *fields: str) -> Iterator[tuple]:
+            return zip(*(value.values.field(f).to_pylist() for f in fields)) if value.is_valid else iter(())
+
         for b in batches:
-            for r in b.to_pylist():
-                store, at = store_of(r["path"])
+            for path, own, formulas in zip(b.column("path").to_pylist(), b.column("items"), b.column("made")):
+                markup, failing, failed = {}, {}, []
+                for f, m, warning in columns(formulas, "formula", "markup", "warning"):
+                    if m is None:
+                        failing[f] = warning
+                    else:
+                        markup[f] = m
+                if failing:
+                    failed = sorted(failing[f] for (f,) in columns(own, "formula") if f in failing)
+                edits = (dict(zip(names, x), markup=markup[x[-1]]) for x in columns(own, *names) if x[-1] in markup)
+                store, at = store_of(path)
                 try:
                     with store.open_input_file(at) as f:
-                        row = _patched(r["path"], f.read(), r["items"] or [], r["failed"] or [], best_effort)
+                        row = _patched(path, f.read(), edits, failed, best_effort)
                 except OSError as e:
-                    row = (r["path"], None, 0, [], str(e))
+                    row = (path, None, 0, [], str(e))
                 yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, PATCHED_SCHEMA)], schema=PATCHED_SCHEMA)
 
-    return paths.select("path").join(edits, "path", "left").mapInArrow(run, PATCHED)
+    return deal(paths.select("path")).join(edits, "path", "left").join(known, "path", "left").mapInArrow(run, PATCHED)
 
 
 PATCHED_SCHEMA = pa.schema([("path", pa.string()), ("content", pa.binary()), ("converted", pa.int32()), ("warnings", pa.list_(pa.string())), ("error", pa.string())])

@@ -116,6 +116,10 @@ TAIL = f'<w:p   w:rsidR = "1" ><w:choice xmlns:wps="urn:wps" Requires="wps"/><w:
 OMML = b'<m:oMath xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"><m:r><m:t>x</m:t></m:r></m:oMath>'
 
 
+#: Tasks that build packages, which are few and grow with the table.
+PACKAGE_TASKS = 64
+
+
 def word_folder(spark, d):
     """A folder of packages in the shared folder, one for each size of the parts, published through the sink: a paragraph with a formula for each part."""
     from glyphmill.operators.graph import shared_dir
@@ -136,7 +140,8 @@ def word_folder(spark, d):
 
     folder = f"{shared_dir(spark)}/words-{uuid.uuid4().hex}"
     text = F.concat("p_name", F.lit(" $x_{"), F.col("p_partkey").cast("string"), F.lit("}$ or $y$."))
-    parts = spark.read.parquet(f"{d}/part.parquet").groupBy("p_size").agg(F.array_sort(F.collect_list(text)).alias("texts"))
+    rows = spark.read.parquet(f"{d}/part.parquet").select("p_size", "p_name", "p_partkey")
+    parts = rows.repartition(PACKAGE_TASKS, "p_size").groupBy("p_size").agg(F.array_sort(F.collect_list(text)).alias("texts"))
     word.publish(parts.mapInPandas(run, package.PATCHED), folder)
     atexit.register(_removed, spark, folder)
     return folder
@@ -185,12 +190,13 @@ def ag1_packages(spark, d):
     from glyphmill import api
 
     folder = word_folder(spark, d)
-    rows = api.scan_words(spark, folder)
+    prepared = api.prepared_words(spark, folder)
+    rows = prepared[1]
     number = F.regexp_extract("source", r"x_\{(\d+)\}", 1)
     out = rows.where(number != "").where(number.cast("int") % 3 == 0).select("doc", "candidate_id", F.lit(False).alias("enabled"), F.lit("").alias("override"))
     decisions = graph.short(out)
-    done = api.repair_words(spark, folder, decisions=decisions, batch_compiler=lambda formulas: dict.fromkeys(formulas, OMML))
-    counted = api.words_report(spark, folder, graph.short(done.drop("content")), decisions)
+    done = api.repair_words(spark, folder, decisions=decisions, prepared=prepared, batch_compiler=lambda formulas: dict.fromkeys(formulas, OMML))
+    counted = api.words_report(spark, folder, graph.short(done.drop("content")), decisions, prepared=prepared)
     return counted.drop("repaired", "error").withColumn("doc", F.element_at(F.split("doc", "/"), -1))
 
 

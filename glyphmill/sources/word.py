@@ -28,8 +28,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from glyphmill.operators import package
 
 PARTS = "path string, part string, size long, csize long, crc long, content binary, error string"
-#: Bytes of packages that one task reads, unless an option says so.
-PARTITION_BYTES = 128 << 20
+#: Bytes of packages that one task reads, unless an option says so: a thousandth of the folder within these bounds, as packages are
+#: compressed and a megabyte of them may hold a hundred thousand paragraphs.
+LEAST_BYTES, PARTITION_BYTES, TASKS = 64 << 10, 128 << 20, 1000
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
@@ -81,7 +82,7 @@ class PartsReader(DataSourceReader):
         self.root = options["path"].rstrip("/")
         self.stories = options.get("members", "stories") == "stories"
         self.content = options.get("content", "true").lower() == "true"
-        self.bytes = int(options.get("partitionBytes", PARTITION_BYTES))
+        self.bytes = int(options.get("partitionBytes", 0))
         self.tests: list[tuple[str, type, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -99,11 +100,10 @@ class PartsReader(DataSourceReader):
         store, root = store_of(self.root)
         found = [(i.path, i.size) for i in store.get_file_info(fs.FileSelector(root, recursive=False)) if i.type == fs.FileType.File and re.search(r"(?i)\.doc[xm]$", i.path)]
         out, size = [Files([])], 0
-        for path, n in sorted(found):
-            path = f"{self.root}/{path.rpartition('/')[2]}"
-            if not self.asked("path", path):
-                continue
-            if out[-1].paths and size + n > self.bytes:
+        found = [(path, n) for path, n in ((f"{self.root}/{p.rpartition('/')[2]}", n) for p, n in sorted(found)) if self.asked("path", path)]
+        most = self.bytes or min(PARTITION_BYTES, max(LEAST_BYTES, sum(n for _, n in found) // TASKS))
+        for path, n in found:
+            if out[-1].paths and size + n > most:
                 out.append(Files([]))
                 size = 0
             out[-1].paths.append(path)

@@ -256,3 +256,44 @@ def test_failing_batches_are_halved(spark):
     assert all(bytes(v[0]).decode() == k for k, v in got.items() if k.startswith("f"))
     places = spark.createDataFrame([("d", "p", 3, " bad")], "doc string, part string, paragraph_index int, normalized string")
     assert [r.code for r in compiling.warnings(places, compiling.compiled(rows, compiler)).collect()] == ["PANDOC_BATCH_FAILED"]
+
+
+def test_a_folder_is_dealt_out_however_well_it_is_compressed(tmp_path):
+    for i in range(8):
+        (tmp_path / f"{i}.docx").write_bytes(b"x" * 50_000)  # each of them may hold thousands of paragraphs
+    assert [len(p.paths) for p in word.PartsReader({"path": str(tmp_path)}).partitions()] == [1] * 8
+
+
+def test_packages_are_patched_by_more_tasks_than_one(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    for i in range(12):
+        (tmp_path / f"{i}.docx").write_bytes(docx("one $x$ and $x$", f"two $y_{i}$", *(f"{os.urandom(20).hex()}" for _ in range(1500))))
+    done = api.repair_words(spark, str(tmp_path), batch_compiler=lambda f: {x: MATH for x in f if x != "y_3"}, best_effort=True)
+    rows = done.select("path", "converted", "warnings", "error", F.spark_partition_id().alias("task")).collect()
+    assert len({r.task for r in rows}) > 4 and len(rows) == 12
+    assert {os.path.basename(r.path): (r.converted, len(r.warnings)) for r in rows} == {f"{i}.docx": (2, 1) if i == 3 else (3, 0) for i in range(12)}
+
+
+def test_a_failed_formula_is_told_for_each_place(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(docx("one $x$ and $x$ and $y$"))
+    row = api.repair_words(spark, str(tmp_path), batch_compiler=lambda f: {x: MATH for x in f if x != "x"}, best_effort=True).first()
+    assert row.converted == 1 and len(row.warnings) == 2 and all(w.startswith("PANDOC_FORMULA_FAILED: x") for w in row.warnings)
+
+
+def test_prepared_packages_are_read_once(spark, folder, tmp_path):
+    prepared = api.prepared_words(spark, folder)
+    kept = api.repair_words(spark, folder, lambda tex: MATH)
+    again = api.repair_words(spark, folder, lambda tex: MATH, prepared=prepared)
+    key = lambda df: sorted((r.path, r.converted, r.error) for r in df.collect())
+    assert key(kept) == key(again)
+    report = api.words_report(spark, folder, kept.drop("content"), prepared=prepared)
+    assert sorted(map(tuple, report.collect())) == sorted(map(tuple, api.words_report(spark, folder, kept.drop("content")).collect()))
+    plan = api.words_report(spark, folder, spark.createDataFrame([], "path string, converted int, warnings array<string>, error string"), prepared=prepared)._jdf.queryExecution().executedPlan().toString()
+    assert "wordparts" not in plan and "MapInPandas" not in plan
+
+
+def test_a_torn_end_tag_is_unsafe():
+    for torn in (part()[:-3], f'<w:p xmlns:w="{W}"><w:r></w:'.encode(), f'<w:p xmlns:w="{W}" a="x>'.encode()):
+        with pytest.raises(Unsafe):
+            indexed(torn)
