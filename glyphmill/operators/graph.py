@@ -128,7 +128,7 @@ def short(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def dealt(rows: DataFrame, each: int, *keys: str) -> DataFrame:
+def dealt(rows: DataFrame, each: int, *keys: str | Column) -> DataFrame:
     """rows by the hash of keys in tasks of about so many each: small files of many rows are one split, however much work a row is.
 
     Rows are counted first, which for files with counts in their footers reads no more than those.

@@ -165,3 +165,15 @@ def test_a_part_of_both_packages_is_counted_once(monkeypatch):
     b = docx(f"<w:p>{run('x')}{MATH.decode()}</w:p>{MATH.decode()}", [("word/header1.xml", f"<w:hdr {NS}/>")])
     own = package.checked(a, b, 2)
     assert len(seen) == 3 and own["math_valid"] and not own["placement_valid"] and own["structure_equal"]
+
+
+def test_required_parts_are_told_where_members_arrive(spark, tmp_path, monkeypatch):
+    from glyphmill.plans import packages as plans
+
+    monkeypatch.setattr(plans, "MEMBERS_OF_TASK", 100)
+    spark.range(600).selectExpr("id div 3 as l_orderkey", "cast(id % 3 + 1 + id div 300 as int) as l_linenumber").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = plans.se4(spark, str(tmp_path))
+    assert found.where("missing").count() == 100 and found.count() == 200
+    assert found.rdd.getNumPartitions() == 6  # rows decide on the tasks, not their bytes
+    plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
