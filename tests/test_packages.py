@@ -177,3 +177,14 @@ def test_required_parts_are_told_where_members_arrive(spark, tmp_path, monkeypat
     assert found.rdd.getNumPartitions() == 6  # rows decide on the tasks, not their bytes
     plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_structure_counts_in_any_encoding(spark):
+    odd = f'<w:document {NS}><!-- c --><w:p><w:ins/><w:del/><m:oMath/></w:p><m:oMath><w:p/></m:oMath></w:document>'
+    for encoding in ("utf-8", "utf-16"):
+        own = package.counters(odd.encode(encoding))  # takes a part's bytes, so no tree is built
+        assert (own["math"], own["misplaced"], own["revisions"], own["tables"]) == (2, 1, 2, 0)
+    with pytest.raises(package.Unsafe, match="not well formed"):
+        package.counters(b"<x>")
+    with pytest.raises(package.ET.ParseError):
+        package.counters(b"<a:b/>")
