@@ -297,3 +297,13 @@ def test_a_torn_end_tag_is_unsafe():
     for torn in (part()[:-3], f'<w:p xmlns:w="{W}"><w:r></w:'.encode(), f'<w:p xmlns:w="{W}" a="x>'.encode()):
         with pytest.raises(Unsafe):
             indexed(torn)
+
+
+def test_packages_of_a_small_table_are_built_by_many_tasks(spark):
+    import glob
+
+    from glyphmill.plans import packages as plans
+
+    folder = plans.word_folder(spark, "/root/testdata/sf0.001")
+    tasks = glob.glob(folder.removeprefix("file://") + "/_status/*/*.json")  # one for each task that wrote
+    assert len(tasks) > 10
