@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.operators.splicing import Edit, Unsafe, decoded, indexed, spliced
+from glyphmill.operators.splicing import Edit, Unsafe, decoded, paragraph_texts, spliced
 from glyphmill.schemas import MEMBER, PARAGRAPH
 
 #: Namespaces, story parts, required members, limits of a package.
@@ -119,7 +119,7 @@ def _stories(content: bytes | zipfile.ZipFile) -> Iterator[tuple[str, bytes]]:
 
 def texts(data: bytes) -> list[str]:
     """Texts of a part's paragraphs, as edits of it count offsets; Unsafe if it can't be read."""
-    return [p.text for p in indexed(decoded(data)[0])]
+    return paragraph_texts(decoded(data)[0])
 
 
 def _paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -307,3 +307,30 @@ def test_packages_of_a_small_table_are_built_by_many_tasks(spark):
     folder = plans.word_folder(spark, "/root/testdata/sf0.001")
     tasks = glob.glob(folder.removeprefix("file://") + "/_status/*/*.json")  # one for each task that wrote
     assert len(tasks) > 10
+
+
+ODD_TEXTS = [
+    part(),
+    f'<document xmlns="{W}" xmlns:q="{W}"><p><q:r><t>a</t></q:r><r><q:t>b</q:t><t/></r><ins><r><t>c</t></r></ins><sdt><r><t>no</t></r></sdt></p></document>'.encode(),
+    f'<w:document xmlns:w="{W}"><w:p><w:ins><w:hyperlink><w:r><w:t>no</w:t></w:r></w:hyperlink></w:ins><w:r><w:t>a<w:x>no</w:x>b<!-- c --><![CDATA[<w:p>]]></w:t></w:r><w:x xmlns:w="urn:o"><w:p/></w:x></w:p></w:document>'.encode(),
+    f'<w:document xmlns:w="{W}"><u:p/><w:p><w:r><w:t>a prefix without a declaration</w:t></w:r></w:p></w:document>'.encode(),
+]
+
+
+@pytest.mark.parametrize("data", ODD_TEXTS)
+def test_texts_are_those_of_the_index(data):
+    assert splicing.paragraph_texts(data) == [p.text for p in indexed(data)] != []
+    for bad in (data[:-20], b"<!DOCTYPE x>" + data.partition(b"?>")[2] if data.startswith(b"<?") else b"<!DOCTYPE x>" + data):
+        reasons = []
+        for f in (splicing.paragraph_texts, indexed):
+            with pytest.raises(Unsafe) as e:
+                f(bad)
+            reasons.append(str(e.value))
+        assert reasons[0] == reasons[1]
+
+
+def test_places_are_noted_once_and_only_for_edits(monkeypatch):
+    seen = []
+    monkeypatch.setattr(splicing, "indexed", lambda data: seen.append(data) or indexed(data))
+    assert package.texts(part())[1] == "b $y$ c" and not seen
+    assert spliced(part(), {1: [Edit(2, 5, MATH)]})[1] == 1 and seen == [part()]  # the result is read back for its texts alone
