@@ -223,15 +223,18 @@ def _counted(content: bytes | zipfile.ZipFile, known: dict[bytes, dict[str, int]
 def _structure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["math", "misplaced", *COUNTED]
     for pdf in batches:
-        rows = []
+        rows, known = [], {}
         for path, content in zip(pdf["path"], pdf["content"]):
-            for part, own, error in _counted(content):
+            for part, own, error in _counted(content, known):
                 rows.append((path, part, *(own[n] if own else 0 for n in names), error))
         yield pd.DataFrame(rows, columns=["path", "part", *names, "error"])
 
 
 def structure(packages: DataFrame) -> DataFrame:
-    """Counters of each story part: native formulas, those outside of paragraphs, and structure; error: why it could not be read."""
+    """Counters of each story part: native formulas, those outside of paragraphs, and structure; error: why it could not be read.
+
+    A part that is the same in packages of one batch is counted once.
+    """
     return packages.mapInPandas(_structure, "path string, part string, math long, misplaced long, " + ", ".join(f"{n} long" for n in COUNTED) + ", error string")
 
 

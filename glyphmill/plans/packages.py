@@ -88,8 +88,12 @@ def _built(tables: int, formulas: int, loose: int = 0, media: str | None = "png"
 PAIRS_OF_TASK = 5000
 
 
-def built_pairs(spark, d):
-    """(path, before, after, expected) of packages made from the table of parts, altered in one way of seven each."""
+PAIR = {"path": "string", "before": "binary", "after": "binary", "expected": "int"}
+
+
+def built_pairs(spark, d, *names):
+    """(path, before, after, expected) of packages made from the table of parts, altered in one way of seven each; names: those of the columns that are made."""
+    names = names or tuple(PAIR)
 
     def run(batches):
         for pdf in batches:
@@ -98,15 +102,15 @@ def built_pairs(spark, d):
                 t, how = int(size) % 3, int(k) % 7
                 after = _built(t + (how == 3), 1 + (how in (4, 6)), int(how == 5), None if how == 1 else "png", "<r2/>" if how == 2 else "<r/>")
                 rows.append((str(k), _built(t, 1), after, int(how == 6)))
-            yield pd.DataFrame(rows, columns=["path", "before", "after", "expected"])
+            yield pd.DataFrame(rows, columns=list(PAIR))[list(names)]
 
     parts = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size")
-    return graph.dealt(parts, PAIRS_OF_TASK, "p_partkey").mapInPandas(run, "path string, before binary, after binary, expected int")
+    return graph.dealt(parts, PAIRS_OF_TASK, "p_partkey").mapInPandas(run, ", ".join(f"{n} {PAIR[n]}" for n in names))
 
 
 @query("AG2_structure", "select cast(p_partkey as string) as path, cast(p_size % 3 + case when p_partkey % 7 = 3 then 1 else 0 end as bigint) as tables, cast(1 + case when p_partkey % 7 in (4, 5, 6) then 1 else 0 end as bigint) as math, cast(case when p_partkey % 7 = 5 then 1 else 0 end as bigint) as misplaced from part")
 def ag2(spark, d):
-    return package.structure(built_pairs(spark, d).select("path", F.col("after").alias("content"))).select("path", "tables", "math", "misplaced")
+    return package.structure(built_pairs(spark, d, "path", "after").withColumnRenamed("after", "content")).select("path", "tables", "math", "misplaced")
 
 
 @query("AG3_output_verdict", "select cast(p_partkey as string) as path, p_partkey % 7 <> 1 as entries_equal, p_partkey % 7 not in (1, 2) as unmodified_equal, true as content_types_equal, p_partkey % 7 <> 2 as relations_equal, p_partkey % 7 <> 3 as structure_equal, true as readable, p_partkey % 7 not in (4, 5) as math_valid, p_partkey % 7 <> 5 as placement_valid, p_partkey % 7 in (0, 6) as valid from part")

@@ -188,3 +188,27 @@ def test_structure_counts_in_any_encoding(spark):
         package.counters(b"<x>")
     with pytest.raises(package.ET.ParseError):
         package.counters(b"<a:b/>")
+
+
+def test_a_part_of_many_packages_is_counted_once_a_batch(monkeypatch):
+    import pandas as pd
+
+    seen = []
+    counters = package.counters
+    monkeypatch.setattr(package, "counters", lambda data: seen.append(data) or counters(data))
+    same, other = docx(f"<w:p>{run('x')}</w:p>"), docx(MATH.decode())
+    bad = docx("", [("word/header1.xml", "<x>")])
+    batch = pd.DataFrame({"path": list("abcde"), "content": [same, other, same, bad, bad]})
+    (got,) = package._structure([batch])
+    assert len(seen) == 5  # a part that can't be read says so in each package
+    assert list(zip(got["path"], got["math"], got["misplaced"])) == [("a", 0, 0), ("b", 1, 1), ("c", 0, 0), *((x, 0, 0) for x in "dd"), *((x, 0, 0) for x in "ee")]
+    assert [p for p, e in zip(got["path"], got["error"]) if e] == ["d", "e"]
+
+
+def test_structure_makes_no_pairs(spark, tmp_path):
+    from glyphmill.plans import packages as plans
+
+    spark.range(30).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    found = plans.ag2(spark, str(tmp_path))
+    assert found.count() == 30 and "before#" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert plans.built_pairs(spark, str(tmp_path)).columns == ["path", "before", "after", "expected"]
